@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citelens.llm import decontamination, html_extraction, language_id, media, mixing, secrets, token_counts, warc
+from citelens.llm import decontamination, html_extraction, language_id, media, mixing, ngram_join, secrets, token_counts, warc
 
 QUERIES = {
     "op2_secrets": secrets.op2_secrets,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_media": media.op8_media,
     "op9_language_id": language_id.op9_language_id,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLES = {"op4_decontamination": decontamination.ORACLE_SQL}
