@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from citelens.llm import decontamination, html_extraction, language_id, media, mixing, ngram_join, secrets, token_counts, warc
+from citelens.llm import decontamination, html_extraction, language_id, media, mixing, ngram_join, secrets, substring_dedup, token_counts, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_secrets": secrets.op2_secrets,
     "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_decontamination": decontamination.op4_decontamination,
