@@ -18,7 +18,8 @@ def one(spark, expression):
 def test_journal_doi(spark):
     assert one(spark, X.journal_doi(F.lit("see Phys. Rev. B 84, 245128"))) == "10.1103/physrevb.84.245128"
     assert one(spark, X.journal_doi(F.lit("in Phys. Rev. Lett. 73 (1994) 3070"))) == "10.1103/physrevlett.73.3070"
-    assert one(spark, X.journal_doi(F.lit("a rev mod phys a 80 123"))) is None
+    assert one(spark, X.journal_doi(F.lit("a rev mod phys b 80 123"))) == "10.1103/revmodphysb.80.123"
+    assert one(spark, X.journal_doi(F.lit("in Phys. Rev. B 84"))) is None
     assert one(spark, X.journal_doi(F.lit("none"))) is None
 
 
