@@ -45,7 +45,9 @@ class Slice:
     """Tokens, split and vectors of the documents."""
 
     def __init__(self, t):
-        d = t("documents").select("doc_id", "source", letter_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+        # Dealt out by document before the texts become words: counting words in a document then needs no shuffle of words.
+        d = t("documents").select("doc_id", "source", "text").repartition("doc_id")
+        d = d.select("doc_id", "source", letter_words(F.col("text")).alias("w")).where(F.size("w") > 0)
         sized = d.select("doc_id", "source", F.size("w").cast("long").alias("n"))
         order = Window.partitionBy("source").orderBy(F.desc("n"), "doc_id")
         whole = Window.partitionBy("source")
@@ -63,10 +65,11 @@ class Slice:
         self.adjacent = t("documents").select(F.col("source").alias("cand"), F.concat(F.lit("src"), (F.substring("source", 4, 9).cast("int") + 1) % 20).alias("other")).distinct()
 
     def bow(self):
-        return V.products(V.tfidf(self.qtf, "q", self.df, self.n), V.tfidf(self.ctf, "cand", self.df, self.n))
+        return V.cosines(V.weights(self.qtf, "q", self.df, self.n), V.weights(self.ctf, "cand", self.df, self.n))
 
     def raw(self):
-        return V.products(V.raw_counts(self.qtf, "q"), V.raw_counts(self.ctf, "cand"))
+        counts = lambda tf, key: tf.select(key, "term", F.col("tf").cast("double").alias("w"))
+        return V.cosines(counts(self.qtf, "q"), counts(self.ctf, "cand"))
 
     def ranking(self):
         return R.ranked(self.bow(), "q", F.col("score"), "cand", 10)

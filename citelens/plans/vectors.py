@@ -15,10 +15,14 @@ def document_frequencies(terms: DataFrame, doc: str, least: int = 2) -> DataFram
     return terms.groupBy(doc, "term").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
 
 
+def weights(tf: DataFrame, key: str, df: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """key, term, w: tf * ln(n / df). n_docs is one row with n."""
+    return tf.join(df, "term").crossJoin(F.broadcast(n_docs)).select(key, "term", (F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("w"))
+
+
 def tfidf(tf: DataFrame, key: str, df: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """key, term, w: tf * ln(n / df), length 1. The log's base cancels out. n_docs is one row with n."""
-    w = tf.join(df, "term").crossJoin(F.broadcast(n_docs)).select(key, "term", (F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("w"))
-    return normalized(w, key)
+    """key, term, w: the weights as vectors of length 1, in which the log's base cancels out."""
+    return normalized(weights(tf, key, df, n_docs), key)
 
 
 def normalized(w: DataFrame, key: str) -> DataFrame:
@@ -36,6 +40,17 @@ def products(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return both.groupBy("q", "cand").agg(F.round(F.sum(F.col("__q") * F.col("w")), 9).alias("score"))
 
 
+def cosines(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """q, cand, score as products() of normalised vectors, from weights of any length.
+
+    The lengths divide the sums, not the weights: the large tables are dealt out once, by term, and only one row per query and
+    candidate meets the lengths."""
+    dots = queries.withColumnRenamed("w", "__q").join(candidates, "term").groupBy("q", "cand").agg(F.sum(F.col("__q") * F.col("w")).alias("__dot"))
+    length = lambda w, key, name: w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
+    both = dots.join(length(queries, "q", "__lq"), "q").join(length(candidates, "cand", "__lc"), "cand").where("__lq > 0 AND __lc > 0")
+    return both.select("q", "cand", F.round(F.col("__dot") / (F.col("__lq") * F.col("__lc")), 9).alias("score"))
+
+
 def bm25(queries: DataFrame, tf: DataFrame, df: DataFrame, n_docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """q, cand, score of the distinct terms of queries (q, term) against tf (cand, term, tf)."""
     length = tf.groupBy("cand").agg(F.sum("tf").alias("dl"))
