@@ -28,7 +28,8 @@ from citelens.llm.shared import components, small_batches, table, written
 
 WORDS = 5
 RADIUS = 0.2
-SKETCH = 64
+#: A set's sketch has a part for each 8 of its shingles or fewer, 64 parts at least; with fewer, sets that share nothing look near.
+PER_PART = 8
 #: Shingles of more than a 1/HOT_SHARE of the documents, and more than HOT_LEAST of them, come last in the order. The list of them
 #: is a hint that makes cells small; links are found under any order, so its bound loses none.
 HOT_SHARE, HOT_LEAST, HOT_MOST = 2000, 32, 1 << 18
@@ -104,8 +105,9 @@ def prefix(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """How much of the set lies in each of 64 fixed parts of the hash space. No part's count differs by more than the two sets do there."""
-    return np.minimum(np.bincount((s.view(np.uint64) >> _U(58)).astype(np.int64), minlength=SKETCH), 65535).astype(np.uint16)
+    """How much of the set lies in each part of the hash space, 255 standing for more. The sum of two sketches' differences is at most the sets' own."""
+    bits = max(6, int(np.ceil(np.log2(max(1, len(s)) / PER_PART))))
+    return np.minimum(np.bincount((s.view(np.uint64) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
 def hot_shingles(docs: DataFrame) -> np.ndarray:
@@ -201,15 +203,26 @@ def grouped(batches, keys: int):
         yield held
 
 
-def near_somebody(n: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Which members may be within the radius of another: the sum of differences of their sketches is a lower bound of the sets' difference."""
+def near_somebody(n: np.ndarray, marks: list[bytes]) -> np.ndarray:
+    """Which members may be within the radius of another, by their sizes and sketches. Sets within it differ in size by a quarter
+    at most, so their sketches are of one fineness or of neighbouring ones; the finer is folded."""
     keep = np.zeros(len(n), dtype=bool)
-    step = max(1, (1 << 22) // (len(n) * SKETCH))
-    for a in range(0, len(n), step):
-        apart = np.abs(marks[a : a + step, None, :] - marks[None, :, :]).sum(axis=2)
-        close = 9 * apart <= n[a : a + step, None] + n[None, :]
-        close[np.arange(close.shape[0]), np.arange(a, a + close.shape[0])] = False
-        keep[a : a + step] = close.any(axis=1)
+    fine = np.array([len(m) for m in marks])
+    for parts in np.unique(fine).tolist():
+        own, finer = np.flatnonzero(fine == parts), np.flatnonzero(fine == 2 * parts)
+        a = np.frombuffer(b"".join(marks[i] for i in own), dtype=np.uint8).reshape(len(own), parts).astype(np.int16)
+        b = np.frombuffer(b"".join(marks[i] for i in finer), dtype=np.uint8).reshape(len(finer), parts, 2).astype(np.int16).sum(axis=2, dtype=np.int16)
+        others, both = np.concatenate((own, finer)), np.minimum(np.concatenate((a, b)), 255)
+        step = max(1, (1 << 22) // (len(others) * parts))
+        for i in range(0, len(own), step):
+            rows = own[i : i + step]
+            fits = (4 * n[rows][:, None] <= 5 * n[others][None, :]) & (4 * n[others][None, :] <= 5 * n[rows][:, None]) & (rows[:, None] != others[None, :])
+            x, y = np.nonzero(fits)
+            for k in range(0, len(x), max(1, (1 << 23) // parts)):
+                u, v = x[k : k + max(1, (1 << 23) // parts)], y[k : k + max(1, (1 << 23) // parts)]
+                close = 9 * np.abs(a[i + u] - both[v]).sum(axis=1, dtype=np.int64) <= n[rows[u]] + n[others[v]]
+                keep[rows[u[close]]] = True
+                keep[others[v[close]]] = True
     return keep
 
 
@@ -220,8 +233,7 @@ def thinned(batches):
             continue
         n = t.column(2).to_numpy()
         if t.num_rows <= WHOLE_REGION:
-            marks = np.frombuffer(b"".join(t.column(3).to_pylist()), dtype=np.uint16).reshape(-1, SKETCH).astype(np.int32)
-            keep = near_somebody(n, marks)
+            keep = near_somebody(n, t.column(3).to_pylist())
             if not keep.any():
                 continue
         else:
