@@ -15,7 +15,7 @@ from citelens.llm.shared import small_batches, table
 UNKNOWN = "und"
 DIMENSIONS = 1 << 15
 #: The fit is on at most so many labelled documents of each language, those with the least hash.
-SAMPLE_PER_LANGUAGE = 600
+SAMPLE_PER_LANGUAGE = 400
 CENTROIDS = 4
 #: A text farther from its centroid than the centroid's own far members is rejected; short texts, whose vectors are noisy, get a proportionally lower bar.
 REJECT_QUANTILE, REJECT_SHARE, SURE_LETTERS = 0.01, 0.5, 400
@@ -92,17 +92,21 @@ def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray
 
 def fit(texts: list[str], langs: list[str], k: int = CENTROIDS) -> Model:
     """A model of labelled texts; texts without letters and null labels are left out. No usable text: a model that rejects all."""
-    rows = [(c, lang) for t, lang in zip(texts, langs) if t and lang is not None for c, n in [gram_counts(t)] if n]
+    rows = [((at := np.flatnonzero(c), c[at].astype(np.float32)), lang) for t, lang in zip(texts, langs) if t and lang is not None for c, n in [gram_counts(t)] if n]
     languages = sorted({lang for _, lang in rows})
     if not rows:
         return Model([], np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
-    counts = np.array([c for c, _ in rows])
-    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1
-    x = counts * idf
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    seen = np.zeros(DIMENSIONS)
+    for (at, _), _ in rows:
+        seen[at] += 1
+    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
     centroids, of, bar = [], [], []
-    for i, lang in enumerate(languages):
-        own = x[[lang == other for _, other in rows]]
+    for i, lang in enumerate(languages):  # one language's vectors are in memory at a time
+        mine = [c for c, other in rows if other == lang]
+        own = np.zeros((len(mine), DIMENSIONS), dtype=np.float32)
+        for row, (at, c) in zip(own, mine):
+            row[at] = c * idf[at]
+        own /= np.linalg.norm(own, axis=1, keepdims=True)
         means, near = spherical_means(own, min(k, len(own)))
         cosines = (own * means[near]).sum(axis=1)
         for j, m in enumerate(means):
