@@ -145,7 +145,7 @@ def _(t):
     return top(V.jaccard(*label_sets(t)))
 
 
-@query("R6_boosted", BASE + ", dots AS (SELECT q, cand, count(*) AS dot FROM (SELECT q, term FROM qtf WHERE length(term) >= 14) JOIN ctf USING (term) GROUP BY 1, 2), tp AS (SELECT q, max(dot) AS t FROM dots GROUP BY 1) SELECT rk.q, rk.cand, round(count(*) OVER (PARTITION BY rk.q) - rank + 1 + CASE WHEN t >= 1 AND dot >= t - 1 THEN 1.1 ELSE 0 END, 4) AS points FROM rk LEFT JOIN dots USING (q, cand) LEFT JOIN tp ON tp.q = rk.q")
+@query("R6_boosted", BASE + ", dots AS (SELECT q, cand, count(*) AS dot FROM (SELECT q, term FROM qtf WHERE length(term) >= 14) JOIN ctf USING (term) GROUP BY 1, 2), tp AS (SELECT q, max(dot) AS t FROM dots GROUP BY 1) SELECT rk.q, rk.cand, CAST(round(count(*) OVER (PARTITION BY rk.q) - rank + 1 + CASE WHEN t >= 1 AND dot >= t - 1 THEN 1.1 ELSE 0 END, 4) AS DOUBLE) AS points FROM rk LEFT JOIN dots USING (q, cand) LEFT JOIN tp ON tp.q = rk.q")
 def _(t):
     s = Slice(t)
     dots = s.qtf.where(F.length("term") >= 14).select("q", "term").join(s.ctf, "term").groupBy("q", "cand").agg(F.count("*").alias("dot"))
@@ -202,7 +202,7 @@ def _(t):
     return s.truth.join(a, ["q", "cand"]).join(b, ["q", "cand"]).agg(F.count_if(F.col("a") < F.col("b")).alias("first_better"), F.count_if(F.col("a") > F.col("b")).alias("second_better"), F.count_if(F.col("a") == F.col("b")).alias("equal"))
 
 
-@query("A21_metric_means", PER + "SELECT CAST(k AS INT) AS k, round(sum(ndcg) / count(*), 4) AS ndcg, round(sum(recall), 4) AS hits FROM per GROUP BY k")
+@query("A21_metric_means", PER + "SELECT CAST(k AS INT) AS k, round(sum(ndcg) / count(*), 4) AS ndcg, CAST(round(sum(recall), 4) AS DOUBLE) AS hits FROM per GROUP BY k")
 def _(t):
     s = Slice(t)
     g = M.graded(s.ranking(), s.truth, s.adjacent)
@@ -298,7 +298,7 @@ def _(t):
     return H.roots(edges(t))
 
 
-@query("G3_match_scores", EDGES + "SELECT a.node, b.node AS target, round(coalesce(1 - 0.2 * depth, 0), 4) AS score FROM nodes a JOIN nodes b ON a.node LIKE 's%' AND b.node LIKE 'r%' LEFT JOIN anc ON anc.node = a.node AND anc.ancestor = b.node")
+@query("G3_match_scores", EDGES + "SELECT a.node, b.node AS target, CAST(round(coalesce(1 - 0.2 * depth, 0), 4) AS DOUBLE) AS score FROM nodes a JOIN nodes b ON a.node LIKE 's%' AND b.node LIKE 'r%' LEFT JOIN anc ON anc.node = a.node AND anc.ancestor = b.node")
 def _(t):
     e = edges(t)
     pairs = e.where("child LIKE 's%'").select(F.col("child").alias("node")).distinct().crossJoin(F.broadcast(t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("target"))))
@@ -316,7 +316,7 @@ def _(t):
     return H.expanded(t("lineitem").select(F.col("l_partkey").alias("k"), F.concat(F.lit("s"), "l_suppkey").alias("node")), edges(t), "k", "node")
 
 
-@query("G6_score_sums", EDGES + "SELECT ancestor AS target, round(sum(1 - 0.2 * depth), 4) AS score FROM anc WHERE node LIKE 's%' GROUP BY 1")
+@query("G6_score_sums", EDGES + "SELECT ancestor AS target, CAST(round(sum(1 - 0.2 * depth), 4) AS DOUBLE) AS score FROM anc WHERE node LIKE 's%' GROUP BY 1")
 def _(t):
     up = H.ancestors(edges(t)).where("node LIKE 's%'")
     return up.groupBy(F.col("ancestor").alias("target")).agg(F.round(F.sum(1 - 0.2 * F.col("depth")), 4).alias("score"))

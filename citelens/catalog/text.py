@@ -347,7 +347,7 @@ def _(t):
     return out_degrees(t("nation").select(F.col("n_nationkey").alias("child"), F.col("n_regionkey").alias("parent"))).select(F.col("parent").alias("n_regionkey"), "degree")
 
 
-@query("P42_claim_lines", "SELECT p_partkey, 0.9 AS confidence, p_brand AS subject, 'is' AS predicate, p_type AS object, concat('T:', p_size) AS time FROM part")
+@query("P42_claim_lines", "SELECT p_partkey, CAST(0.9 AS DOUBLE) AS confidence, p_brand AS subject, 'is' AS predicate, p_type AS object, concat('T:', p_size) AS time FROM part")
 def _(t):
     line = F.concat(F.lit("0.90 Context(x):("), "p_brand", F.lit("; is; "), "p_type", F.lit("; T:"), F.col("p_size").cast("string"), F.lit(")"))
     c = X.claim_line(line)
