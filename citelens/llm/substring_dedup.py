@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from citelens.llm.shared import small_batches, table, written
 
-#: A run is the shortest one from (or up to) a sentence that has at least so many sentences and words.
-SENTENCES, RUN_WORDS = 2, 20
-SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|\Z)\s*|\n\s*|[.!?]+|\Z)")
+#: Every window of so many consecutive sentences is hashed. A longer run repeats only where all its windows do, so these find every run of two or more.
+SENTENCES = 2
+#: ASCII marks and those of scripts with spaces end a sentence before white space; the wide marks end one wherever they stand.
+SENTENCE = re.compile(r"[^.!?…؟۔।॥。！？｡\n]*(?:([。！？｡]+[”’」』）]*\s*)|[.!?…؟۔।॥]+(?=\s|\Z)\s*|\n\s*|[.!?…؟۔।॥]+|\Z)")
 OCCURRENCE = "h1 long, h2 long, doc_id {kind}, text_key long, a int, b int"
 
 
@@ -22,7 +23,7 @@ def sentences(text: str) -> list[str]:
     out, held = [], ""
     for m in SENTENCE.finditer(text):
         held += m[0]
-        if held and (held[-1].isspace() or m.end() == len(text)):
+        if held and (m[1] or held[-1].isspace() or m.end() == len(text)):
             if held.strip() or not out:
                 out.append(held)
             else:
@@ -32,32 +33,13 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(parts: list[str]) -> list[tuple[int, int]]:
-    """First and last + 1 sentence of each run."""
-    words = [len(p.split()) for p in parts]
-    found, b, total = set(), 0, 0
-    for a in range(len(parts)):
-        while b < len(parts) and (total < RUN_WORDS or b - a < SENTENCES):
-            total += words[b]
-            b += 1
-        if total < RUN_WORDS or b - a < SENTENCES:
-            break
-        found.add((a, b))
-        total -= words[a]
-    a, total = len(parts), 0
-    for b in range(len(parts), 0, -1):
-        while a > 0 and (total < RUN_WORDS or b - a < SENTENCES):
-            a -= 1
-            total += words[a]
-        if total < RUN_WORDS or b - a < SENTENCES:
-            break
-        found.add((a, b))
-        total -= words[b - 1]
-    return sorted(found)
-
-
-def run_hash(parts: list[str]) -> tuple[int, int]:
-    """128 bits of the run's words in lower case."""
-    d = hashlib.blake2b(" ".join(" ".join(parts).lower().split()).encode(), digest_size=16).digest()
+    """First and last + 1 sentence of each run, however short its sentences are."""
+    return [(a, a + SENTENCES) for a in range(len(parts) - SENTENCES + 1)]
+
+
+def run_hash(words: list[str]) -> tuple[int, int]:
+    """128 bits of a run, given each sentence's words in lower case with single spaces."""
+    d = hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=16).digest()
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
@@ -72,7 +54,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 spans = runs(parts)
                 if not spans:
                     continue
-                h = [run_hash(parts[a:b]) for a, b in spans]
+                words = [" ".join(p.lower().split()) for p in parts]
+                h = [run_hash(words[a:b]) for a, b in spans]
                 one = pa.array([i] * len(spans))
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in h]), pa.array([y for _, y in h]), batch.column(0).take(one), batch.column(1).take(one), pa.array([a for a, _ in spans], pa.int32()), pa.array([b for _, b in spans], pa.int32())], names=["h1", "h2", "doc_id", "text_key", "a", "b"])
 
@@ -95,8 +78,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_sentences, n_removed, n_chars_removed of each row of docs (doc_id, text): the text without the sentences under repeated runs.
 
-    Null texts stay null and have no sentences; empty texts and texts with fewer than 20 words or 2 sentences stay as
-    they are. A run repeated inside one document loses its later places too. Rows with equal id and text are one
+    Null texts stay null and have no sentences; empty texts and texts of one sentence stay as they are. A run repeated inside one document loses its later places too. Rows with equal id and text are one
     document and get equal results. An empty table gives an empty result; other columns are not carried."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()

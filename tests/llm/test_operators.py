@@ -60,6 +60,31 @@ def test_substring_dedup(spark, docs):
         assert got[i] == "".join(x for k, x in enumerate(p) if k not in gone)
 
 
+def test_substring_dedup_all_runs(spark):
+    """Against every run of two or more sentences, enumerated here, with sentences far below any word floor."""
+    rng = random.Random(7)
+    pool = ["Go on. ", "Read it all. ", "No. ", "A line\n", "Of a few more words this time. ", "Why? "]
+    parts = [[rng.choice(pool) for _ in range(rng.randrange(1, 5))] + [f"Only {i} has this. "] + [rng.choice(pool) for _ in range(rng.randrange(4))] for i in range(25)]
+    first, want = {}, []
+    for keep in (False, True):
+        for i, p in enumerate(parts):
+            gone = set()
+            for a in range(len(p)):
+                for b in range(a + 2, len(p) + 1):
+                    if first.setdefault(" ".join("".join(p[a:b]).lower().split()), (i, a)) != (i, a):
+                        gone |= set(range(a, b))
+            if keep:
+                want.append("".join(x for k, x in enumerate(p) if k not in gone))
+    got = {r.doc_id: r.text for r in substring_dedup.without_repeats(documents(spark, ["".join(p) for p in parts])).collect()}
+    assert [got[i] for i in range(len(parts))] == want and sum(w != "".join(p) for w, p in zip(want, parts)) > 10
+
+
+def test_substring_dedup_wide_marks(spark):
+    assert substring_dedup.sentences("他来了。「好！」我走。 نعم؟ لا۔ x") == ["他来了。", "「好！」", "我走。 ", "نعم؟ ", "لا۔ ", "x"]
+    got = {r.doc_id: r.text for r in substring_dedup.without_repeats(documents(spark, ["他来了。我走了。一。", "二。他来了。我走了。"])).collect()}
+    assert got == {0: "他来了。我走了。一。", 1: "二。"}
+
+
 def test_substring_dedup_odd(odd, empty):
     rows = substring_dedup.without_repeats(odd).collect()
     assert len(rows) == 9 and sum(r.text is None for r in rows) == 1
