@@ -17,8 +17,14 @@ DIMENSIONS = 1 << 15
 #: The fit is on at most so many labelled documents of each language, those with the least hash.
 SAMPLE_PER_LANGUAGE = 400
 CENTROIDS = 4
-#: A text farther from its centroid than the centroid's own far members is rejected; short texts, whose vectors are noisy, get a proportionally lower bar.
-REJECT_QUANTILE, REJECT_SHARE, SURE_LETTERS = 0.01, 0.5, 400
+#: A text is rejected below this quantile of the cosines of texts of its own length and language that were kept from the centroids.
+REJECT_QUANTILE = 0.005
+#: Numbers of letters at which the bar is set; between them it is interpolated on a log scale, below the least it falls to 0.
+LENGTHS = np.array([15, 30, 60, 120, 250, 500, 1000, 2000, 4000, 8000])
+#: A length with fewer texts takes in the next shorter ones, so that no bar is that of a few long texts.
+LEAST_TEXTS = 50
+#: A cluster has at least this share of its language's texts, so that no centroid is one odd text.
+LEAST_SHARE = 0.02
 
 _letters: list[np.ndarray] = []
 
@@ -35,7 +41,9 @@ def letter_table() -> np.ndarray:
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, int]:
-    """Hashed counts of the 1- to 3-grams of letters, white space and all else being one space; and the number of letters."""
+    """Logarithms of 1 + hashed counts of the 1- to 3-grams of letters, white space and all else being one space; and the number of letters.
+
+    Bare counts are ruled by the letters that all languages of a script share, and bring foreign languages near."""
     s = letter_table()[np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)]
     gap = s == 32
     letters = int(len(s) - np.count_nonzero(gap))
@@ -50,12 +58,12 @@ def gram_counts(text: str) -> tuple[np.ndarray, int]:
     three = (two[:-1] ^ (s[2:] * np.uint32(0xC2B2AE35))) * k
     shift = np.uint32(32 - 15)
     counts = np.bincount(np.concatenate((one[1:-1] >> shift, two >> shift, three >> shift)), minlength=DIMENSIONS)
-    return counts.astype(np.float64), letters
+    return np.log1p(counts), letters
 
 
 @dataclass
 class Model:
-    """Languages in order, the IDF of each hashed gram, unit centroids, the language of each, and the least cosine it accepts."""
+    """Languages in order, the IDF of each hashed gram, unit centroids, the language of each, and the least cosine that each language accepts at each of LENGTHS."""
 
     languages: list[str]
     idf: np.ndarray
@@ -72,47 +80,81 @@ class Model:
         cosines = self.centroids @ (v / max(np.linalg.norm(v), 1e-12))
         best = int(np.argmax(cosines))
         score = float(min(1.0, max(0.0, cosines[best])))
-        return self.languages[self.of[best]], round(score, 6), score < self.bar[best] * min(1.0, letters / SURE_LETTERS)
-
-
-def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """k unit means by cosine and the mean of each row. Starts from rows far apart, so it is the same each time."""
-    seeds = [int(np.argmax(x @ x.mean(axis=0)))]
-    while len(seeds) < k:
-        seeds.append(int(np.argmin((x @ x[seeds].T).max(axis=1))))
-    means = x[seeds].copy()
-    for _ in range(rounds):
-        near = np.argmax(x @ means.T, axis=1)
-        for j in range(k):
-            if (near == j).any():
-                m = x[near == j].sum(axis=0)
-                means[j] = m / max(np.linalg.norm(m), 1e-12)
-    return means, np.argmax(x @ means.T, axis=1)
+        bar = np.interp(np.log(letters), np.log(LENGTHS), self.bar[self.of[best]]) * min(1.0, letters / LENGTHS[0])
+        return self.languages[self.of[best]], round(score, 6), bool(score < bar)
+
+
+def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """Up to k unit means by cosine. Starts from rows far apart in the nearer three quarters, so it is the same each time; a small cluster joins the others."""
+    to_mean = x @ x.mean(axis=0)
+    inner = x[to_mean >= np.quantile(to_mean, 0.25)]
+    seeds = [int(np.argmax(inner @ x.mean(axis=0)))]
+    while len(seeds) < min(k, len(inner)):
+        seeds.append(int(np.argmin((inner @ inner[seeds].T).max(axis=1))))
+    means = inner[seeds]
+    while True:
+        for _ in range(rounds):
+            near = np.argmax(x @ means.T, axis=1)
+            for j in range(len(means)):
+                if (near == j).any():
+                    m = x[near == j].sum(axis=0)
+                    means[j] = m / max(np.linalg.norm(m), 1e-12)
+        members = np.bincount(np.argmax(x @ means.T, axis=1), minlength=len(means))
+        least = int(np.argmin(members))
+        if len(means) == 1 or members[least] >= max(2, LEAST_SHARE * len(x)):
+            return means
+        means = np.delete(means, least, axis=0)
+
+
+def first_letters(text: str, most: int) -> str:
+    """The text up to its letter number most."""
+    s = letter_table()[np.frombuffer(text[: 64 * most].encode("utf-32-le", "replace"), dtype=np.uint32)]
+    at = np.flatnonzero(s != 32)
+    return text[: at[most - 1] + 1] if len(at) >= most else text
+
+
+def least_cosines(texts: list[str], own: np.ndarray, idf: np.ndarray, k: int) -> np.ndarray:
+    """A language's bar at each of LENGTHS: each half of its texts, cut to each length and whole, is held against centroids of the other half."""
+    found: list[list[float]] = [[] for _ in LENGTHS]
+    halves = (0, 1) if len(texts) > 1 else (0,)
+    for half in halves:
+        means = spherical_means(own[1 - half :: 2] if len(halves) == 2 else own, k)
+        for text in texts[half::2]:
+            letters = gram_counts(text)[1]
+            for cut in [*(n for n in LENGTHS if n < letters), letters]:
+                v = (gram_counts(first_letters(text, int(cut)))[0] * idf).astype(np.float32)
+                band = min(int(np.searchsorted(LENGTHS, cut)), len(LENGTHS) - 1)
+                found[band].append(float((means @ v).max() / max(np.linalg.norm(v), 1e-12)))
+    for j in range(len(LENGTHS) - 1, 0, -1):
+        for i in range(j - 1, -1, -1):
+            if len(found[j]) >= LEAST_TEXTS:
+                break
+            found[j] = found[j] + found[i]
+    had = [j for j, c in enumerate(found) if c]
+    return np.interp(np.log(LENGTHS), np.log(LENGTHS[had]), [float(np.quantile(found[j], REJECT_QUANTILE)) for j in had])
 
 
 def fit(texts: list[str], langs: list[str], k: int = CENTROIDS) -> Model:
     """A model of labelled texts; texts without letters and null labels are left out. No usable text: a model that rejects all."""
-    rows = [((at := np.flatnonzero(c), c[at].astype(np.float32)), lang) for t, lang in zip(texts, langs) if t and lang is not None for c, n in [gram_counts(t)] if n]
-    languages = sorted({lang for _, lang in rows})
+    rows = [((at := np.flatnonzero(c), c[at].astype(np.float32)), lang, t) for t, lang in zip(texts, langs) if t and lang is not None for c, n in [gram_counts(t)] if n]
+    languages = sorted({lang for _, lang, _ in rows})
     if not rows:
-        return Model([], np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
+        return Model([], np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros((0, len(LENGTHS))))
     seen = np.zeros(DIMENSIONS)
-    for (at, _), _ in rows:
+    for (at, _), _, _ in rows:
         seen[at] += 1
     idf = np.log((1 + len(rows)) / (1 + seen)) + 1
     centroids, of, bar = [], [], []
     for i, lang in enumerate(languages):  # one language's vectors are in memory at a time
-        mine = [c for c, other in rows if other == lang]
+        mine = [(c, t) for c, other, t in rows if other == lang]
         own = np.zeros((len(mine), DIMENSIONS), dtype=np.float32)
-        for row, (at, c) in zip(own, mine):
+        for row, ((at, c), _) in zip(own, mine):
             row[at] = c * idf[at]
         own /= np.linalg.norm(own, axis=1, keepdims=True)
-        means, near = spherical_means(own, min(k, len(own)))
-        cosines = (own * means[near]).sum(axis=1)
-        for j, m in enumerate(means):
-            centroids.append(m)
-            of.append(i)
-            bar.append(REJECT_SHARE * float(np.quantile(cosines[near == j] if (near == j).any() else cosines, REJECT_QUANTILE)))
+        means = spherical_means(own, k)
+        centroids.extend(means)
+        of.extend([i] * len(means))
+        bar.append(least_cosines([t for _, t in mine], own, idf, k))
     return Model(languages, idf, np.array(centroids, dtype=np.float32), np.array(of), np.array(bar))
 
 

@@ -310,6 +310,18 @@ def test_language_held_out(spark):
     assert far.language_id.rejected
 
 
+@pytest.mark.parametrize("out", ["de", "en", "es", "fr"])
+def test_language_left_out(spark, out):
+    """A Latin-script language that the model has not seen, and random letters, are rejected."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null").collect()
+    model = language_id.fit([r.text for r in rows if r.lang != out], [r.lang for r in rows if r.lang != out])
+    foreign = [model.predict(r.text)[2] for r in rows if r.lang == out]
+    assert sum(foreign) >= 0.95 * len(foreign)
+    rng = random.Random(1)
+    for n in (100, 400, 2000):
+        assert sum(model.predict("".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)))[2] for _ in range(50)) >= 48
+
+
 def test_language_odd(odd, empty):
     model = language_id.fit(["the cat sat", "le chat est là", None, "42"], ["en", "fr", "en", "xx"])
     rows = language_id.language_of(odd, model).select("text", "language_id.*").collect()
