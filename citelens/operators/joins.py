@@ -35,7 +35,9 @@ def contained_titles(references: DataFrame, titles: DataFrame, ref_key: str, tit
     """ref_key, title_key of each cleaned title that a cleaned reference contains.
 
     Pairs come from a shared word, not from a cross join: a title's rarest word, cut at the title's ends where other
-    letters could touch it, has to be inside the reference's words. A title of one or two words is tested by its own words."""
+    letters could touch it, has to be inside the reference's words. A title of one or two words can begin and end inside
+    other words, so its rarest three letters in a row have to be among the reference's; one of one or two letters is
+    itself among the reference's rows of so many letters."""
     words = references.select(ref_key, F.explode(F.array_distinct(F.split("reference", " "))).alias("word"))
     df = words.groupBy("word").agg(F.count("*").alias("df"))
     t = titles.where("title <> ''").withColumn("__w", F.split("title", " "))
@@ -43,9 +45,24 @@ def contained_titles(references: DataFrame, titles: DataFrame, ref_key: str, tit
     rare = best_candidate(inner.join(df, "word"), [title_key], [F.col("df"), F.col("word")]).select(title_key, "title", "word")
     pairs = words.join(rare, "word").select(ref_key, title_key, "title").join(references, ref_key)
     found = pairs.where(F.contains("reference", "title")).select(ref_key, title_key)
-    short = t.where(F.size("__w") <= 2).select(title_key, "title")
-    few = references.join(F.broadcast(short.limit(10_000)), F.contains("reference", "title")).select(ref_key, title_key)
-    return found.unionByName(few)
+    short = t.where(F.size("__w") <= 2).select(title_key, "title", F.least(F.length("title"), F.lit(3)).alias("n"))
+    sizes = F.sequence(F.lit(1), F.lit(3))
+    held = references.select(ref_key, F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda n: pieces(F.col("reference"), n))))).alias("piece"))
+    parts = short.select(title_key, "title", F.explode(F.array_distinct(pieces(F.col("title"), F.col("n")))).alias("piece"))
+    wanted = parts.select("piece").distinct()
+    held = held.join(wanted, "piece", "left_semi")
+    piece_df = held.groupBy("piece").agg(F.count("*").alias("df"))
+    # A title with a piece that no reference has is in none of them; a left join keeps its zero, which is then the rarest.
+    rarest = best_candidate(parts.join(piece_df, "piece", "left").withColumn("df", F.coalesce("df", F.lit(0))), [title_key], [F.col("df"), F.col("piece")]).select(title_key, "title", "piece")
+    few = held.join(rarest, "piece").select(ref_key, title_key, "title").join(references, ref_key)
+    return found.unionByName(few.where(F.contains("reference", "title")).select(ref_key, title_key))
+
+
+def pieces(text, n):
+    """All runs of n letters of a text; none if it is shorter."""
+    n = F.lit(n) if isinstance(n, int) else n
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substring(text, i, n))
 
 
 def without_done(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

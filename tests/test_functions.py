@@ -107,3 +107,13 @@ def test_claims():
     tree = [dict(idx=1, head=2, rel="nsubj", text="Paper", tag="NOUN"), dict(idx=2, head=0, rel="root", text="shows", tag="VERB")]
     assert parse.claims(tree) == [(1.0, "shows:paper")]
     assert parse.claims([dict(idx=1, head=0, rel="root", text="MAINCIT", tag="NOUN")]) == []
+
+
+def test_short_titles_have_no_cap(spark):
+    """More short titles than a broadcast of 10,000 rows held, against all pairs; also inside words, of one letter, and in no reference."""
+    from citelens.operators.joins import contained_titles
+
+    titles = [(i, f"t{i}x") for i in range(10_400)] + [(20_000, "a"), (20_001, "b c"), (20_002, "qq"), (20_003, "zzz"), (20_004, "t3x t4x")]
+    refs = [(1, "at10399xb and t5x"), (2, "t3x t4x t10001x"), (3, "rub cat"), (4, "a"), (5, "")]
+    got = contained_titles(spark.createDataFrame(refs, "r long, reference string"), spark.createDataFrame(titles, "k long, title string"), "r", "k").collect()
+    assert sorted(map(tuple, got)) == sorted((r, k) for r, x in refs for k, y in titles if y in x)
