@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from citelens.catalog.registry import query
+from citelens.catalog.registry import SQL, query
 from citelens.functions.text import letter_words
 from citelens.operators import hierarchy as H
 from citelens.operators import ranking as R
@@ -129,12 +129,22 @@ def _(t):
 LABELS = "WITH q AS (SELECT DISTINCT o_orderkey AS q, s_nationkey AS label FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderkey % 50 = 0), c AS (SELECT DISTINCT l_partkey AS cand, s_nationkey AS label FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey % 5 = 0), nq AS (SELECT q, count(*) AS n FROM q GROUP BY 1), nc AS (SELECT cand, count(*) AS n FROM c GROUP BY 1), m AS (SELECT q, cand, count(*) AS m FROM q JOIN c USING (label) GROUP BY 1, 2) "
 
 
+def label_rows(t):
+    return t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_partkey", F.col("s_nationkey").alias("label"))
+
+
 def label_sets(t):
-    """Queries are every fiftieth order, candidates every fifth part: a stated query set, as the test contexts are."""
-    rows = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_partkey", F.col("s_nationkey").alias("label"))
+    """Queries are every fiftieth order, candidates every fifth part, as the SQL of R5 and R5b has it."""
+    rows = label_rows(t)
     return rows.where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("q"), "label").distinct(), rows.where("l_partkey % 5 = 0").select(F.col("l_partkey").alias("cand"), "label").distinct()
 
 
+def all_label_sets(t):
+    """Every order is a query, every part a candidate."""
+    rows = label_rows(t)
+    return rows.select(F.col("l_orderkey").alias("q"), "label").distinct(), rows.select(F.col("l_partkey").alias("cand"), "label").distinct()
+
+
 @query("R5_containment", LABELS + TOP.format("(SELECT q, cand, round(m * 1.0 / n, 9) AS score FROM m JOIN nc USING (cand))"))
 def _(t):
     return top(V.containment(*label_sets(t)))
@@ -145,6 +155,21 @@ def _(t):
     return top(V.jaccard(*label_sets(t)))
 
 
+def whole(key):
+    """The SQL of a query without its filters on orders and parts."""
+    return SQL[key].replace(" WHERE o_orderkey % 50 = 0", "").replace(" WHERE l_partkey % 5 = 0", "")
+
+
+@query("R5_containment_all", whole("R5_containment"))
+def _(t):
+    return top(V.containment(*all_label_sets(t)))
+
+
+@query("R5b_jaccard_all", whole("R5b_jaccard"))
+def _(t):
+    return top(V.jaccard(*all_label_sets(t)))
+
+
 @query("R6_boosted", BASE + ", dots AS (SELECT q, cand, count(*) AS dot FROM (SELECT q, term FROM qtf WHERE length(term) >= 14) JOIN ctf USING (term) GROUP BY 1, 2), tp AS (SELECT q, max(dot) AS t FROM dots GROUP BY 1) SELECT rk.q, rk.cand, CAST(round(count(*) OVER (PARTITION BY rk.q) - rank + 1 + CASE WHEN t >= 1 AND dot >= t - 1 THEN 1.1 ELSE 0 END, 4) AS DOUBLE) AS points FROM rk LEFT JOIN dots USING (q, cand) LEFT JOIN tp ON tp.q = rk.q")
 def _(t):
     s = Slice(t)
