@@ -292,15 +292,24 @@ def _(t):
     return MA.quality(rows, guess)
 
 
-@query("M1_resolved", "WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT uuid, paper FROM (SELECT a.p_partkey AS uuid, b.p_partkey AS paper, row_number() OVER (PARTITION BY a.p_partkey ORDER BY coalesce(n, 0) DESC, b.p_partkey) AS rn FROM part a JOIN part b ON lower(trim(regexp_replace(regexp_replace(a.p_name, '[^a-zA-Z0-9_]', ' ', 'g'), '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(regexp_replace(b.p_name, '[^a-zA-Z0-9_]', ' ', 'g'), '\\s+', ' ', 'g'))) LEFT JOIN c ON l_partkey = b.p_partkey WHERE a.p_partkey % 10 = 0 AND contains(lower(regexp_replace(a.p_brand, '[^a-zA-Z0-9_]', ' ', 'g')), split_part(lower(regexp_replace(b.p_brand, '[^a-zA-Z0-9_]', ' ', 'g')), ' ', 1))) WHERE rn = 1")
-def _(t):
+def resolved(t, cited):
     n = t("lineitem").groupBy(F.col("l_partkey").alias("paper")).agg(F.count("*").alias("citations"))
     papers = t("part").select(F.col("p_partkey").alias("paper"), F.col("p_name").alias("title")).join(n, "paper", "left").withColumn("citations", F.coalesce("citations", F.lit(0)))
     authors = t("part").select(F.col("p_partkey").alias("paper"), F.col("p_brand").alias("author"))
-    refs = t("part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("uuid"), F.col("p_name").alias("title"), F.col("p_brand").alias("reference"))
+    refs = cited.select(F.col("p_partkey").alias("uuid"), F.col("p_name").alias("title"), F.col("p_brand").alias("reference"))
     return MA.resolve(refs, papers, authors)
 
 
+@query("M1_resolved", "WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT uuid, paper FROM (SELECT a.p_partkey AS uuid, b.p_partkey AS paper, row_number() OVER (PARTITION BY a.p_partkey ORDER BY coalesce(n, 0) DESC, b.p_partkey) AS rn FROM part a JOIN part b ON lower(trim(regexp_replace(regexp_replace(a.p_name, '[^a-zA-Z0-9_]', ' ', 'g'), '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(regexp_replace(b.p_name, '[^a-zA-Z0-9_]', ' ', 'g'), '\\s+', ' ', 'g'))) LEFT JOIN c ON l_partkey = b.p_partkey WHERE a.p_partkey % 10 = 0 AND contains(lower(regexp_replace(a.p_brand, '[^a-zA-Z0-9_]', ' ', 'g')), split_part(lower(regexp_replace(b.p_brand, '[^a-zA-Z0-9_]', ' ', 'g')), ' ', 1))) WHERE rn = 1")
+def _(t):
+    return resolved(t, t("part").where("p_partkey % 10 = 0"))
+
+
+@query("M1_resolved_all", SQL["M1_resolved"].replace("a.p_partkey % 10 = 0 AND ", ""))
+def _(t):
+    return resolved(t, t("part"))
+
+
 # hierarchy -----------------------------------------------------------------------------------------------------------
 
 EDGES = "WITH RECURSIVE e AS (SELECT concat('s', s_suppkey) AS child, concat('n', s_nationkey) AS parent FROM supplier UNION ALL SELECT concat('s', s_suppkey), concat('n', (s_nationkey + 7) % 25) FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation), nodes AS (SELECT child AS node FROM e UNION SELECT parent FROM e), up(node, ancestor, depth) AS (SELECT node, node, 0 FROM nodes UNION SELECT up.node, e.parent, depth + 1 FROM up JOIN e ON up.ancestor = e.child WHERE depth < 5), anc AS (SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY 1, 2) "

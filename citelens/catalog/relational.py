@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from citelens.catalog.registry import query
+from citelens.catalog.registry import SQL, query
 from citelens.operators import aggregates as A
 from citelens.operators import joins as J
 from citelens.operators import ranking as R
@@ -138,10 +138,19 @@ def _(t):
     return near.groupBy("cited").agg(F.array_join(F.array_sort(F.collect_set(F.col("other").cast("string"))), ",").alias("adjacent"))
 
 
+def aligned(events):
+    e = events.select("user_id", "event_type").distinct()
+    return e.withColumnRenamed("user_id", "a").join(e.withColumnRenamed("user_id", "b"), "event_type").where("a < b").groupBy("a", "b", "event_type").agg(F.count("*").alias("n"))
+
+
 @query("J19_aligned_raters", "SELECT a.user_id AS a, b.user_id AS b, a.event_type, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) a JOIN (SELECT DISTINCT user_id, event_type FROM events) b ON a.event_type = b.event_type AND a.user_id < b.user_id AND a.user_id <= 20 AND b.user_id <= 20 GROUP BY 1, 2, 3")
 def _(t):
-    e = t("events").where("user_id <= 20").select("user_id", "event_type").distinct()
-    return e.withColumnRenamed("user_id", "a").join(e.withColumnRenamed("user_id", "b"), "event_type").where("a < b").groupBy("a", "b", "event_type").agg(F.count("*").alias("n"))
+    return aligned(t("events").where("user_id <= 20"))
+
+
+@query("J19_aligned_raters_all", SQL["J19_aligned_raters"].replace(" AND a.user_id <= 20 AND b.user_id <= 20", ""))
+def _(t):
+    return aligned(t("events"))
 
 
 @query("J20_first_match", "SELECT p_partkey, p_name FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) ORDER BY p_partkey LIMIT 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from citelens.catalog.registry import query
+from citelens.catalog.registry import SQL, query
 from citelens.functions import spans as S
 from citelens.functions import text as X
 
@@ -184,12 +184,21 @@ def plain_sentences(t):
     return t("documents").select("doc_id", F.posexplode(s).alias("p", "sentence")).select("doc_id", (F.col("p") + 1).cast("long").alias("at"), "sentence")
 
 
-@query("P23_sentence_windows", f"WITH s AS {SENTENCES} SELECT a.doc_id, a.at, string_agg(b.sentence, ' ' ORDER BY b.at) AS window_text FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.at BETWEEN a.at - 1 AND a.at + 1 WHERE a.at % 7 = 1 GROUP BY a.doc_id, a.at")
-def _(t):
+def sentence_windows(t):
     from pyspark.sql import Window
 
     near = Window.partitionBy("doc_id").orderBy("at").rowsBetween(-1, 1)
-    return plain_sentences(t).withColumn("window_text", F.array_join(F.collect_list("sentence").over(near), " ")).where("at % 7 = 1").drop("sentence")
+    return plain_sentences(t).withColumn("window_text", F.array_join(F.collect_list("sentence").over(near), " ")).drop("sentence")
+
+
+@query("P23_sentence_windows", f"WITH s AS {SENTENCES} SELECT a.doc_id, a.at, string_agg(b.sentence, ' ' ORDER BY b.at) AS window_text FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.at BETWEEN a.at - 1 AND a.at + 1 WHERE a.at % 7 = 1 GROUP BY a.doc_id, a.at")
+def _(t):
+    return sentence_windows(t).where("at % 7 = 1")
+
+
+@query("P23_sentence_windows_all", SQL["P23_sentence_windows"].replace(" WHERE a.at % 7 = 1", ""))
+def _(t):
+    return sentence_windows(t)
 
 
 @query("P24_sentences", f"WITH s AS {SENTENCES} SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(max(length(sentence)) AS BIGINT) AS longest FROM s GROUP BY doc_id")

@@ -9,3 +9,8 @@ from citelens import catalog
 def test_all_orders_and_parts(key):
     """Agreement with this SQL is tested in test_catalog."""
     assert "% 50" not in catalog.SQL[key] and "% 5 " not in catalog.SQL[key]
+
+
+@pytest.mark.parametrize("key, cut", [("M1_resolved_all", "% 10"), ("P23_sentence_windows_all", "% 7"), ("J19_aligned_raters_all", "<= 20")])
+def test_all_rows(key, cut):
+    assert cut not in catalog.SQL[key] and cut in catalog.SQL[key.removesuffix("_all")]
