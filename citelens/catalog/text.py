@@ -246,20 +246,24 @@ def _(t):
 GRAMS = r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(text, '[^a-zA-Z0-9-]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents), g AS (SELECT DISTINCT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS chunk FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, range(1, 4) r(n) WHERE len(w) >= n)), d AS (SELECT chunk FROM g GROUP BY chunk HAVING count(*) BETWEEN 4 AND 5), m AS (SELECT g.* FROM g JOIN d USING (chunk))"
 
 
-def gazetteer(t):
-    """Phrases of up to three words that four or five documents have."""
-    from citelens.operators.contexts import grams
+def known_phrases(docs, counts):
+    """doc_id, chunk: phrases of up to three words that so many documents have (a condition on count), and are in no longer one of their document."""
+    from citelens.operators.contexts import grams, maximal_phrases
 
-    g = grams(t("documents"), "doc_id", "text", 3)
-    return g, g.groupBy("chunk").count().where("count BETWEEN 4 AND 5").select("chunk")
+    g = grams(docs, "doc_id", "text", 3)
+    known = g.groupBy("chunk").count().where(counts).select("chunk")
+    return maximal_phrases(g.join(known, "chunk", "left_semi"), "doc_id", "chunk")
 
 
 @query("P29_phrases", GRAMS + " SELECT doc_id, chunk FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND length(o.chunk) > length(m.chunk) AND contains(o.chunk, m.chunk))")
 def _(t):
-    from citelens.operators.contexts import maximal_phrases
+    return known_phrases(t("documents"), "count BETWEEN 4 AND 5")
 
-    g, known = gazetteer(t)
-    return maximal_phrases(g.join(known, "chunk"), "doc_id", "chunk")
+
+@query("P29_phrases_all")
+def _(t):
+    """Phrases of four or more documents. It has no SQL: comparing all phrases of a long text with each other takes too long there."""
+    return known_phrases(t("documents"), "count >= 4")
 
 
 @query("P30_phrase_before_marker", r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(text, '[^a-zA-Z0-9-]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, n, array_to_string(w[len(w) - n + 1:], ' ') AS chunk FROM w, range(2, 4) r(n) WHERE len(w) >= n), d AS (SELECT chunk FROM g GROUP BY chunk HAVING count(*) >= 2) SELECT doc_id, max(chunk) FILTER (WHERE n = m) AS chunk FROM (SELECT g.*, max(n) OVER (PARTITION BY doc_id) AS m FROM g JOIN d USING (chunk)) GROUP BY doc_id")

@@ -14,3 +14,22 @@ def test_all_orders_and_parts(key):
 @pytest.mark.parametrize("key, cut", [("M1_resolved_all", "% 10"), ("P23_sentence_windows_all", "% 7"), ("J19_aligned_raters_all", "<= 20")])
 def test_all_rows(key, cut):
     assert cut not in catalog.SQL[key] and cut in catalog.SQL[key.removesuffix("_all")]
+
+
+def test_hot_phrases_stay(spark):
+    """A phrase of seven documents is found, one of three is not; against every pair of phrases."""
+    from citelens.catalog.text import known_phrases
+
+    texts = ["deep neural networks " + w for w in ("a", "b", "c", "d", "e", "f", "g")] + ["rare pair"] * 3 + ["neural x", "neural y"]
+    owners = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for n in (1, 2, 3):
+            for a in range(len(w) - n + 1):
+                owners.setdefault(" ".join(w[a : a + n]), set()).add(i)
+    has = [(i, p) for p, o in owners.items() if len(o) >= 4 for i in o]
+    want = {(i, p) for i, p in has if not any(i == j and p != q and p in q for j, q in has)}
+    got = known_phrases(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "count >= 4").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and (0, "deep neural networks") in want and (10, "neural") in want
+    everything = catalog.QUERIES["P29_phrases_all"](spark, "/root/testdata/sf0.001")
+    assert everything.join(everything.groupBy("chunk").count().where("count > 5"), "chunk", "left_semi").count() > 0
