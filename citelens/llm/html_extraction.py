@@ -60,10 +60,12 @@ def opened(tag: str, attributes: str) -> tuple[str, str, bool]:
 
 
 class Node:
-    __slots__ = ("tag", "path", "drop", "chars", "links", "paragraphs")
+    __slots__ = ("tag", "path", "drop", "home", "chars", "links", "paragraphs")
 
-    def __init__(self, tag, path, drop):
+    def __init__(self, tag, path, drop, home=""):
         self.tag, self.path, self.drop = tag, path, drop
+        # The path of the nearest article or main that it is or is in.
+        self.home = path if tag in ("article", "main") else home
         self.chars = self.links = self.paragraphs = 0
 
 
@@ -118,7 +120,7 @@ def walk(page: str):
         if tag in VOID:
             yield "void", tag, above
             continue
-        node = Node(tag, above.path + step, above.drop or drop)
+        node = Node(tag, above.path + step, above.drop or drop, above.home)
         stack.append(node)
         yield "open", node
         if tag in RAW:
@@ -129,7 +131,9 @@ def walk(page: str):
 
 
 def container_scores(page: str) -> list[tuple[str, float]]:
-    """Path and score of each container: its text that is not in links, with more for paragraphs and telling names; text counts for its two nearest containers."""
+    """Path and score of each container: its text that is not in links, with more for paragraphs and telling names; text counts for its three nearest containers.
+
+    A container in an article or main counts for the nearest of these, so that no wrapper inside wins alone and leaves out the headline and its siblings."""
     found: dict[str, float] = {}
     open_nodes: list[Node] = []
     link = 0
@@ -148,7 +152,8 @@ def container_scores(page: str) -> list[tuple[str, float]]:
                 plain = max(0, node.chars - 2 * node.links)
                 last = node.path.rsplit("/", 1)[-1]
                 score = plain * CLASS_BONUS[node.tag] * (1.2 if GOOD_NAME.search(last[len(node.tag) :]) else 1.0) + 25.0 * node.paragraphs
-                found[node.path] = found.get(node.path, 0.0) + score
+                to = node.home or node.path
+                found[to] = found.get(to, 0.0) + score
         elif kind == "text" and not what[1].drop:
             n = len(" ".join(what[0].split()))
             share, levels = 1.0, 0

@@ -159,6 +159,17 @@ def test_html_parts():
     assert html_extraction.main_text("<p>cut <b>off</b", None) == "cut off"
 
 
+def test_html_nested_wrappers(spark):
+    """A wrapper with most of an article's text does not leave out the headline and the other blocks."""
+    long = "A paragraph of the article with a good many words in it, number {}."
+    page = "<html><body><nav>Home</nav>{}<div class='x'><p>Short.</p></div></body></html>"
+    inner = "<h1>Title</h1><div class='content'><p>" + long.format(1) + "</p><p>" + long.format(2) + "</p></div><div class='more'><p>" + long.format(3) + "</p></div>"
+    want = "\n".join(["Title", *(long.format(k) for k in (1, 2, 3))])
+    for wrap in ("<article>{}</article>", "<main><article class='post'>{}</article></main>", "<main><div class='outer'>{}</div></main>"):
+        df = spark.createDataFrame([(i, f"https://h.org/{i}", page.format(wrap.format(inner))) for i in range(3)], "page_id long, url string, html string")
+        assert {r.main_text for r in html_extraction.extract(df).collect()} == {want}
+
+
 def test_html_odd(spark):
     rows = [(1, "http://a.example/1", None), (2, None, "<p>no host</p>"), (2, None, "<p>no host</p>"), (3, "nonsense", "")]
     pages = spark.createDataFrame([r + ("clash",) for r in rows], "page_id long, url string, html string, main_text string")
