@@ -1,4 +1,4 @@
-"""Shared storage, batch sizes and connected components for the operators of this subpackage."""
+"""Shared storage, bounded batches and connected components for the operators of this subpackage."""
 
 from __future__ import annotations
 
@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, as in tests, a local master gets a local folder; on a cluster it raises."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/citelens-shared"
     return root.rstrip("/")
 
@@ -25,7 +27,24 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it again."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by written() whose readers have all been written themselves."""
+    for table_ in tables:
+        spark = table_.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table_.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def opened(folder: str):
+    """The file system of a folder and its path there; any that executors can reach, not only local ones."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +57,25 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with underscores added until df has no column of it in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def bounded(batches, rows: int = 500):
+    """Arrow batches in parts of so many rows. Spark bounds a batch by bytes (64 MB unless set), this what becomes Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components", most: int = 60) -> DataFrame:
     """Columns node, root of every node that has an edge; root is the least node of its component.
 
@@ -52,7 +90,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        pairs = written(small, name)
+        before, pairs = pairs, written(small, name)
+        forget(before)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
