@@ -20,6 +20,9 @@ BASE = (("assign", ASSIGN, 12), ("access", ACCESS, 18), ("hex", HEX, 16))
 NEEDED = {"assign": r"(?i)(?:passw|secret|token|api_?key)", "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}"}
 
 
+BASE64 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
+
+
 @dataclass(frozen=True)
 class CharacterClass:
     """Candidates are runs of an alphabet, of at least `window` characters; one is a secret if some window's entropy reaches `bits`."""
@@ -28,85 +31,108 @@ class CharacterClass:
     run: str
     window: int
     bits: float
+    alphabet: str
 
 
 #: Runs of letters alone are words, whatever their entropy: a candidate has to hold a digit and a letter.
 CLASSES = (
-    CharacterClass("hexwin", r"(?<![0-9A-Za-z+/_=-])(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{20,}+(?![0-9A-Za-z+/_=-])", 20, 3.0),
-    CharacterClass("b64win", r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[0-9A-Za-z+/_=-]{24,}+", 24, 3.9),
+    CharacterClass("hexwin", r"(?<![0-9A-Za-z+/_=-])(?=[A-F]*[0-9])(?=[0-9]*[A-F])[0-9A-F]{20,}+(?![0-9A-Za-z+/_=-])", 20, 3.0, BASE64[:16]),
+    CharacterClass("b64win", r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[0-9A-Za-z+/_=-]{24,}+", 24, 3.9, BASE64),
 )
 #: A candidate that matches is no secret: identifiers in a fixed form, sample values, counted-up alphabets.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|dummy|sample|redacted",
     r"(?i)0123456789|abcdefghij|(.)\1{7}",
-    r"(?i)^/?(?:[a-z]+[/_-])+[a-z]*[0-9]{0,4}$",
+    r"(?i)^/?(?:[a-z]++[/_-])++[a-z]*+[0-9]{0,4}$",
 )
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+MATCHES = "array<struct<start:int,kind:int,end:int,own:string>>"
+PIECES = "array<struct<gap:int,length:int,kept:boolean,own:string>>"
+
+
+#: Matches are placed by running sums inside chunks of so many, so that a text of many matches needs no array that grows by one at each.
+CHUNK = 128
 
 
 def positions(text: Column, pattern: str, least: int, kind: int, group: int = 1) -> Column:
-    """Spans (start, kind, end; code points) of the pattern's leftmost non-overlapping matches whose group has at least so many characters."""
+    """Matches (start, kind, end in code points; own: the matched string) of the pattern's leftmost non-overlapping matches whose group has at least so many characters."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
-    pieces = F.arrays_zip(gaps.alias("g"), whole.alias("w"), part.alias("p"))
+    sized = F.transform(F.arrays_zip(gaps.alias("g"), whole.alias("w"), part.alias("p")), lambda x: F.struct(F.char_length(x["g"]).alias("gap"), F.coalesce(F.char_length(x["w"]), F.lit(0)).alias("length"), (F.char_length(x["p"]) >= least).alias("kept"), x["w"].alias("own")))
+
+    def placed(pieces):
+        chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1)), F.lit(CHUNK)), lambda i: F.slice(pieces, i, CHUNK))
+        sums = F.transform(chunks, lambda c: F.struct(c.alias("c"), F.aggregate(c, F.lit(0), lambda n, x: n + x["gap"] + x["length"]).alias("n")))
+        started = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<at:int,c:{PIECES}>>").alias("out")), lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), x["c"].alias("c")))).alias("out")), lambda a: a["out"])
+        return F.flatten(F.transform(started, lambda x: F.aggregate(x["c"], F.struct(x["at"].alias("at"), F.array().cast(MATCHES).alias("spans")), step, lambda a: a["spans"])))
 
     def step(acc, x):
-        start = acc["at"] + F.char_length(x["g"])
-        end = start + F.coalesce(F.char_length(x["w"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["p"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        start = acc["at"] + x["gap"]
+        end = start + x["length"]
+        match = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["own"].alias("own"))
+        return F.struct(end.alias("at"), F.when(x["kept"], F.concat(acc["spans"], F.array(match))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")), step, lambda a: a["spans"])
+    # An array of one binds the pieces, so that they are worked out once.
+    return F.element_at(F.transform(F.array(sized), placed), 1)
 
 
-def window_entropy(candidate: Column, window: int) -> Column:
+def window_entropy(candidate: Column, window: int, alphabet: str = BASE64, enough: float | None = None) -> Column:
     """The highest Shannon entropy, in bits a character, of any window of so many characters; 0 for shorter strings.
 
-    Counts change by one character out and one in at each step: with the sum S of f(c) = c * log2(c) over the window's
-    counts, the entropy is log2(n) - S / n, and one change of a count moves S by a difference of f."""
+    The counts of the alphabet's characters are one string with a character for each, and change by one character out and
+    one in at each step: with the sum S of f(c) = c * log2(c) over the counts, the entropy is log2(n) - S / n, and one change
+    of a count moves S by a difference of f. Characters beyond the alphabet are counted as one. Where enough is given, the
+    scan rests at the first window that has so much."""
     rise = F.array(*[F.lit((c + 1) * log2(c + 1) - (c * log2(c) if c else 0.0)) for c in range(window + 1)])
-    at = lambda i, n=1: F.substring(candidate, i, n)
-    count = lambda w, c: F.char_length(w) - F.char_length(F.replace(w, c, F.lit("")))
-    moved = lambda c: F.element_at(rise, (c + 1).cast("int"))
+    none = F.lit("0" * (len(alphabet) + 1))
+    slots = F.transform(F.split(candidate, ""), lambda c: F.when(F.instr(F.lit(alphabet), c) > 0, F.instr(F.lit(alphabet), c)).otherwise(len(alphabet) + 1))
 
-    def change(i):
-        new = moved(count(at(F.greatest(F.lit(1), i - window + 1), F.least(i - 1, F.lit(window - 1))), at(i)))
-        old = moved(count(at(i - window, F.lit(window)), at(i - window)) - 1)
-        return F.struct(F.when(i > window, new - old).otherwise(new).alias("by"), (i >= window).alias("full"))
+    def scanned(slot):
+        # Step 2 k lets the character before the window of k out, step 2 k + 1 lets character k in.
+        def step(acc, e):
+            k = F.floor(e / 2).cast("int")
+            goes = e % 2 == 0
+            at = F.element_at(slot, F.when(goes, k - window).otherwise(k))
+            return F.when(acc["done"] | (goes & (k <= window)), acc).otherwise(F.element_at(F.transform(F.array(F.struct(at.alias("at"), (F.ascii(F.substring(acc["counts"], at, F.lit(1))) - 48).alias("n"))), lambda x: moved(acc, x["at"], x["n"], goes, k)), 1))
 
-    def step(acc, x):
-        total = acc["s"] + x["by"]
-        best = F.when(x["full"], F.greatest(acc["best"], F.lit(log2(window)) - total / window)).otherwise(acc["best"])
-        return F.struct(total.alias("s"), best.alias("best"))
+        def moved(acc, at, n, goes, k):
+            s = acc["s"] + F.when(goes, -F.element_at(rise, F.greatest(n, F.lit(1)))).otherwise(F.element_at(rise, F.least(n + 1, F.lit(window + 1))))
+            counts = F.overlay(acc["counts"], F.char((n + F.when(goes, -1).otherwise(1) + 48).cast("long")), at, F.lit(1))
+            best = F.when(~goes & (k >= window), F.greatest(acc["best"], F.lit(log2(window)) - s / window)).otherwise(acc["best"])
+            done = best >= enough if enough is not None else F.lit(False)
+            return F.struct(counts.alias("counts"), s.alias("s"), best.alias("best"), done.alias("done"))
+
+        start = F.struct(none.alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.lit(False).alias("done"))
+        return F.aggregate(F.sequence(F.lit(2), 2 * F.size(slot) + 1), start, step, lambda a: a["best"])
 
-    changes = F.when(F.char_length(candidate) >= window, F.transform(F.sequence(F.lit(1), F.char_length(candidate)), change)).otherwise(F.array().cast("array<struct<by:double,full:boolean>>"))
-    return F.aggregate(changes, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("best")), step, lambda a: a["best"])
+    return F.when(F.char_length(candidate) >= window, F.element_at(F.transform(F.array(slots), scanned), 1)).otherwise(0.0)
 
 
-def wanted(text: Column, c: CharacterClass, allowed):
-    """The test of a candidate's span: not on the allow-list, and with a window of enough entropy."""
+def wanted(c: CharacterClass, allowed):
+    """The test of a candidate: not on the allow-list, and with a window of enough entropy."""
     def test(x):
-        own = F.substring(text, x["start"] + 1, x["end"] - x["start"])
         known = F.lit(False)
         for pattern in allowed:
-            known = known | own.rlike(pattern)
-        return ~known & (window_entropy(own, c.window) >= c.bits)
+            known = known | x["own"].rlike(pattern)
+        return ~known & (window_entropy(x["own"], c.window, c.alphabet, c.bits) >= c.bits)
 
     return test
 
 
+def spans_of(matches: Column) -> Column:
+    return F.transform(matches, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+
 def secret_spans(text: Column, classes=CLASSES, allowed=ALLOWED) -> Column:
     """All spans (start, kind, end), ordered. Entropy finds are added where they meet no base span."""
     none = F.array().cast(SPAN)
-    base = F.array_sort(F.concat(*[F.when(text.rlike(NEEDED[name]), positions(text, pattern, least, k)).otherwise(none) for k, (name, pattern, least) in enumerate(BASE)]))
+    base = F.array_sort(F.concat(*[F.when(text.rlike(NEEDED[name]), spans_of(positions(text, pattern, least, k))).otherwise(none) for k, (name, pattern, least) in enumerate(BASE)]))
     more = []
     for k, c in enumerate(classes, len(BASE)):
-        found = F.when(text.rlike(c.run), positions(text, f"({c.run})", 1, k)).otherwise(none)
-
-        more.append(F.filter(found, wanted(text, c, allowed)))
+        more.append(F.when(text.rlike(c.run), spans_of(F.filter(positions(text, f"({c.run})", 1, k), wanted(c, allowed)))).otherwise(none))
     both = F.struct(base.alias("base"), F.concat(*more).alias("more"))
     # One more step binds the two arrays, so that they are not worked out anew for each span.
     bound = F.transform(F.array(both), lambda s: F.struct(s["base"].alias("base"), F.array_sort(F.concat(s["base"], F.filter(s["more"], lambda x: ~F.exists(s["base"], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))).alias("spans")))
@@ -116,7 +142,8 @@ def secret_spans(text: Column, classes=CLASSES, allowed=ALLOWED) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a struct column secrets (base, spans: arrays of start, kind, end), in place of any column of this name.
 
-    A null text is empty and has none. Whole texts are scanned. Equal rows get equal results and all stay; an empty
+    A null text is empty and has none. Whole texts are scanned; a candidate's windows take time in proportion to its length.
+    Spans of two entropy classes may be of one string. Equal rows get equal results and all stay; an empty
     table gives an empty result; other columns pass through."""
     return docs.withColumn("secrets", secret_spans(F.coalesce(F.col(text), F.lit(""))))
 
