@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelens.llm.shared import small_batches, table
+from citelens.llm.shared import new_folder, opened, table
 
 WINDOW = 10
-#: A broadcast set holds windows of so many benchmark words at most; more items go in further blocks, one after another.
+#: A task holds windows of so many benchmark words at most, and so much is broadcast; of more, each block is a file that tasks read in turn.
 BLOCK_WORDS = 2_000_000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -36,43 +37,53 @@ def rolling(words: list[bytes], n: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of some benchmark items, by length; hashed anew in each process."""
+    """The windows of some benchmark items, by length: sorted hashes, and where each window is. Hashed anew in each process."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.items, self.window, self.by_length = items, window, None
+        self.names = [item for item, _ in items]
+        self.words = [w for _, words in items for w in words]
+        self.begins = np.cumsum([0, *(len(words) for _, words in items)])
+        self.window, self.by_length = window, None
 
     def __getstate__(self):
-        return self.items, self.window
+        return self.names, b" ".join(self.words), self.begins, self.window
 
     def __setstate__(self, state):
-        (self.items, self.window), self.by_length = state, None
+        self.names, words, self.begins, self.window = state
+        self.words, self.by_length = words.split(b" ") if words else [], None
 
     def index(self) -> dict:
         if self.by_length is None:
-            made = defaultdict(lambda: (np.zeros(1 << _BITS, dtype=bool), defaultdict(dict)))
-            for item, words in self.items:
-                n = min(self.window, len(words))
-                if not n:
-                    continue
-                seen, found = made[n]
-                for i, h in enumerate(rolling(words, n).tolist()):
-                    found[h].setdefault(tuple(words[i : i + n]), set()).add(item)
-                    seen[h >> (64 - _BITS)] = True
-            self.by_length = {n: made[n] for n in sorted(made)}
+            made: dict[int, list] = {}
+            for item, (a, b) in enumerate(zip(self.begins[:-1].tolist(), self.begins[1:].tolist())):
+                n = min(self.window, b - a)
+                if n:
+                    made.setdefault(n, []).append((rolling(self.words[a:b], n), item, a))
+            self.by_length = {}
+            for n, found in sorted(made.items()):
+                h = np.concatenate([x for x, _, _ in found])
+                item = np.repeat(np.array([i for _, i, _ in found]), [len(x) for x, _, _ in found])
+                at = np.concatenate([a + np.arange(len(x)) for x, _, a in found])
+                order = np.argsort(h, kind="stable")
+                seen = np.zeros(1 << _BITS, dtype=bool)
+                seen[h >> np.uint64(64 - _BITS)] = True
+                self.by_length[n] = seen, h[order], item[order], at[order]
         return self.by_length
 
     def scan(self, words: list[bytes]) -> tuple[set, list[tuple[int, int]]]:
         """Items with a window in these words, and the runs of words that windows cover (first, last + 1), joined where they touch."""
         items, covered = set(), []
-        for n, (seen, found) in self.index().items():
+        for n, (seen, known, item, at) in self.index().items():
             if len(words) < n:
                 break
             h = rolling(words, n)
-            for i in np.flatnonzero(seen[h >> np.uint64(64 - _BITS)]).tolist():
-                if owners := found.get(int(h[i])):
-                    if own := owners.get(tuple(words[i : i + n])):
-                        items |= own
-                        covered.append((i, i + n))
+            near = np.flatnonzero(seen[h >> np.uint64(64 - _BITS)])
+            first, last = np.searchsorted(known, h[near]), np.searchsorted(known, h[near], side="right")
+            for i, a, b in zip(near.tolist(), first.tolist(), last.tolist()):
+                own = [k for k in range(a, b) if self.words[at[k] : at[k] + n] == words[i : i + n]]
+                if own:
+                    items.update(self.names[item[k]] for k in own)
+                    covered.append((i, i + n))
         return items, joined(covered)
 
 
@@ -100,45 +111,57 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
     yield block
 
 
-def scanning(held):
-    """The function that scans texts for the windows of one broadcast block."""
-    @F.pandas_udf("n_words long, items array<string>, runs array<struct<a: int, b: int>>")
-    def scanned(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            words = words_of(t)
-            items, runs = held.value.scan(words)
-            rows.append((len(words), sorted(items), [{"a": a, "b": b} for a, b in runs]))
-        return pd.DataFrame(rows, columns=["n_words", "items", "runs"])
-
-    return scanned
+class Held:
+    """Blocks of windows for the executors: one is broadcast; of several, each is a file in the shared folder, of which a task holds one at a time."""
+
+    def __init__(self, spark: SparkSession, benchmark: DataFrame, most: int, window: int):
+        self.broadcast, self.files = None, []
+        made = (Windows(block, window) for block in blocks(benchmark, most))
+        first, second = next(made), next(made, None)
+        if second is None:
+            self.broadcast = spark.sparkContext.broadcast(first)
+            return
+        folder = new_folder(spark, "benchmark-blocks")
+        store, path = opened(folder)
+        store.create_dir(path, recursive=True)
+        for i, windows in enumerate(chain((first, second), made)):
+            with store.open_output_stream(f"{path}/{i}") as out:
+                out.write(pickle.dumps(windows))
+            self.files.append(f"{folder}/{i}")
+
+    def each(self):
+        if self.broadcast is not None:
+            yield self.broadcast.value
+        for file in self.files:
+            store, path = opened(file)
+            with store.open_input_stream(path) as f:
+                yield pickle.loads(f.read())
 
 
 def contamination(text: Column, benchmark: DataFrame, most: int = BLOCK_WORDS, window: int = WINDOW) -> Column:
-    """Struct of n_words, n_hit, items (sorted) and runs (of words, joined). Each further block reads the text again, in the same stage."""
-    spark = benchmark.sparkSession
-    small_batches(spark)
-    out = None
-    for block in blocks(benchmark, most):
-        now = scanning(spark.sparkContext.broadcast(Windows(block, window)))(text)
-        out = now if out is None else F.struct(now["n_words"].alias("n_words"), F.array_sort(F.array_union(out["items"], now["items"])).alias("items"), merged(F.concat(out["runs"], now["runs"])).alias("runs"))
-    return out
+    """Struct of n_words, n_hit, items (sorted) and runs (of words, joined): one function, whatever the number of blocks. Further blocks read the texts of a batch again."""
+    held = Held(benchmark.sparkSession, benchmark, most, window)
 
+    @F.pandas_udf("n_words long, items array<string>, runs array<struct<a: int, b: int>>")
+    def scanned(texts: pd.Series) -> pd.DataFrame:
+        sizes, items, runs = [0] * len(texts), [set() for _ in texts], [[] for _ in texts]
+        for windows in held.each():
+            for i, t in enumerate(texts):
+                words = words_of(t)
+                sizes[i] = len(words)
+                more, covered = windows.scan(words)
+                items[i] |= more
+                runs[i] = joined(runs[i] + covered) if runs[i] and covered else runs[i] or covered
+        return pd.DataFrame({"n_words": sizes, "items": [sorted(x) for x in items], "runs": [[{"a": a, "b": b} for a, b in x] for x in runs]})
 
-def merged(runs: Column) -> Column:
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        touches = (F.size(acc) > 0) & (x["a"] <= F.coalesce(F.try_element_at(acc, F.lit(-1))["b"], F.lit(-1)))
-        return F.when(touches, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(F.array_sort(runs), F.array().cast("array<struct<a:int,b:int>>"), step)
+    return scanned(text)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: int = BLOCK_WORDS) -> DataFrame:
     """docs with a struct column contamination (n_words, items, runs), in place of any column of this name.
 
     A null text has no words. An item without words, or with a null id, has no window. Items with equal windows are
-    all reported; repeated rows stay; an empty documents table gives an empty result, an empty benchmark no hits."""
+    all reported; whole texts are read, however long; repeated rows stay; an empty documents table gives an empty result, an empty benchmark no hits."""
     return docs.withColumn("contamination", contamination(F.col(text), benchmark, most))
 
 
@@ -150,7 +173,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: documents with a benchmark window go."""
+    """Stage: documents with a benchmark window go. Null and empty texts have none and stay, repeated rows share their fate, and an empty table or benchmark changes nothing."""
     return docs.where(F.size(contamination(F.col("text"), table(spark, sf_dir, "benchmark"))["items"]) == 0)
 
 
