@@ -12,12 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelens.llm.shared import new_folder, small_batches, table, written
+from citelens.llm.shared import bounded, forget, new_folder, opened, table, written
 
 #: Payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
 #: Neighbouring ranges are read at once if no more than GAP bytes lie between them, up to READ bytes.
 GAP, READ = 16 << 10, 8 << 20
+#: Archive bytes that a reading task gets on average.
+TASK_BYTES = 64 << 20
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -58,20 +60,13 @@ def zipped(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def opened(folder: str):
-    """The file system of a folder and its path there; any that executors can reach, not only local ones."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder)
-
-
 def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write a record for each row of pages into archives in folder, one for each task, and return their index as a written table.
 
     A task's attempt writes a file of its own name, and only the index rows of the attempt that Spark accepts are kept,
-    so a lost executor leaves at most a file that no index row names."""
+    so a lost executor leaves at most a file that no index row names. Null html is an empty payload, a null URL has no target
+    line; payloads are whole, however long. Equal rows are records of their own; an empty table gives an empty index."""
     spark = pages.sparkSession
-    small_batches(spark)
     source = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     keyed = source.withColumn("digest", F.sha1("payload"))
     groups = keyed.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.max("id").alias("first_id"), F.count("*").alias("n"))
@@ -86,7 +81,7 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
         name = f"pages-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
         offset, out = 0, None
         try:
-            for batch in batches:
+            for batch in bounded(batches):
                 found = []
                 for r in batch.to_pylist():
                     out = out or store_fs.open_output_stream(f"{path}/{name}", compression=None)
@@ -100,13 +95,20 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
             if out:
                 out.close()
 
-    return written(rows.mapInArrow(store, INDEX), "warc-index")
+    index = written(rows.mapInArrow(store, INDEX), "warc-index")
+    forget(copies)
+    return index
 
 
 def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records that the rows of index name. Rows are sorted by file and offset; near ranges are read together."""
+    """The records that the rows of index name. Rows are sorted by file and offset; near ranges are read together.
+
+    Archives are dealt out in parts of READ bytes, to as many tasks as the sum of the lengths needs: the index is small, so its
+    own size says nothing of the bytes that a task reads."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     near = index.select("file", "offset", "length").withColumn("part", F.floor(F.col("offset") / F.lit(READ)))
-    near = near.repartition("file", "part").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    near = near.repartition(tasks, "file", "part").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     schema = RECORD if payloads else RECORD.removesuffix(", payload binary")
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string() for n in names]
@@ -114,7 +116,7 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
     def fetch(batches):
         store_fs, path = opened(folder)
         held_name, held = None, None
-        for batch in batches:
+        for batch in bounded(batches, 4000):
             rows, at = list(zip(*(c.to_pylist() for c in batch.columns))), 0
             while at < len(rows):
                 name, start, length = rows[at]
