@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelens.llm.shared import small_batches, table, written
+from citelens.llm.shared import table, written
 
 UNIT = 64
 #: The containers written here hold frames of 64 8-bit samples, in chunks of so many frames, the first of which is the key frame.
@@ -185,8 +185,8 @@ def media_columns(media: Column) -> Column:
 
 
 def read_back(media: Column) -> Column:
-    """Of containers made here: size, digests, checksum of the end, and the feature string of the bytes read back."""
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Of containers made here: size, digests, checksum of the end, and the feature string of the bytes read back, with what the sample tables say."""
+    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration double, n_keyframes long")
     def read(stored: pd.Series) -> pd.DataFrame:
         rows = []
         for data in stored:
@@ -194,8 +194,8 @@ def read_back(media: Column) -> Column:
             payload = payload_of(data, d)
             keys = ",".join(f"{a}-{b}" for a, b in d["keys"])
             feature = f"codec={d['codec'].strip()};duration={d['duration']:.2f};samples={d['samples']};keyframes={keys}"
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature, d["codec"], d["duration"], len(d["keys"])))
+        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration", "n_keyframes"])
 
     return read(media)
 
@@ -203,8 +203,6 @@ def read_back(media: Column) -> Column:
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text through a stored media column. Null and empty texts give 64 zero bytes; equal texts give equal values;
     repeated rows stay; an empty table gives an empty result."""
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = written(docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), media_of_text(F.col("text")).alias("media")), "media")
-    found = stored.select("doc_id", "n_bytes", media_columns(F.col("media")).alias("described"), read_back(F.col("media")).alias("back"))
-    return found.select("doc_id", "n_bytes", "back.*", F.col("described.codec").alias("codec"), F.col("described.duration").alias("duration"), F.size("described.keyframes").cast("long").alias("n_keyframes"))
+    return stored.select("doc_id", "n_bytes", read_back(F.col("media")).alias("back")).select("doc_id", "n_bytes", "back.*")
