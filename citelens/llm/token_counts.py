@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelens.llm.shared import small_batches, table
+from citelens.llm.shared import table
 
 # Fixed values of byte-level BPE: how a text is cut before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LIMIT = 1024
+VOCABULARY = "byte_bpe_50k.json"
 CACHED = 400_000
 LONG_PIECE = 48
 
@@ -84,7 +86,11 @@ class Counter:
 
     @classmethod
     def of(cls, path: str) -> Counter:
-        """One for each worker process."""
+        """One for each worker process. A bare file name is looked up there among the public tokenizers, so that driver and executors need no common place."""
+        if not os.path.isabs(path):
+            import public_tokenizers
+
+            path = public_tokenizers.path(path)
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]
@@ -111,18 +117,15 @@ def token_count(text: Column, vocabulary: str) -> Column:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """docs with n_bytes, n_tokens and over_limit in place of any columns of these names.
+    """docs with n_bytes, n_tokens and over_limit in place of any columns of these names. vocabulary is a file's path, or the name of one of the public tokenizers.
 
     Null texts count as empty: 0 bytes, 0 tokens. Whole texts are counted, however long. Repeated rows stay,
     each with its own count; an empty table gives an empty result; other columns pass through unchanged."""
-    small_batches(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns({"n_bytes": F.octet_length(whole).cast("long"), "n_tokens": token_count(F.col(text), vocabulary)})
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return count_tokens(docs, VOCABULARY).select("doc_id", "n_bytes", "n_tokens", "over_limit")
