@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelens.llm.shared import small_batches, table
+from citelens.llm.shared import table, written
 
 UNKNOWN = "und"
 DIMENSIONS = 1 << 15
 #: The fit is on at most so many labelled documents of each language, those with the least hash.
 SAMPLE_PER_LANGUAGE = 400
 CENTROIDS = 4
+#: Label values up to which their counts, a row each, are broadcast.
+MOST_LANGUAGES = 10_000
 #: A text is rejected below this quantile of the cosines of texts of its own length and language that were kept from the centroids.
 REJECT_QUANTILE = 0.005
 #: Numbers of letters at which the bar is set; between them it is interpolated on a log scale, below the least it falls to 0.
@@ -164,12 +166,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on the labelled documents that are not held out: at most per_language of each, those with the least hash of id and text."""
+    """Fit on the labelled documents that are not held out: at most per_language of each, those with the least hash of id and text.
+
+    The driver gets about three times as many. Rows with equal id and text count once, so they cannot add up there; null labels,
+    null texts and texts without letters are left out; an empty table gives a model that rejects all."""
     pool = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    pool = pool.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
+    pool = pool.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h"))
     sizes = docs.where(F.col("lang").isNotNull()).groupBy("lang").count()
     share = sizes.select("lang", (F.lit(3.0 * per_language * (1 << 30)) / F.col("count")).alias("most"))
-    few = pool.join(F.broadcast(share), "lang").where("h < most").select("lang", "text", "h")
+    share = written(share, "language-shares")
+    if share.count() <= MOST_LANGUAGES:
+        share = F.broadcast(share)
+    few = pool.join(share, "lang").where("h < most").select("lang", "text", "h").distinct()
     rows = sorted(few.toLocalIterator(), key=lambda r: (r.lang, r.h, zlib.crc32(r.text.encode())))
     kept, n = [], {}
     for r in rows:
@@ -182,7 +190,6 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
 def prediction(text: Column, model: Model) -> Column:
     """Struct of lang_pred, score and rejected. The model goes to the executors once; its size is fixed by the number of languages."""
     spark = SparkSession.getActiveSession()
-    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -207,5 +214,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: documents whose language is recognised stay."""
+    """Stage: documents whose language is recognised stay. Null texts and texts without letters go; repeated rows share their fate; an empty table stays empty."""
     return docs.where(~prediction(F.col("text"), learn(docs))["rejected"])
