@@ -51,12 +51,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the memory of a Python worker: a batch holds at most so many whole texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """These names, each with underscores added until df has no column of it in any case."""
     taken = {c.lower() for c in df.columns}
