@@ -11,6 +11,9 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_COPIES = 1.5, 2.0
 #: Ranks are cut at the target in two steps: a sum for each of so many cells of a source, then the order within the one cell where the target falls.
 CELLS = 1 << 14
+#: Rows up to which a table of sources and size classes is broadcast.
+SOURCES = 200_000
+OWN = ("text_key", "size", "source_size", "target", "copies", "taken", "certain", "p", "rank", "cell", "size_class", "cut_cell", "before", "rest", "extra", "upto", "g_source", "g_class", "c_source")
 _WORDS = r"[^\x20\x09-\x0D]++"
 
 
@@ -37,49 +40,106 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("weight") * F.col("t"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
-    """doc_id, source, text_key, size, source_size, target, copies, taken of every row of docs (doc_id, text, source).
-
-    Each document is due target / source_size copies: the whole part is certain, the rest is its inclusion probability p.
-    Documents are ranked by the odds of a uniform number, which is a hash of id and text, over the odds of p, and are
-    taken in that order until the source's words come as near its target as the last document allows.
-    Null texts have size 0 and are taken for nothing; a null source is a source of its own, ordered last; rows with
-    equal id and text tie in rank and are ordered among themselves by size only, so they are interchangeable; an
-    empty table gives an empty result; other columns are not carried. Two runs give equal results."""
-    d = written(docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), word_count(F.col("text")).alias("size")), "mix-sizes")
-    sizes = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    due = sizes.withColumn("due", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    due = due.withColumn("certain", F.floor(F.col("due") + F.lit(1e-12)).cast("long")).withColumn("p", F.greatest(F.col("due") - F.col("certain"), F.lit(0.0)))
-    due = due.withColumn("rest", F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0)))
-    u = (F.pmod(F.xxhash64(F.lit("pareto"), "doc_id", "text_key"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    d = d.join(due, d["source"].eqNullSafe(due["source"]), "left").select(d["*"], "source_size", "target", "certain", "p", "rest")
-    odds = F.col("p") / (1 - F.col("p"))
-    d = d.withColumn("rank", F.when(F.col("p") > 0, (u / (1 - u)) / odds))
-    # p is one number per source, so the rank rises with u there, and equal cells of u are consecutive runs of the rank.
-    d = d.withColumn("cell", F.when(F.col("p") > 0, F.floor(u * CELLS)))
-    cells = d.where("p > 0").groupBy("source", "cell").agg(F.sum("size").alias("cell_size"), F.first("rest").alias("rest"))
+def measure(size_class: Column) -> Column:
+    """What a document of 2 ** size_class words and more weighs beside others of its source: the square root of its size, so that longer ones are likelier to be taken and to be repeated."""
+    return F.pow(F.lit(2.0), size_class / 2)
+
+
+def odds_of(classes: DataFrame, most: float) -> DataFrame:
+    """source, size_class, due of classes (source, size_class, words, target): the copies that a document of a class is due.
+
+    due = min(most, t * measure), with one t for each source, at which the copies' words sum up to its target. Classes are at
+    the most from the heaviest downwards, so t is found by running sums over a source's classes, some forty rows."""
+    m = classes.withColumn("m", measure(F.col("size_class")))
+    down = Window.partitionBy("source").orderBy(F.desc("size_class"))
+    before = down.rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.sum(F.col("words") * F.col("m")).over(Window.partitionBy("source")) - F.coalesce(F.sum(F.col("words") * F.col("m")).over(before), F.lit(0.0))
+    # Without words from here on there is no t.
+    m = m.withColumn("t", F.try_divide(F.col("target") - F.lit(float(most)) * F.coalesce(F.sum("words").over(before), F.lit(0)), rest))
+    m = m.withColumn("fits", F.when(F.col("t") * F.col("m") <= F.lit(float(most) + 1e-9), F.struct(F.row_number().over(down).alias("at"), "t")))
+    m = m.withColumn("t", F.min("fits").over(Window.partitionBy("source"))["t"])
+    due = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), F.coalesce(F.col("t") * F.col("m"), F.lit(float(most)))))
+    return m.select("source", "size_class", F.when(F.col("target") > 0, due).otherwise(0.0).alias("due"))
+
+
+def class_of(size: Column) -> Column:
+    return F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")
+
+
+def uniform() -> Column:
+    """A number between 0 and 1 that a document's id and text give, the same each time."""
+    return (F.pmod(F.xxhash64(F.lit("pareto"), "doc_id", "text_key"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def drawn(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text_key, p) with their Pareto rank, a uniform number's odds over the odds of p, and the range (cell) that it falls in."""
+    u = uniform()
+    ranked = rows.withColumn("rank", F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
+    return ranked.withColumn("cell", F.floor(F.col("rank") / (1 + F.col("rank")) * CELLS))
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """A table of a row for each source or source and class, written, and broadcast where it has no more than SOURCES rows."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= SOURCES else df
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, sized: bool = False) -> DataFrame:
+    """Every row of docs (doc_id, text, source and any others) with text_key, size, source_size, target, copies and taken, in place of any columns of these names.
+
+    A document is due some copies by its source's target and its size (odds_of): the whole part is certain, the rest is its
+    inclusion probability p, which differs between documents of a source. They are ranked by the odds of a uniform number,
+    which is a hash of id and text, over the odds of p (Pareto order sampling), and are taken in that order until the source's
+    words come as near its target as the last document allows. Ranks are cut in two steps: sums for each of CELLS ranges of
+    the rank, then the order inside the one range where the target falls; no source is sorted as a whole, and texts stay
+    where they are but for those of that range.
+
+    Null texts have size 0 and are taken for nothing; a null source is a source of its own, ordered last; rows with equal id
+    and text tie in rank and are interchangeable; an empty table gives an empty result. Two runs give equal results."""
+    names = [c for c in docs.columns if c not in OWN]
+    d = docs.select(*names, F.xxhash64("text").alias("text_key"), word_count(F.col("text")).alias("size"))
+    first = written(d.select("doc_id", "source", "text_key", "size"), "mix-sizes")
+    if sized:
+        d, names = first, ["doc_id", "source"]
+    classes = first.groupBy("source", class_of(F.col("size")).alias("size_class")).agg(F.sum("size").alias("words"))
+    classes = written(classes, "mix-classes")
+    goals = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    same = lambda a, b: a["source"].eqNullSafe(b["g_source"])
+    goals = written(goals.withColumnRenamed("source", "g_source"), "mix-targets")
+    due = odds_of(classes.join(goals, same(classes, goals)).select("source", "size_class", "words", "target"), most)
+    due = due.withColumn("certain", F.floor(F.col("due") + F.lit(1e-9)).cast("long")).withColumn("p", F.greatest(F.col("due") - F.col("certain"), F.lit(0.0)))
+    due = due.withColumn("p", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p")))
+    due = due.join(goals, same(due, goals)).select(F.col("source").alias("g_source"), F.col("size_class").alias("g_class"), "source_size", "target", "certain", "p")
+    due = small(due, "mix-odds")
+    known = lambda rows: drawn(rows.join(due, rows["source"].eqNullSafe(due["g_source"]) & (class_of(rows["size"]) == due["g_class"]), "left").drop("g_source", "g_class"))
+    cells = known(first).groupBy("source", "cell").agg(F.sum("size").alias("cell_size"), F.sum(F.col("certain") * F.col("size")).alias("sure"), F.first("target").alias("target"))
+    sure = F.sum("sure").over(Window.partitionBy("source"))
     up = Window.partitionBy("source").orderBy("cell")
-    cells = cells.withColumn("before", F.sum("cell_size").over(up) - F.col("cell_size"))
-    cut = cells.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("cell_size")))
-    cut = cut.select(F.col("source").alias("cut_source"), F.col("cell").alias("cut_cell"), "before")
-    d = d.join(cut, d["source"].eqNullSafe(cut["cut_source"]), "left")
+    cells = written(cells.withColumn("rest", F.greatest(F.col("target") - sure, F.lit(0.0))).where("cell is not null").withColumn("before", F.sum("cell_size").over(up) - F.col("cell_size")), "mix-cells")
+    # One row a source: the first range that reaches the rest; where none does, all are taken.
+    cut = cells.where(F.col("before") + F.col("cell_size") >= F.col("rest")).groupBy("source").agg(F.min(F.struct("cell", "before", "rest")).alias("cut"))
+    cut = small(cut.select(F.col("source").alias("c_source"), "cut.*").withColumnRenamed("cell", "cut_cell"), "mix-cuts")
+    ranked = known(d).join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left")
     at = F.coalesce(F.col("cell") == F.col("cut_cell"), F.lit(False))
     inside = Window.partitionBy("source", "cell").orderBy("rank", "size", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = d.where(at).withColumn("upto", F.col("before") + F.sum("size").over(inside))
-    edge = edge.withColumn("extra", (F.abs(F.col("upto") - F.col("rest")) <= F.abs(F.col("upto") - F.col("size") - F.col("rest"))) & (F.col("upto") - F.col("size") <= F.col("rest")))
-    others = d.where(~at).withColumn("extra", F.coalesce((F.col("p") > 0) & (F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell"))), F.lit(False)))
-    out = edge.drop("upto").unionByName(others)
+    edge = ranked.where(at).withColumn("upto", F.col("before") + F.sum("size").over(inside))
+    ahead = F.col("upto") - F.col("size")
+    edge = edge.withColumn("extra", (F.abs(F.col("upto") - F.col("rest")) <= F.abs(ahead - F.col("rest"))) & (ahead <= F.col("rest"))).drop("upto")
+    others = ranked.where(~at).withColumn("extra", F.coalesce(F.col("cell").isNotNull() & (F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell"))), F.lit(False)))
     copies = F.col("certain") + F.col("extra").cast("long")
-    return out.select("doc_id", "source", "text_key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return others.unionByName(edge).select(*names, "text_key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, sized=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: each document as often as the mix takes it; the last stage, with a column copy (1, 2)."""
-    take = mix(docs).groupBy("doc_id", "text_key", "source").agg(F.max("copies").alias("copies")).where("copies > 0").toDF("m_id", "m_key", "m_source", "m_copies")
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.xxhash64("text") == F.col("m_key")) & F.col("source").eqNullSafe(F.col("m_source"))
-    return docs.join(take, same).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("m_copies"))).alias("copy"))
+    """Stage: each document as often as the mix takes it; the last stage, with a column copy (1, 2) in place of any of this name.
+
+    Null texts, which have no words, are taken as often as their class is due; a null source is one source; repeated rows are
+    dealt with one by one; an empty table gives an empty result."""
+    plain = docs.select("doc_id", "text", "source", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    out = mix(plain).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "copy"], "copy")

@@ -278,6 +278,48 @@ def test_mixing(spark, docs):
         assert abs(taken[r.source] - r.target) <= biggest[r.source] / 2 + 1
 
 
+def brute_copies(rows, target):
+    """Copies of each of a source's (doc_id, text_key, size, u): t is found by halving, then the Pareto order is walked through."""
+    measure = lambda n: 2.0 ** ((max(n, 1).bit_length() - 1) / 2)
+    total = lambda t: sum(n * min(2.0, t * measure(n)) for _, _, n, _ in rows)
+    low, high = 0.0, 4.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if total(middle) < target else (low, middle)
+    due = [min(2.0, high * measure(n)) if target > 0 else 0.0 for _, _, n, _ in rows]
+    certain = [int(x + 1e-9) for x in due]
+    rest = target - sum(c * n for c, (_, _, n, _) in zip(certain, rows))
+    order = sorted((u / (1 - u) * (1 - (x - c)) / (x - c), n, i, k, at) for at, (x, c, (i, k, n, u)) in enumerate(zip(due, certain, rows)) if x - c > 1e-9)
+    taken = 0
+    for _, n, _, _, at in order:
+        if taken > rest or abs(taken + n - rest) > abs(taken - rest):
+            break
+        certain[at] += 1
+        taken += n
+    return certain
+
+
+def test_mixing_ranks(spark, docs):
+    """Odds differ inside a source, and decide together with the uniform numbers; against plain Python."""
+    rows = mixing.mix(docs).select("doc_id", "text_key", "source", "size", "target", "copies", mixing.uniform().alias("u")).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    swapped = 0
+    for own in by.values():
+        own.sort(key=lambda r: r.doc_id)
+        assert [r.copies for r in own] == brute_copies([(r.doc_id, r.text_key, r.size, r.u) for r in own], own[0].target)
+        swapped += sum(a.u < b.u and a.copies < b.copies for a in own for b in own)
+    assert swapped > 0  # a plain order of the uniform numbers would take others
+
+
+def test_mixing_clash(spark):
+    """Other columns pass, also under the operator's own names; the stage's column copy replaces one of its name."""
+    d = documents(spark, ["a b c"] * 3 + [None, "x"]).withColumns({c: F.lit("clash") for c in ("copy", "m_id", "rank", "cell", "p", "size", "extra")})
+    out = mixing.mixed_copies(spark, d, DATA)
+    assert Counter(out.columns) == Counter(d.columns) and {r.cell for r in out.collect()} <= {"clash"}
+
+
 def test_mixing_odd(odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 9 and sum(r.size == 0 for r in rows) == 3
