@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelens.llm.shared import table, written
+from citelens.llm.shared import bounded, forget, table, written
 
 #: Every window of so many consecutive sentences is hashed. A longer run repeats only where all its windows do, so these find every run of two or more.
 SENTENCES = 2
 #: ASCII marks and those of scripts with spaces end a sentence before white space; the wide marks end one wherever they stand.
 SENTENCE = re.compile(r"[^.!?…؟۔।॥。！？｡\n]*(?:([。！？｡]+[”’」』）]*\s*)|[.!?…؟۔।॥]+(?=\s|\Z)\s*|\n\s*|[.!?…؟۔।॥]+|\Z)")
-OCCURRENCE = "h1 long, h2 long, doc_id {kind}, text_key long, a int, b int"
+OCCURRENCE = "h1 long, h2 long, doc_id {kind}, text_key long, a int"
 
 
 def sentences(text: str) -> list[str]:
@@ -44,54 +44,59 @@ def run_hash(words: list[str]) -> tuple[int, int]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each run: its hash, and where it is. Rows with equal id and text are one document."""
+    """A row for each run: its hash, and where it begins. Rows with equal id and text are one document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def made(batches):
-        for batch in batches:
+        for batch in bounded(batches):
+            ids, h1, h2, places = [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 parts = sentences(text) if text else []
-                spans = runs(parts)
-                if not spans:
-                    continue
                 words = [" ".join(p.lower().split()) for p in parts]
-                h = [run_hash(words[a:b]) for a, b in spans]
-                one = pa.array([i] * len(spans))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in h]), pa.array([y for _, y in h]), batch.column(0).take(one), batch.column(1).take(one), pa.array([a for a, _ in spans], pa.int32()), pa.array([b for _, b in spans], pa.int32())], names=["h1", "h2", "doc_id", "text_key", "a", "b"])
+                for a, b in runs(parts):
+                    x, y = run_hash(words[a:b])
+                    ids.append(i)
+                    h1.append(x)
+                    h2.append(y)
+                    places.append(a)
+            one = pa.array(ids, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), batch.column(0).take(one), batch.column(1).take(one), pa.array(places, pa.int32())], names=["h1", "h2", "doc_id", "text_key", "a"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(made, OCCURRENCE.format(kind=kind))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, spans: the runs of each document that occur before it, by (doc_id, place). Null ids come first.
+    """doc_id, text_key, starts: the runs of each document that occur before it, by (doc_id, place). Null ids come first.
 
-    Counts and first places are summed up before the shuffle, so a passage in a third of all documents costs one row per
-    task there; only runs that occur twice take part in the join, whose hot keys Spark splits."""
-    found = occurrences(docs)
+    Each run is hashed once and written. Counts and first places are summed up before the shuffle, so a passage in a third
+    of all documents costs one row per task there; only runs that occur twice take part in the join, whose hot keys Spark splits."""
+    found = written(occurrences(docs), "dedup-runs")
     place = F.struct("doc_id", "text_key", "a")
     firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     firsts = written(firsts.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first"), "dedup-repeats")
     later = found.join(firsts, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where(place > F.col("first"))
-    return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    spans = written(later.groupBy("doc_id", "text_key").agg(F.collect_set("a").alias("starts")), "dedup-spans")
+    forget(found, firsts)
+    return spans
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_sentences, n_removed, n_chars_removed of each row of docs (doc_id, text): the text without the sentences under repeated runs.
 
-    Null texts stay null and have no sentences; empty texts and texts of one sentence stay as they are. A run repeated inside one document loses its later places too. Rows with equal id and text are one
+    Null texts stay null and have no sentences; empty texts and texts of one sentence stay as they are; very long texts are read whole. A run repeated inside one document loses its later places too. Rows with equal id and text are one
     document and get equal results. An empty table gives an empty result; other columns are not carried."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
-    spans = written(repeated_spans(docs), "dedup-spans").toDF("s_id", "s_key", "spans")
+    spans = repeated_spans(docs).toDF("s_id", "s_key", "starts")
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    both = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["s_id"]) & (keyed["text_key"] == spans["s_key"]), "left").select("doc_id", "text", "spans")
+    both = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["s_id"]) & (keyed["text_key"] == spans["s_key"]), "left").select("doc_id", "text", "starts")
 
     def cut(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             rows = []
             for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 parts = sentences(text) if text else []
-                drop = {i for s in gone or () for i in range(s["a"], s["b"])}
+                drop = {i for a in gone or () for i in range(a, a + SENTENCES)}
                 kept = text if not drop else "".join(p for i, p in enumerate(parts) if i not in drop)
                 rows.append((kept, len(parts), len(drop), len(text) - len(kept) if drop else 0))
             text, n, removed, chars = zip(*rows) if rows else ((),) * 4
