@@ -170,9 +170,73 @@ def test_html_nested_wrappers(spark):
         assert {r.main_text for r in html_extraction.extract(df).collect()} == {want}
 
 
+LONG = "A paragraph of the article with a good many words in it, number {}."
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="content no-sidebar">{}</div>',
+    '<div id="main" class="has-header">{}</div>',
+    '<form id="aspnetForm"><input name=q><label>Search</label>{}</form>',
+    '<div class="page-with-sidebar"><div class="left-nav"><p>Home and some more words of the menu here, long.</p></div>{}</div>',
+    '<header class="site-header"><p>The site and its long, long motto for all who come here.</p></header><article><header>{}</header></article>',
+    '<div class="sidebar"><div id="page"><h1>T</h1></div>{}</div>',
+    '<main>{}<article id="comment-5" class="comment"><p>Great! A comment of a good many words by a reader.</p></article></main>',
+    '<div hidden><p>Not to be seen by anyone who reads this page, ever.</p></div><div>{}</div>',
+    '<article>{}<div class="cookieNotice"><p>We use cookies, which you may want to know about.</p></div></article>',
+])
+def test_html_names(page):
+    """Names that only tell how a page looks, wrappers with a telling name, and parts of the article with a name of the page's parts."""
+    body = "".join(f"<p>{LONG.format(k)}</p>" for k in range(3))
+    want = "\n".join([*(["T"] if "<h1>" in page else []), *(LONG.format(k) for k in range(3))])
+    assert html_extraction.main_text(f"<html><body>{page.format(body)}<footer>f</footer></body></html>", None) == want
+
+
+def test_html_inline_parts():
+    page = "<body><article><p><span class='share-button'>Share</span> Some text <span class=ad>Buy!</span>goes on here &amp; there.</p></article></body>"
+    assert html_extraction.main_text(page, None) == "Some text goes on here & there."
+
+
+@pytest.mark.parametrize("page", ["<a" * 200_000, "<p>x<span>" * 60_000, "<span>" * 60_000 + "<p>x</p>" * 60_000, "<span>" * 30_000 + "x<hr>" * 30_000, "<div class='a b'>" * 20_000 + "x", "<p a='" * 50_000, "</x>" * 100_000, "<b>" * 50_000 + "<div></b>" * 50_000, "<li><p>" * 50_000, "a < b & c " * 100_000, "<!--" * 100_000, "&amp" * 200_000])
+def test_html_long_and_broken(page):
+    import time
+
+    began = time.time()
+    html_extraction.main_text(page, None)
+    assert time.time() - began < 4
+
+
+def test_html_hosts(spark):
+    """Pages without an article element, on some of which other text outweighs the article: the host's path decides. The generator knows the articles."""
+    rng = random.Random(11)
+    words = lambda n: " ".join(rng.choice(["tree", "house", "river", "stone", "cloud", "road"]) for _ in range(n)).capitalize() + "."
+    rows, want = [], {}
+    for host, (tag, body, extra) in enumerate((("div", "post body-0", "box"), ("section", "text-column", "more"), ("div", "left", "right"))):
+        for i in range(12):
+            paragraphs = [words(rng.randrange(8, 30)) for _ in range(rng.randrange(4, 8))]
+            other = [words(rng.randrange(60, 90))] * 3 if i % 4 == 0 else [words(12)]
+            title = words(5)
+            name = body.replace("0", str(rng.randrange(900)))
+            article = f"<h1>{title}</h1><div class='first'><p>{paragraphs[0]}</p></div>" + "".join(f"<p>{p}</p>" for p in paragraphs[1:])
+            parts = [f"<{tag} class='{name}'>{article}</{tag}>", f"<div class='{extra}'>" + "".join(f"<p>{p}</p>" for p in other) + "</div>"]
+            page = f"<html><body><ul class='menu'><li><a href=/>Home</a></ul><div class='wrap'>{''.join(parts)}</div><div id='footer'>c</div></body></html>"
+            rows.append((len(rows), f"https://h{host}.org/{i}", page))
+            want[len(rows) - 1] = "\n".join([title, *paragraphs])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.main_text for r in html_extraction.extract(df).collect()}
+    assert got == want
+    alone = [html_extraction.main_text(h, None) == want[i] for i, _, h in rows]
+    assert not all(alone)  # a page by itself would not do
+
+
+def test_html_plan(spark):
+    """No exchange of pages: only votes are shuffled."""
+    df = spark.createDataFrame([(1, "http://a/1", "<p>x</p>")], "page_id long, url string, html string")
+    assert "Exchange hashpartitioning" not in html_extraction.extract(df)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_html_odd(spark):
     rows = [(1, "http://a.example/1", None), (2, None, "<p>no host</p>"), (2, None, "<p>no host</p>"), (3, "nonsense", "")]
-    pages = spark.createDataFrame([r + ("clash",) for r in rows], "page_id long, url string, html string, main_text string")
+    pages = spark.createDataFrame([r + ("clash",) * 5 for r in rows], "page_id long, url string, html string, main_text string, host string, path string, at string, __host string")
     assert sorted((r.page_id, r.main_text) for r in html_extraction.extract(pages).collect()) == [(1, ""), (2, "no host"), (2, "no host"), (3, "")]
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
@@ -468,3 +532,21 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3)]
     got = {r.node: r.root for r in shared.components(spark.createDataFrame(chain, "a int, b int")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_filter(spark):
+    """No key is missed, few others pass."""
+    keys = spark.range(0, 30_000, 3).select(F.xxhash64("id").alias("h"))
+    rows = spark.range(30_000).withColumn("in", shared.filter_of(keys)(F.xxhash64("id"))).collect()
+    assert all(r["in"] for r in rows if r.id % 3 == 0) and sum(r["in"] for r in rows if r.id % 3) < 1000
+    none = spark.range(50).where(shared.filter_of(keys.limit(0))(F.xxhash64("id")))
+    assert none.count() == 0
+
+
+def test_one_of_each_group_odd(spark, odd, empty):
+    """Repeated rows stay once, texts without words each time; a null id gives way to the others of its group; other columns stay."""
+    d = odd.withColumns({c: F.lit("clash") for c in ("gone", "maybe", "own_key", "gone_id")})
+    out = ngram_join.one_of_each_group(spark, d, DATA)
+    assert out.columns == d.columns
+    assert Counter(r.doc_id for r in out.collect()) == Counter([1, 2, 3, 4, 5, 7])
+    assert ngram_join.one_of_each_group(spark, empty, DATA).count() == 0
