@@ -45,18 +45,23 @@ def _(t):
     return t("documents").select("doc_id", X.normalized(F.col("text")).alias("out"))
 
 
-TEX = r"concat('\\citet [p. ', l_linenumber, ']* {k', l_partkey, '} and \\citealt{q', l_suppkey, '} \\bibitem [opt', l_linenumber, ']{b}')"
-TEX_DUCK = r"concat('\citet [p. ', l_linenumber, ']* {k', l_partkey, '} and \citealt{q', l_suppkey, '} \bibitem [opt', l_linenumber, ']{b}')"
+ENDS = "'t', 'p', 'alt', 'alp', 'author', 'year', 'yearpar', ''"
+STAR, OPTIONS, BIB = "CASE WHEN l_linenumber % 2 = 0 THEN '*' ELSE '' END", "repeat('[p. 3]', CAST(l_suppkey % 3 AS INT))", "CASE WHEN l_linenumber % 3 = 0 THEN ' [o]' ELSE '' END"
 
 
-@query("P4_plain_cites", rf"SELECT l_orderkey, l_linenumber, concat('\cite{{k', l_partkey, '}} and \cite{{q', l_suppkey, '}} \bibitem{{b}}') AS out FROM lineitem")
+@query("P4_plain_cites", rf"SELECT l_orderkey, l_linenumber, concat('see \cite', CASE WHEN l_partkey % 8 = 7 THEN concat({STAR}, ' ', {OPTIONS}) ELSE '' END, '{{k', l_partkey, ',x}} then \bibitem{{b', l_suppkey, '}}') AS out FROM lineitem")
 def _(t):
-    return short(t, TEX).select("l_orderkey", "l_linenumber", X.plain_cites(F.col("s")).alias("out"))
+    """All cite commands, with and without star and options; the plain one keeps both."""
+    tex = rf"concat('see \\cite', element_at(array({ENDS}), CAST(l_partkey % 8 + 1 AS INT)), {STAR}, ' ', {OPTIONS}, '{{k', l_partkey, ',x}} then \\bibitem', {BIB}, '{{b', l_suppkey, '}}')"
+    return short(t, tex).select("l_orderkey", "l_linenumber", X.plain_cites(F.col("s")).alias("out"))
 
 
-@query("P5_without_math", "SELECT l_orderkey, l_linenumber, concat(' a  b', l_partkey, '  c ', l_suppkey, ' ') AS out FROM lineitem")
+@query("P5_without_math", "SELECT l_orderkey, l_linenumber, concat(' a', l_linenumber, '  b  c', l_suppkey) AS out FROM lineitem")
 def _(t):
-    tex = r"concat('\\title{x} \\begin{document} a \\begin{align*}x=', l_linenumber, '\\end{align} b', l_partkey, ' $$y$$ c ', l_suppkey, ' \\(z\\)')"
+    """Every environment, with and without star, over lines, and every short form."""
+    env = f"element_at(array({', '.join(repr(e) for e in X.MATH_ENVIRONMENTS)}), CAST(l_partkey % 9 + 1 AS INT))"
+    sign = lambda a, b, c, d: rf"element_at(array('{a}', '{b}', '{c}', '{d}'), l_linenumber % 4 + 1)"
+    tex = rf"concat('\\title{{$x$}} \\begin{{document}} a', l_linenumber, ' \\begin{{', {env}, {STAR}, '}}y\n=', l_partkey, '\\end{{', {env}, '}} b ', {sign('$$', '$', r'\\(', r'\\[')}, 'z', {sign('$$', '$', r'\\)', r'\\]')}, ' c', l_suppkey)"
     return short(t, tex).select("l_orderkey", "l_linenumber", X.without_math(X.document_body(F.col("s"))).alias("out"))
 
 
@@ -65,41 +70,56 @@ def _(t):
     return t("pages").select("page_id", X.stripped_markup(F.col("html")).alias("out"))
 
 
-@query("P6b_element_tokens", "SELECT l_orderkey, l_linenumber, concat('see FORMULA and FIGURE with TABLE ', l_partkey) AS out FROM lineitem")
+ELEMENT = "element_at(array('formula', 'figure', 'table'), l_linenumber % 3 + 1)"
+
+
+@query("P6b_element_tokens", "SELECT l_orderkey, l_linenumber, concat('see ', ['FORMULA', 'FIGURE', 'TABLE'][l_linenumber % 3 + 1], ' and w end', l_partkey) AS out FROM lineitem")
 def _(t):
-    xml = "concat('<p>see <formula id=\"1\"><m>x</m></formula> and <figure>f', l_linenumber, '</figure> with <table><r/></table> ', l_partkey, '</p>')"
+    """Each element, with children and attributes, and other tags at any depth."""
+    bold = lambda tag: f"repeat('{tag}', CAST(l_suppkey % 3 AS INT))"
+    xml = f"concat('<p>see <', {ELEMENT}, ' id=\"', l_partkey, '\"><m>x</m>\n<r/></', {ELEMENT}, '> and ', {bold('<b>')}, 'w', {bold('</b>')}, ' end', l_partkey, '</p>')"
     return short(t, xml).select("l_orderkey", "l_linenumber", X.tokens_for_elements(F.col("s")).alias("out"))
 
 
-@query("P7_markers_by_key", "SELECT l_orderkey, string_agg(CASE WHEN p_name IS NOT NULL THEN concat('{{cite:', p_name, '}}') END, ' ' ORDER BY l_linenumber, p_name) AS out, CAST(count(*) - count(p_name) AS BIGINT) AS dropped FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size <= 40 GROUP BY l_orderkey")
+UUID_OF = "concat(lpad(hex({0}), 8, '0'), '-0000-4000-8000-000000000000')"
+
+
+@query("P7_markers_by_key", "SELECT l_orderkey, string_agg(concat(' w', l_linenumber, CASE WHEN p_partkey IS NULL THEN '' ELSE concat('{{cite:', lpad(hex(l_partkey), 8, '0'), '-0000-4000-8000-000000000000}}') END), '' ORDER BY l_linenumber, l_partkey) || '.' AS text, CAST(count(*) AS BIGINT) AS citations, CAST(count(*) - count(p_partkey) AS BIGINT) AS dropped FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size <= 40 GROUP BY l_orderkey")
 def _(t):
-    keys = t("part").where("p_size <= 40").select("p_partkey", "p_name")
-    found = t("lineitem").join(keys, F.col("l_partkey") == F.col("p_partkey"), "left")
-    placed = F.array_sort(F.collect_list(F.when(F.col("p_name").isNotNull(), F.struct("l_linenumber", F.concat(F.lit("{{cite:"), "p_name", F.lit("}}")).alias("m")))))
-    return found.groupBy("l_orderkey").agg(placed.alias("m"), F.count_if(F.col("p_name").isNull()).alias("dropped")).select("l_orderkey", F.nullif(F.array_join("m.m", " "), F.lit("")).alias("out"), "dropped")
+    """An order is a text that cites its parts by local keys; those of small parts are in its bibliography."""
+    from citelens.operators.contexts import placed_markers
 
+    cites = t("lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", F.expr("concat(' w', l_linenumber, '<cit><ref target=\"bid', l_partkey, '\"/></cit>')").alias("s")).alias("c"))
+    texts = cites.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("c")).alias("c")).select("l_orderkey", F.concat(F.array_join("c.s", ""), F.lit(".")).alias("text"))
+    small = t("part").where("p_size <= 40").select(F.col("p_partkey").alias("l_partkey"))
+    keys = t("lineitem").join(small, "l_partkey", "left_semi").select("l_orderkey", F.expr("concat('bid', l_partkey)").alias("key"), F.expr(UUID_OF.format("l_partkey")).alias("uuid")).distinct()
+    return placed_markers(texts, keys, "l_orderkey", "text")
 
-CITES = "concat('as CIT , CIT , MAINCIT , CIT say ', l_partkey, ' but CIT , CIT not MAINCIT')"
 
+CITES = "concat('as ', repeat('CIT , ', l_linenumber % 3), CASE WHEN l_linenumber % 4 = 3 THEN 'CIT' ELSE 'MAINCIT' END, repeat(' , CIT', CAST(l_suppkey % 3 AS INT)), ' say ', l_partkey, ' but CIT', repeat(' , CIT', CAST(l_partkey % 4 AS INT)), ', CIT end')"
 
-@query("P8_merged_cites", "SELECT l_orderkey, l_linenumber, concat('as MAINCIT say ', l_partkey, ' but CIT not MAINCIT') AS out FROM lineitem")
+
+@query("P8_merged_cites", "SELECT l_orderkey, l_linenumber, concat('as ', CASE WHEN l_linenumber % 4 = 3 THEN 'CIT' ELSE 'MAINCIT' END, ' say ', l_partkey, ' but CIT, CIT end') AS out FROM lineitem")
 def _(t):
+    """Runs of one to five tokens, with and without the main one in any place; what stands closer is no run."""
     return short(t, CITES).select("l_orderkey", "l_linenumber", X.merged_cites(F.col("s")).alias("out"))
 
 
-@query("P9_without_quotes", "SELECT l_orderkey, l_linenumber, concat('so ', l_partkey, ' it is') AS out FROM lineitem")
+@query("P9_without_quotes", "SELECT l_orderkey, l_linenumber, concat('so', l_partkey, ' it''s') AS out FROM lineitem")
 def _(t):
-    return short(t, "concat('“so” „', l_partkey, '« \"it‹ is》')").select("l_orderkey", "l_linenumber", X.without_quotes(F.col("s")).alias("out"))
-
-
-UUID = "lpad(hex(l_partkey), 8, '0')"
+    """Every quotation mark before and after a word; an apostrophe stays."""
+    mark = lambda by: F.substring(F.lit(X.QUOTES), (F.col(by) % len(X.QUOTES) + 1).cast("int"), F.lit(1))
+    s = F.concat(mark("l_linenumber"), F.lit("so"), "l_partkey", mark("l_suppkey"), F.lit(" it's"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", X.without_quotes(s).alias("out"))
 
 
-@query("P10_placed_tokens", "SELECT l_orderkey, l_linenumber, concat('a MAINCIT b CIT c', l_linenumber) AS out FROM lineitem")
+@query("P10_placed_tokens", "SELECT l_orderkey, l_linenumber, concat('a ', repeat('MAINCIT ', CAST(l_linenumber % 3 + 1 AS BIGINT)), 'b', CASE WHEN l_suppkey % 3 > 0 THEN ' ' ELSE '' END, repeat('CIT ', l_suppkey % 3), 'c', l_linenumber) AS out FROM lineitem")
 def _(t):
-    uid = F.concat(F.lpad(F.hex("l_partkey"), 8, "0"), F.lit("-0000-4000-8000-000000000000"))
-    rows = t("lineitem").select("l_orderkey", "l_linenumber", uid.alias("uid")).withColumn("s", F.concat(F.lit("a{{cite:"), "uid", F.lit("}}b\n{{cite:ffffffff-0000-4000-9000-000000000000}} c"), "l_linenumber"))
-    return rows.select("l_orderkey", "l_linenumber", X.placed_tokens(F.col("s"), "uid").alias("out"))
+    """One to three markers of the context's own, up to two of others, with and without white space."""
+    own = F.expr(UUID_OF.format("l_partkey")).alias("uid")
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", own)
+    text = F.expr("concat('a', repeat(concat('{{cite:', uid, '}}\n'), l_linenumber % 3 + 1), 'b', repeat(concat('{{cite:ffffffff-', lpad(hex(l_suppkey), 4, '0'), '-4000-9000-000000000000}}'), CAST(l_suppkey % 3 AS INT)), 'c', l_linenumber)")
+    return rows.withColumn("s", text).select("l_orderkey", "l_linenumber", X.placed_tokens(F.col("s"), "uid").alias("out"))
 
 
 @query("P11_bag_of_words", rf"SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(text, '[!-/:-@\[-`{{-~]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ({STOP})), ' ') AS out FROM documents")
@@ -117,9 +137,21 @@ def _(t):
     return t("documents").select("doc_id", F.size(X.letter_words(F.col("text"))).cast("long").alias("n"))
 
 
-@query("P14_without_mentions", "SELECT l_orderkey, l_linenumber, concat('as shown by and in we go ', l_partkey) AS out FROM lineitem")
+#: Sentences with mentions, and what is left of them.
+MENTIONS = (
+    ("as shown by Smith and Jones et al. (2004) we go", "as shown by we go"),
+    ("in Müller, K. & Weiß 1999a it holds", "in it holds"),
+    ("see [12, 15-17] and [Abc99] too", "see and too"),
+    ("an interval [a, b] stays, also [12, x]", "an interval [a, b] stays, also [12, x]"),
+    ("no Year after Any Name here", "no Year after Any Name here"),
+    ("by Ortiz [2011]: so", "by : so"),
+    ("from A. B. Ortiz, 2011, on", "from A. B. , on"),
+)
+
+
+@query("P14_without_mentions", f"SELECT l_orderkey, l_linenumber, concat([{', '.join(repr(b) for _, b in MENTIONS)}][l_partkey % {len(MENTIONS)} + 1], ' ', l_linenumber, 'x') AS out FROM lineitem")
 def _(t):
-    s = "concat('as shown by Smith and Jones et al. (2004) and in [', l_linenumber, ', 12]  we go ', l_partkey)"
+    s = f"concat(element_at(array({', '.join(repr(a) for a, _ in MENTIONS)}), CAST(l_partkey % {len(MENTIONS)} + 1 AS INT)), ' ', l_linenumber, 'x')"
     return short(t, s).select("l_orderkey", "l_linenumber", X.squeeze(X.without_mentions(F.col("s"))).alias("out"))
 
 
@@ -130,28 +162,46 @@ def _(t):
     return refs.select("l_orderkey", "l_linenumber", X.paper_id(F.col("ref")).alias("arxiv"), doi.alias("doi"))
 
 
-@query("P16_repaired_ids", "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 2 = 0 THEN concat('quant-ph/', l_partkey, ',', l_partkey) ELSE concat(1000000 + l_partkey, ',', 1000000 + l_partkey, ',', substr(CAST(1000000 + l_partkey AS VARCHAR), 1, 4), '.', substr(CAST(1000000 + l_partkey AS VARCHAR), 5)) END AS out FROM lineitem")
+@query("P16_repaired_ids", "SELECT l_orderkey, l_linenumber, CASE l_partkey % 3 WHEN 0 THEN concat('quant-ph/', l_partkey, ',', l_partkey) WHEN 1 THEN concat(1000000 + l_partkey, ',', 1000000 + l_partkey, ',', substr(CAST(1000000 + l_partkey AS VARCHAR), 1, 4), '.', substr(CAST(1000000 + l_partkey AS VARCHAR), 5)) ELSE concat('x/abs/1402.', l_partkey, ',1402.', l_partkey) END AS out FROM lineitem")
 def _(t):
-    s = "CASE WHEN l_partkey % 2 = 0 THEN concat('quant-ph/', l_partkey) ELSE CAST(1000000 + l_partkey AS STRING) END"
+    s = "CASE l_partkey % 3 WHEN 0 THEN concat('quant-ph/', l_partkey) WHEN 1 THEN CAST(1000000 + l_partkey AS STRING) ELSE concat('x/abs/1402.', l_partkey) END"
     return short(t, s).select("l_orderkey", "l_linenumber", F.array_join(X.repaired_ids(F.col("s")), ",").alias("out"))
 
 
-@query("P17_with_slash", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN concat('hep-th/', l_partkey) ELSE concat('1712.', l_partkey) END AS out FROM lineitem")
+@query("P17_with_slash", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN concat('hep-th/', l_partkey) WHEN 1 THEN concat('1712.', l_partkey) WHEN 2 THEN concat('cs/', l_partkey, 'x9') ELSE concat('math/', l_partkey) END AS out FROM lineitem")
 def _(t):
-    s = "CASE WHEN l_linenumber % 2 = 0 THEN concat('hep-th', l_partkey) ELSE concat('1712.', l_partkey) END"
+    """Without a slash, without letters, with a second place where one could go, and with a slash already."""
+    s = "CASE l_linenumber % 4 WHEN 0 THEN concat('hep-th', l_partkey) WHEN 1 THEN concat('1712.', l_partkey) WHEN 2 THEN concat('cs', l_partkey, 'x9') ELSE concat('math/', l_partkey) END"
     return short(t, s).select("l_orderkey", "l_linenumber", X.with_slash(F.col("s")).alias("out"))
 
 
-@query("P18_journal_doi", "SELECT l_orderkey, l_linenumber, concat('10.1103/physrevb.', l_linenumber, '.', l_partkey) AS out FROM lineitem")
+@query("P18_journal_doi", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN concat('10.1103/physrevb.', l_suppkey, '.', l_partkey) WHEN 1 THEN concat('10.1103/physrevlett.', l_suppkey, '.', l_partkey) WHEN 2 THEN concat('10.1103/revmodphysb.', l_suppkey, '.', l_partkey) END AS out FROM lineitem")
 def _(t):
-    return references(t).select("l_orderkey", "l_linenumber", X.journal_doi(F.col("ref")).alias("out"))
+    """Three journals, with and without a year; another journal, and one without a page, have none."""
+    forms = "'A. B, Phys. Rev. B {0}, {1}', 'Phys. Rev. Lett. {0} (1994) {1}', 'in Rev. Mod. Phys. B {0}, {1}', 'Nature {0}, {1}', 'Phys. Rev. D {0}'"
+    s = f"replace(replace(element_at(array({forms}), l_linenumber % 5 + 1), '{{0}}', CAST(l_suppkey AS STRING)), '{{1}}', CAST(l_partkey AS STRING))"
+    return short(t, s).select("l_orderkey", "l_linenumber", X.journal_doi(F.col("s")).alias("out"))
+
+
+#: References with @ for the title, and the title that is guessed.
+GUESSES = (
+    ("S, @. Proceedings of X, pages 1-2", "S, @"),
+    ("S; @; Journal of Y; Volume 3", " @"),
+    ("S. @. 2001", "@"),
+    ("A, @, pages 10-12", ""),
+    ("A. in @ here. B", "A"),
+    ("A, B, @, in the Proceedings of Z", " @"),
+    ("S. @ and more. X Transactions on Y. 12", " @ and more"),
+    ("S. @ of an old time in Proceedings of Q", "@ of an old time in "),
+)
 
 
-@query("P19_title_guess", f"SELECT l_orderkey, l_linenumber, concat(s_name, ', ', p_name) AS longest, concat(' ', s_name, ', ', p_name) AS before FROM ({REFERENCES}) r JOIN part ON r.l_partkey = p_partkey JOIN supplier ON r.l_suppkey = s_suppkey")
+@query("P19_title_guess", f"SELECT l_orderkey, l_linenumber, replace([{', '.join(repr(b) for _, b in GUESSES)}][l_partkey % {len(GUESSES)} + 1], '@', p_name) AS title FROM lineitem JOIN part ON l_partkey = p_partkey")
 def _(t):
-    ref = F.regexp_replace("ref", r"(Phys)\. (Rev)\. ", "$1 $2 ")
-    ref = F.regexp_replace(ref, r" arXiv.*$", "")
-    return references(t).select("l_orderkey", "l_linenumber", X.longest_segment(F.regexp_replace(ref, r"Phys Rev.*", "pp 12")).alias("longest"), X.segment_before(ref, r"^\s*Phys").alias("before"))
+    """By the delimiter before volume or venue, the part before a venue, else the longest."""
+    form = F.expr(f"element_at(array({', '.join(repr(a) for a, _ in GUESSES)}), CAST(l_partkey % {len(GUESSES)} + 1 AS INT))")
+    refs = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    return refs.select("l_orderkey", "l_linenumber", X.title_guess(F.replace(form, F.lit("@"), F.col("p_name"))).alias("title"))
 
 
 @query("P20_keyword_query", rf"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '[^\p{{L}}\p{{M}}\p{{N}}_\s]+', ' ', 'g'), '[0-9]+', '', 'g'), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({STOP})), '%2B') AS out FROM documents")
@@ -191,12 +241,7 @@ def sentence_windows(t):
     return plain_sentences(t).withColumn("window_text", F.array_join(F.collect_list("sentence").over(near), " ")).drop("sentence")
 
 
-@query("P23_sentence_windows", f"WITH s AS {SENTENCES} SELECT a.doc_id, a.at, string_agg(b.sentence, ' ' ORDER BY b.at) AS window_text FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.at BETWEEN a.at - 1 AND a.at + 1 WHERE a.at % 7 = 1 GROUP BY a.doc_id, a.at")
-def _(t):
-    return sentence_windows(t).where("at % 7 = 1")
-
-
-@query("P23_sentence_windows_all", SQL["P23_sentence_windows"].replace(" WHERE a.at % 7 = 1", ""))
+@query("P23_sentence_windows", f"WITH s AS {SENTENCES} SELECT a.doc_id, a.at, string_agg(b.sentence, ' ' ORDER BY b.at) AS window_text FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.at BETWEEN a.at - 1 AND a.at + 1 GROUP BY a.doc_id, a.at")
 def _(t):
     return sentence_windows(t)
 
@@ -243,9 +288,6 @@ def _(t):
     return preceding_join(a, b, ["l_orderkey"], "l_linenumber", "at", 2).select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
 
 
-GRAMS = r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(text, '[^a-zA-Z0-9-]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents), g AS (SELECT DISTINCT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS chunk FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, range(1, 4) r(n) WHERE len(w) >= n)), d AS (SELECT chunk FROM g GROUP BY chunk HAVING count(*) BETWEEN 4 AND 5), m AS (SELECT g.* FROM g JOIN d USING (chunk))"
-
-
 def known_phrases(docs, counts):
     """doc_id, chunk: phrases of up to three words that so many documents have (a condition on count), and are in no longer one of their document."""
     from citelens.operators.contexts import grams, maximal_phrases
@@ -255,12 +297,7 @@ def known_phrases(docs, counts):
     return maximal_phrases(g.join(known, "chunk", "left_semi"), "doc_id", "chunk")
 
 
-@query("P29_phrases", GRAMS + " SELECT doc_id, chunk FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND length(o.chunk) > length(m.chunk) AND contains(o.chunk, m.chunk))")
-def _(t):
-    return known_phrases(t("documents"), "count BETWEEN 4 AND 5")
-
-
-@query("P29_phrases_all")
+@query("P29_phrases")
 def _(t):
     """Phrases of four or more documents. It has no SQL: comparing all phrases of a long text with each other takes too long there."""
     return known_phrases(t("documents"), "count >= 4")
@@ -275,10 +312,16 @@ def _(t):
     return g.join(known, "chunk").groupBy("doc_id").agg(F.max_by("chunk", "n").alias("chunk"))
 
 
-@query("P31_pos_classes", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'NN' WHEN role = 'assistant' THEN 'V' ELSE 'OTHER' END AS class FROM conversations")
+TAGS = ("VBD", "NNS", "NNP", "IN", "JJR", "WDT", "RB", "PRP", "DT", "NN", "MD", "VBZ", "CD")
+TAG_CLASSES = ("V", "NN", "NNP", "IN", "JJ", "WH", "ADV", "PR", "OTHER", "NN", "OTHER", "V", "OTHER")
+
+
+@query("P31_pos_classes", f"SELECT conv_id, turn, CASE WHEN [{', '.join(map(repr, TAG_CLASSES))}][conv_id % 13 + 1] = 'OTHER' AND turn % 4 > 0 THEN ['FORMULA', 'FIGURE', 'TABLE'][turn % 4] ELSE [{', '.join(map(repr, TAG_CLASSES))}][conv_id % 13 + 1] END AS class FROM conversations")
 def _(t):
-    tag = F.when(F.col("role") == "user", "NNS").when(F.col("role") == "assistant", "VBD").otherwise("DT")
-    return t("conversations").select("conv_id", "turn", X.pos_class(tag, F.lit("word")).alias("class"))
+    """Tags of every rule, with plain words and with placeholders, which count only where no tag does."""
+    tag = F.expr(f"element_at(array({', '.join(map(repr, TAGS))}), CAST(conv_id % 13 + 1 AS INT))")
+    word = F.expr("element_at(array('word', 'FORMULA', 'FIGURE', 'TABLE'), CAST(turn % 4 + 1 AS INT))")
+    return t("conversations").select("conv_id", "turn", X.pos_class(tag, word).alias("class"))
 
 
 L = "coalesce(lag(role, {0}) OVER w, '<EOS>')"
@@ -318,10 +361,11 @@ def _(t):
     return contained_titles(t("documents").select("doc_id", X.clean(F.col("text")).alias("reference")), t("benchmark").select("item_id", X.clean(F.col("text")).alias("title")), "doc_id", "item_id")
 
 
-@query("P36b_title_ratio", "SELECT l_orderkey, l_linenumber, CAST(l_linenumber <= 2 AS BOOLEAN) AS fits FROM lineitem")
+@query("P36b_title_ratio", "SELECT l_orderkey, l_linenumber, [true, true, true, false, false, false][l_linenumber % 6 + 1] AS fits FROM lineitem")
 def _(t):
-    """Four title words: all in order for line 1 and 2, otherwise one found."""
-    ref = F.when(F.col("l_linenumber") <= 2, F.concat(F.lit("x alpha beta y gamma delta "), "l_partkey")).otherwise(F.concat(F.lit("alpha x "), "l_partkey"))
+    """A title as it is, in order with other words between, three of four in order, all four in another order, two of four, none."""
+    forms = "'x alpha beta gamma delta', 'alpha x beta y gamma z delta', 'x alpha gamma delta', 'delta gamma beta alpha', 'alpha x beta', 'x y'"
+    ref = F.concat(F.expr(f"element_at(array({forms}), l_linenumber % 6 + 1)"), F.lit(" "), "l_partkey")
     return t("lineitem").select("l_orderkey", "l_linenumber", X.title_check(F.lit("alpha beta gamma delta"), ref).alias("fits"))
 
 
@@ -330,14 +374,23 @@ def _(t):
     return t("part").select("p_partkey", X.claim_term(F.concat(F.lit("SHOW :"), "p_name")).alias("term"))
 
 
-@query("P38_claim_representation")
+@query("P38_claim_representation", """WITH w AS (SELECT p_partkey, p_size % 4 AS k, lower(p_brand) AS b, lower(p_type) AS y, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS n, trim(regexp_replace(b, '[^a-z0-9]', ' ', 'g')) AS brand FROM part)
+SELECT p_partkey, CAST(1 AS DOUBLE) AS weight, concat('shows:', brand) AS term FROM w WHERE k IN (0, 1) UNION ALL SELECT p_partkey, 1, concat('shows:', a, ' ', y, ' ', n) FROM w WHERE k IN (0, 1)
+UNION ALL SELECT p_partkey, 1, concat(n, ':', brand, ' set') FROM w WHERE k = 2 UNION ALL SELECT p_partkey, 0.5, concat('shows:', x) FROM (SELECT p_partkey, unnest([brand, concat(a, ' ', y, ' ', n), concat(brand, ' set')]) AS x FROM w WHERE k = 2)
+UNION ALL SELECT p_partkey, 0.25, concat('shows:', x) FROM (SELECT p_partkey, unnest([brand, y, concat(a, ' ', y, ' ', n)]) AS x FROM w WHERE k = 3)""")
 def _(t):
-    """Weighted claim terms from small parse trees: a verb with its noun arguments, one tree for each line item."""
+    """Parse trees of a verb with subject and object, the object with a compound and an adjective: the marker below the object, below
+    the verb, below the object with an apposition of its own and two events, and without a marker."""
     from citelens.functions.parse import claim_terms
 
-    node = lambda i, head, rel, text, tag: F.struct(F.lit(i).alias("idx"), F.lit(head).alias("head"), F.lit(rel).alias("rel"), text.alias("text"), F.lit(tag).alias("tag"))
-    tree = F.array(node(1, 2, "nsubj", F.lower("p_brand"), "NOUN"), node(2, 0, "root", F.lit("show"), "VERB"), node(3, 2, "obj", F.lower("p_type"), "NOUN"), node(4, 3, "dep", F.lit("MAINCIT"), "NOUN"))
-    return t("part").select("p_partkey", F.explode(claim_terms(tree)).alias("c")).select("p_partkey", "c.weight", "c.term")
+    node = lambda i, head, rel, text, tag: F.struct(F.lit(i).alias("idx"), F.lit(head).alias("head") if isinstance(head, int) else head.alias("head"), F.lit(rel).alias("rel"), text.alias("text"), F.lit(tag).alias("tag"))
+    k, word = F.col("p_size") % 4, F.split("p_name", " ")
+    nodes = [node(1, 2, "nsubj", F.col("p_brand"), "NOUN"), node(2, 0, "root", F.lit("shows"), "VERB"), node(3, 5, "amod", word[0], "ADJ"), node(4, 5, "compound", F.col("p_type"), "NOUN"), node(5, 2, "dobj", word[1], "NOUN")]
+    marker = node(6, F.when(k == 1, 2).otherwise(5), "nmod", F.lit("MAINCIT"), "PROPN")
+    more = F.when(k < 2, F.array(marker)).when(k == 2, F.array(marker, node(7, 6, "appos", F.lit("set"), "NOUN"), node(8, 7, "compound", F.col("p_brand"), "NOUN")))
+    tree = F.concat(F.array(*nodes), F.coalesce(more, F.array().cast("array<struct<idx:int,head:int,rel:string,text:string,tag:string>>")))
+    events = F.when(k == 2, F.array(F.lit(2), F.lit(5))).otherwise(F.array(F.lit(2)))
+    return t("part").select("p_partkey", F.explode(claim_terms(tree, events)).alias("c")).select("p_partkey", "c.weight", "c.term")
 
 
 @query("P39_longest_only", "SELECT p_partkey, concat_ws(',', CASE WHEN NOT contains(p_name, p_brand) THEN p_brand END, p_name) AS out FROM part")
@@ -345,12 +398,17 @@ def _(t):
     return t("part").select("p_partkey", F.array_join(X.longest_only(F.array(F.col("p_brand"), F.col("p_name"), F.substring("p_name", 2, 3))), ",").alias("out"))
 
 
-@query("P40_exemplified", "SELECT p_partkey, p_size % 2 = 0 AS exemplified FROM part")
+@query("P40_exemplified", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN '3 of 1' ELSE '' END AS exemplified FROM part")
 def _(t):
-    """Whether a noun's dependents say "such as": every other tree does."""
-    dependents = F.array(F.struct(F.lit("mwe").alias("rel"), F.when(F.col("p_size") % 2 == 0, "such").otherwise("much").alias("text")), F.struct(F.lit("case").alias("rel"), F.lit("as").alias("text")))
-    has = lambda word: F.exists(dependents, lambda d: d["text"] == word)
-    return t("part").select("p_partkey", (has("such") & has("as")).alias("exemplified"))
+    """Trees of "tools such as rings": whole, with another word than "such", with "as" below another node, and with another relation."""
+    from citelens.functions.parse import exemplified
+
+    node = lambda i, head, rel, text: F.struct(F.lit(i).alias("idx"), head.alias("head"), rel.alias("rel"), text.alias("text"))
+    k = F.col("p_size") % 4
+    pick = lambda at, one, other: F.when(k == at, F.lit(one)).otherwise(F.lit(other))
+    tree = F.array(node(1, F.lit(0), F.lit("root"), F.lit("tools")), node(2, F.lit(3), F.lit("case"), pick(1, "much", "such")), node(3, F.lit(1), pick(3, "dep", "nmod"), F.split("p_name", " ")[1]), node(4, pick(2, 3, 2), F.lit("mwe"), F.lit("as")))
+    pairs = F.transform(exemplified(tree), lambda x: F.concat_ws(" of ", x["example"].cast("string"), x["of"].cast("string")))
+    return t("part").select("p_partkey", F.array_join(pairs, ",").alias("exemplified"))
 
 
 @query("P41_out_degrees", "SELECT n_regionkey, CAST(count(*) AS BIGINT) AS degree FROM nation GROUP BY n_regionkey")
@@ -360,18 +418,23 @@ def _(t):
     return out_degrees(t("nation").select(F.col("n_nationkey").alias("child"), F.col("n_regionkey").alias("parent"))).select(F.col("parent").alias("n_regionkey"), "degree")
 
 
-@query("P42_claim_lines", "SELECT p_partkey, CAST(0.9 AS DOUBLE) AS confidence, p_brand AS subject, 'is' AS predicate, p_type AS object, concat('T:', p_size) AS time FROM part")
+@query("P42_claim_lines", "SELECT p_partkey, CASE WHEN p_size % 4 < 3 THEN CAST(0.9 AS DOUBLE) END AS confidence, CASE WHEN p_size % 4 < 3 THEN p_brand END AS subject, CASE WHEN p_size % 4 < 3 THEN 'is' END AS predicate, CASE WHEN p_size % 4 < 2 THEN p_type END AS object, CASE WHEN p_size % 4 = 0 THEN concat('T:', p_size) END AS time, CASE WHEN p_size % 4 = 1 THEN 'L:here' END AS place FROM part")
 def _(t):
-    line = F.concat(F.lit("0.90 Context(x):("), "p_brand", F.lit("; is; "), "p_type", F.lit("; T:"), F.col("p_size").cast("string"), F.lit(")"))
-    c = X.claim_line(line)
-    return t("part").select("p_partkey", c["confidence"].alias("confidence"), c["subject"].alias("subject"), c["predicate"].alias("predicate"), c["object"].alias("object"), c["time"].alias("time"))
+    """With a time, with a place and no context, without an object, and no claim at all."""
+    forms = "concat('0.90 Context(x):(', p_brand, '; is; ', p_type, '; T:', p_size, ')'), concat('0.90 (', p_brand, '; is; L:here; ', p_type, ')'), concat('0.90 (', p_brand, '; is)'), concat('(', p_brand, '; is; ', p_type)"
+    c = X.claim_line(F.expr(f"element_at(array({forms}), p_size % 4 + 1)"))
+    return t("part").select("p_partkey", *[c[n].alias(n) for n in ("confidence", "subject", "predicate", "object", "time", "place")])
+
 
+INLINE = "concat('see <GC:', l_partkey, '> or <DBLP:', l_suppkey, '>', CASE WHEN l_linenumber % 2 = 0 THEN concat(' and <GC:', l_partkey, '>') ELSE '' END, repeat(' text', CAST(l_linenumber % 3 AS INT)))"
 
-@query("P43_inline_markers", "SELECT l_orderkey, l_linenumber, m AS cited, replace(replace(concat('see <GC:', l_partkey, '> or <DBLP:', l_suppkey, '>'), concat('<', m, '>'), 'MAINCIT'), concat('<', CASE WHEN m LIKE 'GC%' THEN concat('DBLP:', l_suppkey) ELSE concat('GC:', l_partkey) END, '>'), 'CIT') AS text FROM (SELECT *, unnest([concat('GC:', l_partkey), concat('DBLP:', l_suppkey)]) AS m FROM lineitem)")
+
+@query("P43_inline_markers", f"SELECT l_orderkey, l_linenumber, m AS cited, regexp_replace(replace({INLINE}, concat('<', m, '>'), 'MAINCIT'), '<(GC|DBLP):[0-9]+>', 'CIT', 'g') AS text FROM (SELECT *, unnest(CASE WHEN l_linenumber % 2 = 0 THEN [concat('GC:', l_partkey), concat('DBLP:', l_suppkey), concat('GC:', l_partkey)] ELSE [concat('GC:', l_partkey), concat('DBLP:', l_suppkey)] END) AS m FROM lineitem)")
 def _(t):
+    """Two markers, or three of which the first and the last are the same."""
     from citelens.operators.contexts import inline_marker_rows
 
-    return inline_marker_rows(short(t, "concat('see <GC:', l_partkey, '> or <DBLP:', l_suppkey, '>')"), "s").select("l_orderkey", "l_linenumber", "cited", F.col("context").alias("text"))
+    return inline_marker_rows(short(t, INLINE), "s").select("l_orderkey", "l_linenumber", "cited", F.col("context").alias("text"))
 
 
 @query("P44_composite_keys", "SELECT o_orderkey, concat(year(o_orderdate), '_', o_custkey) AS key, '' AS fos FROM orders")
@@ -379,27 +442,37 @@ def _(t):
     return t("orders").select("o_orderkey", F.concat_ws("_", F.year("o_orderdate"), "o_custkey").alias("key"), F.lit("").alias("fos"))
 
 
-@query("P45_inlined", "SELECT p_partkey, concat('[', substr(p_name, 1, 2), '](', p_brand, ')', substr(p_name, 3)) AS out FROM part")
+@query("P45_inlined", "SELECT p_partkey, concat(substr(p_name, 1, p_size % 3), '[', substr(p_name, p_size % 3 + 1, 2), '](', p_brand, ')', CASE WHEN p_size % 2 = 0 THEN substr(p_name, p_size % 3 + 3) ELSE concat(substr(p_name, p_size % 3 + 3, 1), '[', substr(p_name, p_size % 3 + 4, 3), '](no)', substr(p_name, p_size % 3 + 7)) END) AS out FROM part")
 def _(t):
-    spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end"), F.col("p_brand").alias("target")), F.struct(F.lit(1).alias("start"), F.lit(3).alias("end"), F.lit("no").alias("target")))
-    return t("part").select("p_partkey", X.inlined(F.col("p_name"), spans).alias("out"))
+    """A span, and one that meets it, which goes, or one behind it."""
+    start = F.col("p_size") % 3
+    span = lambda a, b, target: F.struct(a.alias("start"), b.alias("end"), target.alias("target"))
+    second = F.when(F.col("p_size") % 2 == 0, span(start + 1, start + 4, F.lit("no"))).otherwise(span(start + 3, start + 6, F.lit("no")))
+    return t("part").select("p_partkey", X.inlined(F.col("p_name"), F.array(second, span(start, start + 2, F.col("p_brand")))).alias("out"))
+
 
+FIELDS = (("cs", "computer science"), ("physics:hep", "physics"), ("q-bio", "other"), ("biology", "biology"), ("math", "mathematics"), ("eess", "other"), ("physics", "physics"), ("econ", "other"), ("stat", "other"))
 
-@query("P46_subject_labels", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'computer science' WHEN 1 THEN 'physics' WHEN 2 THEN 'other' ELSE 'biology' END AS label FROM customer")
+
+@query("P46_subject_labels", f"SELECT c_custkey, [{', '.join(repr(b) for _, b in FIELDS)}][c_custkey % {len(FIELDS)} + 1] AS label FROM customer")
 def _(t):
-    field = F.element_at(F.array(F.lit("cs"), F.lit("physics:hep"), F.lit("q-bio"), F.lit("biology")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    field = F.expr(f"element_at(array({', '.join(repr(a) for a, _ in FIELDS)}), CAST(c_custkey % {len(FIELDS)} + 1 AS INT))")
     return t("customer").select("c_custkey", X.subject_label(field).alias("label"))
 
 
-@query("P47_subject_classes", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'cs' WHEN 1 THEN 'phys' WHEN 2 THEN 'math' END AS class FROM customer")
+CATEGORIES = (("cs.DL", "cs"), ("math-ph astro-ph", "phys"), ("math.CO", "math"), ("econ", None), ("hep-lat", "phys"), ("physics.optics", "phys"), ("math-ph", "math"), ("nlin.CD", "phys"), ("q-bio", None), ("physics.cs", "phys"))
+
+
+@query("P47_subject_classes", f"SELECT c_custkey, [{', '.join('NULL' if b is None else repr(b) for _, b in CATEGORIES)}][c_custkey % {len(CATEGORIES)} + 1] AS class FROM customer")
 def _(t):
-    field = F.element_at(F.array(F.lit("cs.DL"), F.lit("math-ph astro-ph"), F.lit("math.CO"), F.lit("econ")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    field = F.expr(f"element_at(array({', '.join(repr(a) for a, _ in CATEGORIES)}), CAST(c_custkey % {len(CATEGORIES)} + 1 AS INT))")
     return t("customer").select("c_custkey", X.subject_class(field).alias("class"))
 
 
-@query("P48_user_ids", "SELECT event_id, md5(concat(user_id, '|', event_type)) AS uid FROM events")
+@query("P48_user_ids", """WITH u AS (SELECT event_id, list_transform(regexp_extract_all(hex(encode(concat(user_id, event_type, 'é', props))), '..'), lambda x: CAST(concat('0x', x) AS BIGINT)) AS b FROM events)
+SELECT event_id, lower(to_base(CAST((list_sum(list_transform(b, lambda x, i: x * (len(b) - i + 1))) + len(b)) % 65521 * 65536 + (1 + list_sum(b)) % 65521 AS BIGINT), 16)) AS uid FROM u""")
 def _(t):
-    return t("events").select("event_id", F.md5(F.concat_ws("|", "user_id", "event_type")).alias("uid"))
+    return t("events").select("event_id", X.adler32(F.concat("user_id", "event_type", F.lit("é"), "props")).alias("uid"))
 
 
 @query("P49_export_filters", "SELECT doc_id, source FROM documents WHERE lang = 'en' AND text IS NOT NULL AND n_chars > 0")
@@ -425,12 +498,14 @@ def _(t):
     return deep.select(F.substring("node", 2, 20).alias("node"), F.concat(F.repeat(F.lit(" "), F.col("depth") * 2), "node").alias("line"))
 
 
-@query("P52_document_body", "SELECT l_orderkey, l_linenumber, concat(' body ', l_partkey, ' \\begin{document} again') AS out FROM lineitem")
+@query("P52_document_body", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 > 0 THEN concat(' body ', l_partkey, CASE WHEN l_linenumber % 3 = 2 THEN ' \\begin{document} again' ELSE '' END) END AS out FROM lineitem")
 def _(t):
-    return short(t, r"concat('pre', l_suppkey, '\\begin{document} body ', l_partkey, ' \\begin{document} again')").select("l_orderkey", "l_linenumber", X.document_body(F.col("s")).alias("out"))
+    """No begin of a document, one, and two."""
+    tex = r"concat('pre', l_suppkey, CASE WHEN l_linenumber % 3 > 0 THEN '\\begin{document} body ' ELSE ' nothing ' END, l_partkey, CASE WHEN l_linenumber % 3 = 2 THEN ' \\begin{document} again' ELSE '' END)"
+    return short(t, tex).select("l_orderkey", "l_linenumber", X.document_body(F.col("s")).alias("out"))
 
 
-@query("P53_multi_keys", "SELECT l_orderkey, l_linenumber, concat('{{cite:', l_partkey, '}}', '{{cite:', l_suppkey, '}}') AS out FROM lineitem")
+@query("P53_multi_keys", "SELECT l_orderkey, l_linenumber, repeat(concat('{{cite:', l_partkey, '}}', '{{cite:x', l_suppkey, '}}'), CAST(l_linenumber % 3 + 1 AS BIGINT)) AS out FROM lineitem")
 def _(t):
-    keys = F.split("s", ",")
-    return short(t, "concat(l_partkey, ',', l_suppkey)").select("l_orderkey", "l_linenumber", F.concat_ws("", F.transform(keys, lambda k: F.concat(F.lit("{{cite:"), F.trim(k), F.lit("}}")))).alias("out"))
+    """Two, four or six keys, with and without white space."""
+    return short(t, "concat(l_partkey, ', x', l_suppkey, repeat(concat(',', l_partkey, ' ,x', l_suppkey), l_linenumber % 3))").select("l_orderkey", "l_linenumber", X.markers_of_keys(F.col("s")).alias("out"))
\ No newline at end of file

@@ -103,10 +103,51 @@ def test_resolve(spark):
     assert {tuple(r) for r in matching.resolve(refs, papers, authors).collect()} == {("u1", 2), ("u2", 2)}
 
 
+def node(idx, head, rel, text, tag="NOUN"):
+    return dict(idx=idx, head=head, rel=rel, text=text, tag=tag)
+
+
+def test_phrases():
+    """Names, expressions, compounds with a conjunct, adjectives with an adverb; verbs and numbers make no phrase, placeholders go."""
+    tree = [node(1, 4, "amod", "available", "ADJ"), node(2, 1, "advmod", "publicly", "ADV"), node(3, 4, "amod", "large", "ADJ"), node(4, 0, "root", "sets"), node(5, 4, "nummod", "two", "NUM")]
+    assert parse.Tree(tree).phrases(tree[3]) == ["publicly available large sets"]
+    tree = [node(1, 3, "compound", "word"), node(2, 1, "conj", "sentence"), node(3, 0, "root", "CIT model"), node(4, 3, "name", "X")]
+    assert parse.Tree(tree).phrases(tree[2]) == ["word model X", "sentence model X"]
+    assert parse.Tree([node(1, 0, "root", "run", "VERB")]).phrases(node(1, 0, "root", "run", "VERB")) == []
+
+
 def test_claims():
-    tree = [dict(idx=1, head=2, rel="nsubj", text="Paper", tag="NOUN"), dict(idx=2, head=0, rel="root", text="shows", tag="VERB")]
-    assert parse.claims(tree) == [(1.0, "shows:paper")]
-    assert parse.claims([dict(idx=1, head=0, rel="root", text="MAINCIT", tag="NOUN")]) == []
+    """From the marker up: its apposition, the nodes on the way, the predicate's other arguments, a clause's own; halving weights; fallback."""
+    tree = [node(1, 2, "nsubj", "Paper"), node(2, 0, "root", "shows", "VERB"), node(3, 2, "dobj", "proofs"), node(4, 3, "nmod", "MAINCIT", "PROPN"), node(5, 4, "appos", "theorem"), node(6, 2, "advcl", "using", "VERB"), node(7, 6, "dobj", "logic")]
+    whole = [(1.0, f"shows:{x}") for x in ("logic", "paper", "proofs", "theorem")]
+    assert parse.claims_by_marker(tree, [2]) == whole
+    both = parse.claims_by_marker(tree, [2, 3])
+    assert both == [(1.0, "proofs:theorem")] + [(0.5, x) for _, x in whole]
+    bare = [n for n in tree if n["idx"] not in (4, 5)]
+    assert parse.claims_by_marker(bare, [6]) == [(0.25, f"using:{x}") for x in ("logic", "paper", "proofs")]
+    assert parse.claims_by_nouns(bare, [6]) == [(1.0, "using:logic")]
+    assert parse.claims_by_nouns(bare, [6], True) == [(1.0, f"using:{x}") for x in ("logic", "paper", "proofs")]
+    assert parse.claims_by_marker(tree, []) == [] and parse.claims_by_marker([], [1]) == []
+    copula = [node(1, 3, "nsubj", "MAINCIT"), node(2, 3, "cop", "is", "VERB"), node(3, 0, "root", "standard")]
+    assert parse.Tree(copula).predicate(copula[2]) == "is"
+
+
+def test_placed_markers(spark):
+    from citelens.operators.contexts import placed_markers
+
+    cit = '<cit><ref target="{}"/></cit>'.format
+    texts = spark.createDataFrame([(1, f"a{cit('k')} b{cit('x')}{cit('k')}."), (2, f"c{cit('k')}"), (3, "none"), (4, None)], "doc int, text string")
+    keys = spark.createDataFrame([(1, "k", "u1"), (2, "x", "u2"), (2, "x", "u3")], "doc int, key string, uuid string")
+    got = {r.doc: (r.text, r.citations, r.dropped) for r in placed_markers(texts, keys, "doc", "text").collect()}
+    assert got == {1: ("a{{cite:u1}} b{{cite:u1}}.", 3, 1), 2: ("c", 1, 1), 3: ("none", 0, 0), 4: (None, 0, 0)}
+
+
+def test_adler32(spark):
+    import zlib
+
+    for text in ("", "a", "Wikipedia", "é日本😀" * 50, "x" * 6000):
+        assert one(spark, X.adler32(F.lit(text))) == f"{zlib.adler32(text.encode()):x}"
+    assert one(spark, X.adler32(F.lit(None).cast("string"))) is None
 
 
 def test_short_titles_have_no_cap(spark):
