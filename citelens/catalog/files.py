@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citelens.catalog.registry import query
 from citelens.sources import contexts as C
 from citelens.sources import files as S
-from citelens.storage import new_folder
+from citelens.storage import new_folder, written
 from citelens.streaming import online as O
 
 
@@ -18,42 +18,63 @@ def trip(t, lines, name):
     return t.spark.read.text(path)
 
 
+#: Submissions of fifty documents at most, members in an order of their own, some of them no TeX files.
+MEMBER = "concat(doc_id, CASE WHEN doc_id % 5 = 0 THEN '.txt' ELSE '.tex' END)"
+ARCHIVE = "concat(source, '-', {0}, '.tar.gz')"
+DUCK_ARCHIVE, PLACE = ARCHIVE.format("doc_id // 50"), "md5(CAST(doc_id AS VARCHAR))"
+
+
 def archives(t):
-    rows = t("documents").select("source", F.concat(F.col("doc_id").cast("string"), F.lit(".tex")).alias("member"), F.concat(F.lit("\\begin{document}"), "text").alias("text"))
+    rows = t("documents").select(F.expr(ARCHIVE.format("doc_id div 50")).alias("path"), F.expr(MEMBER).alias("member"), F.md5(F.col("doc_id").cast("string")).alias("place"), F.concat(F.lit("\\begin{document}"), "text").alias("text"))
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("member")
-        return pd.DataFrame({"path": [f"{group['source'].iloc[0]}.tar.gz"], "content": [S.archive_of(group)]})
+        return pd.DataFrame({"path": [group["path"].iloc[0]], "content": [S.archive_of(group.sort_values("place"))]})
 
-    return rows.groupBy("source").applyInPandas(packed, "path string, content binary")
+    return rows.groupBy("path").applyInPandas(packed, "path string, content binary")
 
 
-@query("S1_archives", "SELECT concat(source, '.tar.gz') AS path, concat(doc_id, '.tex') AS member, CAST(length(text) + 16 AS BIGINT) AS n FROM documents")
+@query("S1_archives", f"SELECT {DUCK_ARCHIVE} AS path, {MEMBER} AS member, CAST(length(text) + 16 AS BIGINT) AS n FROM documents")
 def _(t):
-    return S.archive_members(archives(t)).select("path", "member", F.length("text").cast("long").alias("n"))
+    """Two runs: the second finds the first one's archives in the list of those that are done."""
+    done, out = new_folder(t.spark, "archives-done"), new_folder(t.spark, "members")
+    every = written(archives(t), "archives")
+    S.resumed(every.where(F.crc32("path") % 2 == 0), done, out)
+    return S.resumed(every, done, out).select("path", "member", F.length("text").cast("long").alias("n"))
 
 
-@query("S2_main_source", "SELECT concat(source, '.tar.gz') AS path, max(concat(doc_id, '.tex')) AS member FROM documents GROUP BY source")
+@query("S2_main_source", f"SELECT {DUCK_ARCHIVE} AS path, arg_max({MEMBER}, (doc_id % 5 > 0, {PLACE})) AS member FROM documents GROUP BY 1")
 def _(t):
+    """The last TeX file in the archive's order; of an archive without any, the last of its files."""
     return S.main_sources(S.archive_members(archives(t)), ["path"]).select("path", "member")
 
 
-@query("S3_decoded", "SELECT doc_id, text FROM documents")
+@query("S3_decoded", "SELECT doc_id, CASE WHEN doc_id % 5 = 4 AND length(text) > 0 THEN concat(text, 'é', chr(65533), 'x') ELSE concat('é', text) END AS text FROM documents")
 def _(t):
+    """UTF-8, UTF-16 with and without a mark, an 8-bit encoding, and bytes that fit none, which are replaced."""
     @F.pandas_udf("string")
     def read(content: pd.Series) -> pd.Series:
         return content.map(S.decoded)
 
-    return t("documents").select("doc_id", read(F.encode("text", "UTF-8")).alias("text"))
+    @F.pandas_udf("binary")
+    def stored(text: pd.Series, i: pd.Series) -> pd.Series:
+        out = []
+        for x, k in zip(text, i):
+            s = "é" + x
+            eight = k == 3 and not s.encode("cp1252", "ignore").decode("cp1252") != s
+            out.append(x.encode() + "é".encode() + b"\x81x" if k == 4 and x else s.encode("utf-16") if k == 1 else s.encode("utf-16-le") if k == 2 and s.isascii() else s.encode("cp1252") if eight else s.encode())
+        return pd.Series(out, dtype=object)
+
+    return t("documents").select("doc_id", read(stored(F.coalesce("text", F.lit("")), (F.col("doc_id") % 5).cast("int"))).alias("text"))
 
 
-@query("S4_text_files", "SELECT r_name AS doc_id, concat('text of ', r_name) AS text FROM region")
+@query("S4_text_files", "SELECT replace(r_name, ' ', '_') AS doc_id, concat('text of ', r_name, chr(10), 'line') AS text FROM region")
 def _(t):
+    """Files by their names: texts, a log, and a file of another kind, of which only the texts are read."""
     path = new_folder(t.spark, "texts")
-    for i in range(5):
-        t("region").where(F.col("r_regionkey") == i).select(F.concat(F.lit("text of "), "r_name")).coalesce(1).write.text(f"{path}/{i}")
-    found = t.spark.read.text(f"{path}/*", wholetext=True, pathGlobFilter="*.txt").select(F.trim(F.regexp_replace("value", r"\n", "")).alias("text"))
-    return found.select(F.regexp_extract("text", "text of (.*)", 1).alias("doc_id"), "text")
+    text = F.concat(F.lit("text of "), "r_name", F.lit("\nline"))
+    files = t("region").select(F.concat(F.replace("r_name", F.lit(" "), F.lit("_")), F.lit(".txt")).alias("name"), text.alias("text"))
+    S.write_named(files.unionByName(t.spark.createDataFrame([("log.txt", "a log"), ("notes.dat", "no text")], "name string, text string")), path)
+    return S.read_texts(t.spark, path)
 
 
 @query("S5_context_lines", "SELECT CAST(l_partkey AS VARCHAR) AS cited_id, CAST(l_orderkey AS VARCHAR) AS citing_id, concat('text ', l_linenumber) AS text, CAST(CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_adjacent, l_returnflag AS fos FROM lineitem")
@@ -91,10 +112,12 @@ def _(t):
 
 @query("S10_xml_records", "SELECT n_nationkey AS id, n_name AS title FROM nation")
 def _(t):
+    """Documents of ten records each."""
     path = new_folder(t.spark, "records")
     record = S.xml_record("record", id=F.col("n_nationkey"), title=F.col("n_name"))
-    t("nation").agg(F.concat(F.lit("<records>"), F.array_join(F.collect_list(record), ""), F.lit("</records>"))).write.text(path)
-    return S.read_records(t.spark, path, "record", "id int, title string")
+    ten = t("nation").groupBy(F.floor(F.col("n_nationkey") / 10).alias("k")).agg(F.concat(F.lit("<records>"), F.array_join(F.collect_list(record), ""), F.lit("</records>")).alias("value"))
+    ten.repartition("k").write.partitionBy("k").text(path)
+    return S.read_records(t.spark, path, "record", "id int, title string").select("id", "title")
 
 
 @query("S11_xpath", "SELECT CAST(count(*) AS BIGINT) AS n FROM nation WHERE n_name LIKE 'A%' OR n_name LIKE 'N%'")
@@ -137,10 +160,11 @@ def _(t):
     return t("lineitem").join(known, F.col("l_suppkey") == F.col("s_suppkey"), "left").select("l_orderkey", "l_linenumber", "s_name")
 
 
-@query("S18_sampled_members", "SELECT concat(source, '.tar.gz') AS path, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 10 = 0")
+@query("S18_sampled_members", f"SELECT {DUCK_ARCHIVE} AS path, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 10 = 0")
 def _(t):
+    """Only members that a sample lists are taken out of the archives."""
     wanted = t("documents").where("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("id"))
-    found = S.archive_members(archives(t)).select("path", F.replace(F.regexp_extract("member", r"^(.*)\.tex$", 1), F.lit("/")).alias("id"))
+    found = S.archive_members(archives(t)).select("path", F.replace(F.regexp_extract("member", r"^(.*)\.[a-z]+$", 1), F.lit("/")).alias("id"))
     return found.join(wanted, "id", "left_semi").select("path", "id")
 
 
@@ -173,11 +197,14 @@ def _(t):
     return S.updated(t("part").select("p_partkey", "p_brand"), t("part").where("p_size > 40").select("p_partkey", F.lit("large").alias("p_brand")), "p_partkey", "p_brand")
 
 
-@query("K4_json_result", "SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1")
+@query("K4_json_result", "SELECT l_partkey, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1")
 def _(t):
+    """In four batches, two of which are there from a run that was stopped."""
     path = new_folder(t.spark, "result")
-    t("lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n")).write.json(path)
-    return t.spark.read.schema("l_returnflag string, n long").json(path)
+    counts = written(t("lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")), "counts")
+    for i in (0, 2):
+        counts.where(F.pmod(F.xxhash64("l_partkey"), F.lit(4)) == i).write.json(f"{path}/batch={i}")
+    return S.write_in_batches(counts, F.col("l_partkey"), 4, path).select("l_partkey", "n")
 
 
 @query("K5_fan_out", "SELECT n_nationkey, n_name FROM nation")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from citelens.catalog.registry import SQL, query
+from citelens.catalog.registry import query
 from citelens.functions.text import letter_words
 from citelens.operators import hierarchy as H
 from citelens.operators import ranking as R
 from citelens.plans import matching as MA
 from citelens.plans import metrics as M
 from citelens.plans import vectors as V
+from citelens.storage import written
 
 BASE = """WITH tok AS (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents),
 cnt AS (SELECT source, doc_id, count(*) AS n FROM tok GROUP BY 1, 2),
@@ -42,20 +43,19 @@ per AS (SELECT qs.q, k, coalesce(sum((pow(2, rel) - 1) / log2(rank + 1)), 0) / (
 
 
 class Slice:
-    """Tokens, split and vectors of the documents."""
+    """Tokens, split and vectors of the documents. Words are counted once and written: split, frequencies and vectors are read from the counts."""
 
     def __init__(self, t):
         # Dealt out by document before the texts become words: counting words in a document then needs no shuffle of words.
         d = t("documents").select("doc_id", "source", "text").repartition("doc_id")
-        d = d.select("doc_id", "source", letter_words(F.col("text")).alias("w")).where(F.size("w") > 0)
-        sized = d.select("doc_id", "source", F.size("w").cast("long").alias("n"))
+        terms = d.select("doc_id", "source", F.explode(letter_words(F.col("text"))).alias("term"))
+        self.tf = written(terms.groupBy("doc_id", "source", "term").agg(F.count("*").alias("tf")), "term-counts")
+        sized = self.tf.groupBy("doc_id", "source").agg(F.sum("tf").alias("n"))
         order = Window.partitionBy("source").orderBy(F.desc("n"), "doc_id")
         whole = Window.partitionBy("source")
         # The split needs only the counts; one row a document here, so the tokens are not grouped for it.
         placed = sized.select("doc_id", "source", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"), F.sum("n").over(whole).alias("a"), F.row_number().over(order).alias("rn"), F.count("*").over(whole).alias("m"))
-        self.split = placed.where("m >= 2").select("doc_id", "source", ((F.col("b") > F.floor(F.col("a") * 0.8)) | (F.col("rn") == F.col("m"))).alias("is_test"))
-        self.terms = d.select("doc_id", "source", F.explode("w").alias("term"))
-        self.tf = self.terms.groupBy("doc_id", "source", "term").agg(F.count("*").alias("tf"))
+        self.split = written(placed.where("m >= 2").select("doc_id", "source", ((F.col("b") > F.floor(F.col("a") * 0.8)) | (F.col("rn") == F.col("m"))).alias("is_test")), "split")
         self.df = self.tf.groupBy("term").agg(F.count("*").alias("df")).where("df >= 2")
         self.n = sized.agg(F.count("*").alias("n"))
         placed_tf = self.tf.join(self.split, ["doc_id", "source"])
@@ -119,30 +119,41 @@ def _(t):
     return top(Slice(t).raw())
 
 
-@query("R4_applicable", BASE + ", lw AS (SELECT q, cand, CAST(count(*) AS DOUBLE) AS score FROM (SELECT q, term FROM qtf WHERE length(term) >= 12) JOIN ctf USING (term) GROUP BY 1, 2) SELECT CAST(count(DISTINCT q) AS BIGINT) AS applicable, CAST((SELECT count(*) FROM truth) AS BIGINT) AS queries FROM lw WHERE score > 0")
-def _(t):
-    s = Slice(t)
-    scores = s.qtf.where(F.length("term") >= 12).select("q", "term").join(s.ctf, "term").groupBy("q", "cand").agg(F.count("*").cast("double").alias("score"))
-    return V.applicable(scores).agg(F.count_distinct("q").alias("applicable")).crossJoin(s.truth.agg(F.count("*").alias("queries")))
+#: The two and three words before each full stop, as phrases before a marker are found; counts of them are the vectors.
+PHRASES = BASE + r""", se AS (SELECT doc_id, source, regexp_split_to_array(trim(regexp_replace(unnest(string_split(text, '.')), '[^a-zA-Z0-9-]+', ' ', 'g')), ' ') AS w FROM documents),
+ph AS (SELECT doc_id, source, array_to_string(w[len(w) - k + 1:], ' ') AS term, count(*) AS tf FROM se, range(2, 4) r(k) WHERE len(w) >= k GROUP BY 1, 2, 3),
+pq AS (SELECT doc_id AS q, term, tf FROM ph JOIN sp USING (source, doc_id) WHERE is_test), pc AS (SELECT source AS cand, term, sum(tf) AS tf FROM ph JOIN sp USING (source, doc_id) WHERE NOT is_test GROUP BY 1, 2),
+pqn AS (SELECT q, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY q)) AS w FROM pq), pcn AS (SELECT cand, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY cand)) AS w FROM pc),
+pr AS (SELECT q, cand, round(sum(a.w * b.w), 9) AS score FROM pqn a JOIN pcn b USING (term) GROUP BY 1, 2) """
 
 
-LABELS = "WITH q AS (SELECT DISTINCT o_orderkey AS q, s_nationkey AS label FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderkey % 50 = 0), c AS (SELECT DISTINCT l_partkey AS cand, s_nationkey AS label FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey % 5 = 0), nq AS (SELECT q, count(*) AS n FROM q GROUP BY 1), nc AS (SELECT cand, count(*) AS n FROM c GROUP BY 1), m AS (SELECT q, cand, count(*) AS m FROM q JOIN c USING (label) GROUP BY 1, 2) "
+def phrase_vectors(t):
+    """The slice, and phrase counts of its queries and candidates."""
+    s = Slice(t)
+    sentences = t("documents").select("doc_id", "source", F.explode(F.split("text", r"\.")).alias("text"))
+    words = F.split(F.trim(F.regexp_replace("text", "[^a-zA-Z0-9-]+", " ")), " ")
+    last = F.array_compact(F.array(*[F.when(F.size("w") >= k, F.array_join(F.slice("w", -k, k), " ")) for k in (2, 3)]))
+    terms = sentences.select("doc_id", "source", words.alias("w")).select("doc_id", "source", F.explode(last).alias("term"))
+    tf = terms.groupBy("doc_id", "source", "term").agg(F.count("*").alias("tf")).join(s.split, ["doc_id", "source"])
+    q = tf.where("is_test").select(F.col("doc_id").alias("q"), "term", F.col("tf").cast("double").alias("w"))
+    c = tf.where("NOT is_test").groupBy(F.col("source").alias("cand"), "term").agg(F.sum("tf").cast("double").alias("w"))
+    return s, q, c
 
 
-def label_rows(t):
-    return t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_partkey", F.col("s_nationkey").alias("label"))
+@query("R4_applicable", PHRASES + TOP.format("(SELECT * FROM pr WHERE q IN (SELECT q FROM pr GROUP BY q HAVING max(score) > 0))"))
+def _(t):
+    """The ranking by counts of the phrases before markers, for the queries that it scores anything for."""
+    _, q, c = phrase_vectors(t)
+    return top(V.applicable(V.cosines(q, c)))
 
 
-def label_sets(t):
-    """Queries are every fiftieth order, candidates every fifth part, as the SQL of R5 and R5b has it."""
-    rows = label_rows(t)
-    return rows.where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("q"), "label").distinct(), rows.where("l_partkey % 5 = 0").select(F.col("l_partkey").alias("cand"), "label").distinct()
+LABELS = "WITH q AS (SELECT DISTINCT l_orderkey AS q, s_nationkey AS label FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 100 = 0), c AS (SELECT DISTINCT l_partkey AS cand, s_nationkey AS label FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), nq AS (SELECT q, count(*) AS n FROM q GROUP BY 1), nc AS (SELECT cand, count(*) AS n FROM c GROUP BY 1), m AS (SELECT q, cand, count(*) AS m FROM q JOIN c USING (label) GROUP BY 1, 2) "
 
 
-def all_label_sets(t):
-    """Every order is a query, every part a candidate."""
-    rows = label_rows(t)
-    return rows.select(F.col("l_orderkey").alias("q"), "label").distinct(), rows.select(F.col("l_partkey").alias("cand"), "label").distinct()
+def label_sets(t):
+    """The stated query set, orders whose number is divisible by 100, against all parts."""
+    rows = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_partkey", F.col("s_nationkey").alias("label"))
+    return rows.where("l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("q"), "label").distinct(), rows.select(F.col("l_partkey").alias("cand"), "label").distinct()
 
 
 @query("R5_containment", LABELS + TOP.format("(SELECT q, cand, round(m * 1.0 / n, 9) AS score FROM m JOIN nc USING (cand))"))
@@ -155,21 +166,6 @@ def _(t):
     return top(V.jaccard(*label_sets(t)))
 
 
-def whole(key):
-    """The SQL of a query without its filters on orders and parts."""
-    return SQL[key].replace(" WHERE o_orderkey % 50 = 0", "").replace(" WHERE l_partkey % 5 = 0", "")
-
-
-@query("R5_containment_all", whole("R5_containment"))
-def _(t):
-    return top(V.containment(*all_label_sets(t)))
-
-
-@query("R5b_jaccard_all", whole("R5b_jaccard"))
-def _(t):
-    return top(V.jaccard(*all_label_sets(t)))
-
-
 @query("R6_boosted", BASE + ", dots AS (SELECT q, cand, count(*) AS dot FROM (SELECT q, term FROM qtf WHERE length(term) >= 14) JOIN ctf USING (term) GROUP BY 1, 2), tp AS (SELECT q, max(dot) AS t FROM dots GROUP BY 1) SELECT rk.q, rk.cand, CAST(round(count(*) OVER (PARTITION BY rk.q) - rank + 1 + CASE WHEN t >= 1 AND dot >= t - 1 THEN 1.1 ELSE 0 END, 4) AS DOUBLE) AS points FROM rk LEFT JOIN dots USING (q, cand) LEFT JOIN tp ON tp.q = rk.q")
 def _(t):
     s = Slice(t)
@@ -216,15 +212,14 @@ def _(t):
 def _(t):
     from citelens.plans.topics import word_clusters
 
-    return word_clusters(t("documents").where("lang = 'en'").select("doc_id", letter_words(F.col("text")).alias("words")), clusters=5)
+    return word_clusters(t("documents").where("text IS NOT NULL").select("doc_id", letter_words(F.col("text")).alias("words")), clusters=5)
 
 
-@query("R12_model_comparison", BASE + ", r2 AS (SELECT q, cand, row_number() OVER (PARTITION BY q ORDER BY score DESC, cand) AS rank FROM raw) SELECT CAST(count(*) FILTER (WHERE rk.rank < r2.rank) AS BIGINT) AS first_better, CAST(count(*) FILTER (WHERE rk.rank > r2.rank) AS BIGINT) AS second_better, CAST(count(*) FILTER (WHERE rk.rank = r2.rank) AS BIGINT) AS equal FROM truth JOIN rk USING (q, cand) JOIN r2 USING (q, cand)")
+@query("R12_model_comparison", PHRASES + ", x AS (SELECT truth.q, coalesce(rk.rank, k.n) AS a, coalesce(p2.rank, k.n) AS b, coalesce(best, 0) > 0 AS good FROM truth CROSS JOIN (SELECT count(DISTINCT cand) AS n FROM ctf) k LEFT JOIN rk ON rk.q = truth.q AND rk.cand = truth.cand LEFT JOIN (SELECT q, cand, row_number() OVER (PARTITION BY q ORDER BY score DESC, cand) AS rank FROM pr) p2 ON p2.q = truth.q AND p2.cand = truth.cand LEFT JOIN (SELECT q, max(score) AS best FROM pr GROUP BY 1) m ON m.q = truth.q) SELECT CAST(count(*) FILTER (WHERE good AND a < b) AS BIGINT) AS first_better, CAST(count(*) FILTER (WHERE good AND a > b) AS BIGINT) AS second_better, CAST(count(*) FILTER (WHERE good AND a = b) AS BIGINT) AS equal, CAST(count(*) FILTER (WHERE NOT good) AS BIGINT) AS abstained FROM x")
 def _(t):
-    s = Slice(t)
-    a = R.ranked(s.bow(), "q", F.col("score"), "cand").select("q", "cand", F.col("rank").alias("a"))
-    b = R.ranked(s.raw(), "q", F.col("score"), "cand").select("q", "cand", F.col("rank").alias("b"))
-    return s.truth.join(a, ["q", "cand"]).join(b, ["q", "cand"]).agg(F.count_if(F.col("a") < F.col("b")).alias("first_better"), F.count_if(F.col("a") > F.col("b")).alias("second_better"), F.count_if(F.col("a") == F.col("b")).alias("equal"))
+    """Words against the phrases before markers, which score nothing for some queries."""
+    s, q, c = phrase_vectors(t)
+    return M.compared(s.bow(), V.cosines(q, c), s.truth, s.ctf)
 
 
 @query("A21_metric_means", PER + "SELECT CAST(k AS INT) AS k, round(sum(ndcg) / count(*), 4) AS ndcg, CAST(round(sum(recall), 4) AS DOUBLE) AS hits FROM per GROUP BY k")
@@ -246,20 +241,28 @@ def _(t):
     return M.legacy(s.ranking(), s.truth).select(F.round("legacy_map5", 6).alias("legacy_map5"), F.round("legacy_ndcg5", 6).alias("legacy_ndcg5"))
 
 
-@query("R14_study_metrics", "WITH j AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS rank, value > 50 AS relevant FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 5), n AS (SELECT user_id, greatest(count(*) FILTER (WHERE relevant), 1) AS n, count(*) AS l FROM j GROUP BY 1), h AS (SELECT user_id, rank, row_number() OVER (PARTITION BY user_id ORDER BY rank) AS i FROM j WHERE relevant), s AS (SELECT user_id, count(*) AS hits, min(rank) AS best, sum(i * 1.0 / rank) AS ap, sum(1 / log2(rank + 1)) AS dcg FROM h GROUP BY 1) SELECT n.user_id, round(coalesce(hits, 0) * 1.0 / n, 6) AS recall, round(coalesce(1.0 / best, 0), 6) AS rr, round(coalesce(ap / hits, 0), 6) AS ap, round(coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 6) r(i) WHERE i <= least(n, l)), 6) AS ndcg FROM n LEFT JOIN s USING (user_id)")
+STUDY = """WITH j AS (SELECT user_id, event_type, CAST(row_number() OVER w AS INT) AS rank, value > 50 AS relevant FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id) QUALIFY row_number() OVER w <= 5),
+l AS (SELECT user_id, event_type, count(*) FILTER (WHERE relevant) AS hits, min(rank) FILTER (WHERE relevant) AS best FROM j GROUP BY 1, 2), n AS (SELECT user_id, greatest(max(hits), 1) AS n FROM l GROUP BY 1),
+h AS (SELECT user_id, event_type, rank, row_number() OVER (PARTITION BY user_id, event_type ORDER BY rank) AS i FROM j WHERE relevant), s AS (SELECT user_id, event_type, sum(i * 1.0 / rank) / count(*) AS ap, sum(1 / log2(rank + 1)) / sum(1 / log2(i + 1)) AS ndcg FROM h GROUP BY 1, 2),
+per AS (SELECT user_id, event_type, hits * 1.0 / n AS recall, coalesce(1.0 / best, 0) AS rr, coalesce(ap, 0) AS ap, coalesce(ndcg, 0) AS ndcg FROM l JOIN n USING (user_id) LEFT JOIN s USING (user_id, event_type)) """
+METRICS = ("recall", "rr", "ap", "ndcg")
+
+
+def study(t):
+    """A user stands for an item, a type of event for a model, its first five events for the judged list."""
+    rank = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    judged = t("events").select("user_id", "event_type", rank.alias("rank"), (F.col("value") > 50).alias("relevant")).where("rank <= 5")
+    return M.binary_study(judged, ["user_id"], "event_type")
+
+
+@query("R14_study_metrics", STUDY + f"SELECT user_id, event_type, {', '.join(f'CAST(round({m}, 6) AS DOUBLE) AS {m}' for m in METRICS)} FROM per")
 def _(t):
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    j = t("events").select("user_id", rank.alias("rank"), (F.col("value") > 50).alias("relevant")).where("rank <= 5")
-    j = j.withColumn("n_relevant", F.count_if("relevant").over(Window.partitionBy("user_id")))
-    return M.binary_study(j, ["user_id"]).select("user_id", *[F.round(c, 6).alias(c) for c in ("recall", "rr", "ap", "ndcg")])
+    return study(t).select("user_id", "event_type", *[F.round(m, 6).alias(m) for m in METRICS])
 
 
-@query("A31_study_means", "WITH j AS (SELECT event_type, user_id, CAST(row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS INT) AS rank, value > 50 AS relevant FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) <= 5), n AS (SELECT event_type, user_id, greatest(count(*) FILTER (WHERE relevant), 1) AS n, count(*) FILTER (WHERE relevant) AS hits, min(rank) FILTER (WHERE relevant) AS best FROM j GROUP BY 1, 2) SELECT event_type, round(avg(hits * 1.0 / n), 6) AS recall, round(avg(coalesce(1.0 / best, 0)), 6) AS rr FROM n GROUP BY 1")
+@query("A31_study_means", STUDY + f"SELECT event_type, CAST(count(*) AS BIGINT) AS items, {', '.join(f'CAST(round(avg({m}), 6) AS DOUBLE) AS {m}' for m in METRICS)} FROM per GROUP BY 1")
 def _(t):
-    w = Window.partitionBy("event_type", "user_id")
-    j = t("events").select("event_type", "user_id", F.row_number().over(w.orderBy("ts", "event_id")).alias("rank"), (F.col("value") > 50).alias("relevant")).where("rank <= 5")
-    m = M.binary_study(j.withColumn("n_relevant", F.count_if("relevant").over(w)), ["event_type", "user_id"])
-    return m.groupBy("event_type").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("rr"))
+    return study(t).groupBy("event_type").agg(F.count("*").alias("items"), *[F.round(F.avg(m), 6).alias(m) for m in METRICS])
 
 
 @query("R16_similar_to_one", BASE.replace("rk AS", "one AS (SELECT min(q) AS q FROM qw), rk AS") + "SELECT cand, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM rk JOIN one USING (q) WHERE rank <= 11")
@@ -292,27 +295,18 @@ def _(t):
     return MA.quality(rows, guess)
 
 
-def resolved(t, cited):
+@query("M1_resolved", "WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT uuid, paper FROM (SELECT a.p_partkey AS uuid, b.p_partkey AS paper, row_number() OVER (PARTITION BY a.p_partkey ORDER BY coalesce(n, 0) DESC, b.p_partkey) AS rn FROM part a JOIN part b ON lower(trim(regexp_replace(regexp_replace(a.p_name, '[^a-zA-Z0-9_]', ' ', 'g'), '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(regexp_replace(b.p_name, '[^a-zA-Z0-9_]', ' ', 'g'), '\\s+', ' ', 'g'))) LEFT JOIN c ON l_partkey = b.p_partkey WHERE contains(lower(regexp_replace(a.p_brand, '[^a-zA-Z0-9_]', ' ', 'g')), split_part(lower(regexp_replace(b.p_brand, '[^a-zA-Z0-9_]', ' ', 'g')), ' ', 1))) WHERE rn = 1")
+def _(t):
+    """Every part as a reference, against all parts."""
     n = t("lineitem").groupBy(F.col("l_partkey").alias("paper")).agg(F.count("*").alias("citations"))
     papers = t("part").select(F.col("p_partkey").alias("paper"), F.col("p_name").alias("title")).join(n, "paper", "left").withColumn("citations", F.coalesce("citations", F.lit(0)))
     authors = t("part").select(F.col("p_partkey").alias("paper"), F.col("p_brand").alias("author"))
-    refs = cited.select(F.col("p_partkey").alias("uuid"), F.col("p_name").alias("title"), F.col("p_brand").alias("reference"))
-    return MA.resolve(refs, papers, authors)
-
-
-@query("M1_resolved", "WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT uuid, paper FROM (SELECT a.p_partkey AS uuid, b.p_partkey AS paper, row_number() OVER (PARTITION BY a.p_partkey ORDER BY coalesce(n, 0) DESC, b.p_partkey) AS rn FROM part a JOIN part b ON lower(trim(regexp_replace(regexp_replace(a.p_name, '[^a-zA-Z0-9_]', ' ', 'g'), '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(regexp_replace(b.p_name, '[^a-zA-Z0-9_]', ' ', 'g'), '\\s+', ' ', 'g'))) LEFT JOIN c ON l_partkey = b.p_partkey WHERE a.p_partkey % 10 = 0 AND contains(lower(regexp_replace(a.p_brand, '[^a-zA-Z0-9_]', ' ', 'g')), split_part(lower(regexp_replace(b.p_brand, '[^a-zA-Z0-9_]', ' ', 'g')), ' ', 1))) WHERE rn = 1")
-def _(t):
-    return resolved(t, t("part").where("p_partkey % 10 = 0"))
-
-
-@query("M1_resolved_all", SQL["M1_resolved"].replace("a.p_partkey % 10 = 0 AND ", ""))
-def _(t):
-    return resolved(t, t("part"))
+    return MA.resolve(t("part").select(F.col("p_partkey").alias("uuid"), F.col("p_name").alias("title"), F.col("p_brand").alias("reference")), papers, authors)
 
 
-# hierarchy -----------------------------------------------------------------------------------------------------------
+# hierarchy-
 
-EDGES = "WITH RECURSIVE e AS (SELECT concat('s', s_suppkey) AS child, concat('n', s_nationkey) AS parent FROM supplier UNION ALL SELECT concat('s', s_suppkey), concat('n', (s_nationkey + 7) % 25) FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation), nodes AS (SELECT child AS node FROM e UNION SELECT parent FROM e), up(node, ancestor, depth) AS (SELECT node, node, 0 FROM nodes UNION SELECT up.node, e.parent, depth + 1 FROM up JOIN e ON up.ancestor = e.child WHERE depth < 5), anc AS (SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY 1, 2) "
+EDGES = "WITH RECURSIVE e AS (SELECT concat('s', s_suppkey) AS child, concat('n', s_nationkey) AS parent FROM supplier UNION ALL SELECT concat('s', s_suppkey), concat('n', (s_nationkey + 7) % 25) FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation), nodes AS (SELECT child AS node FROM e UNION SELECT parent FROM e), up(node, ancestor, depth) AS (SELECT node, node, 0 FROM nodes UNION SELECT up.node, e.parent, depth + 1 FROM up JOIN e ON up.ancestor = e.child), anc AS (SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY 1, 2) "
 
 
 def edges(t):
@@ -332,14 +326,14 @@ def _(t):
     return H.roots(edges(t))
 
 
-@query("G3_match_scores", EDGES + "SELECT a.node, b.node AS target, CAST(round(coalesce(1 - 0.2 * depth, 0), 4) AS DOUBLE) AS score FROM nodes a JOIN nodes b ON a.node LIKE 's%' AND b.node LIKE 'r%' LEFT JOIN anc ON anc.node = a.node AND anc.ancestor = b.node")
+@query("G3_match_scores", EDGES + "SELECT a.node, b.node AS target, CAST(round(coalesce(1 - 0.2 * depth, 0), 4) AS DOUBLE) AS score FROM nodes a JOIN nodes b ON a.node LIKE 's%' AND b.node LIKE 'r%' LEFT JOIN anc ON anc.node = a.node AND anc.ancestor = b.node AND depth <= 5")
 def _(t):
     e = edges(t)
     pairs = e.where("child LIKE 's%'").select(F.col("child").alias("node")).distinct().crossJoin(F.broadcast(t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("target"))))
     return H.match_score(pairs, e).withColumn("score", F.round("score", 4))
 
 
-@query("G4_distances", EDGES + ", p AS (SELECT concat('s', s_suppkey) AS a, concat('s', s_suppkey % 50 + 1) AS b FROM supplier) SELECT p.a, p.b, CAST(coalesce(min(greatest(x.depth, y.depth)), 6) AS INT) AS distance FROM p LEFT JOIN (anc x JOIN anc y ON x.ancestor = y.ancestor) ON x.node = p.a AND y.node = p.b GROUP BY 1, 2")
+@query("G4_distances", EDGES + ", p AS (SELECT concat('s', s_suppkey) AS a, concat('s', s_suppkey % 50 + 1) AS b FROM supplier) SELECT p.a, p.b, CAST(coalesce(min(greatest(x.depth, y.depth)), 6) AS INT) AS distance FROM p LEFT JOIN (anc x JOIN anc y ON x.ancestor = y.ancestor AND x.depth <= 5 AND y.depth <= 5) ON x.node = p.a AND y.node = p.b GROUP BY 1, 2")
 def _(t):
     pairs = t("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("a"), F.concat(F.lit("s"), F.col("s_suppkey") % 50 + 1).alias("b"))
     return H.distance(pairs, edges(t))
@@ -350,9 +344,9 @@ def _(t):
     return H.expanded(t("lineitem").select(F.col("l_partkey").alias("k"), F.concat(F.lit("s"), "l_suppkey").alias("node")), edges(t), "k", "node")
 
 
-@query("G6_score_sums", EDGES + "SELECT ancestor AS target, CAST(round(sum(1 - 0.2 * depth), 4) AS DOUBLE) AS score FROM anc WHERE node LIKE 's%' GROUP BY 1")
+@query("G6_score_sums", EDGES + "SELECT ancestor AS target, CAST(round(sum(1 - 0.2 * depth), 4) AS DOUBLE) AS score FROM anc WHERE node LIKE 's%' AND depth <= 5 GROUP BY 1")
 def _(t):
-    up = H.ancestors(edges(t)).where("node LIKE 's%'")
+    up = H.ancestors(edges(t), 5).where("node LIKE 's%'")
     return up.groupBy(F.col("ancestor").alias("target")).agg(F.round(F.sum(1 - 0.2 * F.col("depth")), 4).alias("score"))
 
 

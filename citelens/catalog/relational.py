@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from citelens.catalog.registry import SQL, query
+from citelens.catalog.registry import query
 from citelens.operators import aggregates as A
 from citelens.operators import joins as J
 from citelens.operators import ranking as R
@@ -19,7 +19,7 @@ def i64(c):
     return F.col(c).cast("long") if isinstance(c, str) else c.cast("long")
 
 
-# joins ---------------------------------------------------------------------------------------------------------------
+# joins
 
 @query("J1_inner", "SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON l_partkey = p_partkey")
 def _(t):
@@ -36,15 +36,18 @@ def _(t):
     return t("lineitem").where("l_partkey IS NOT NULL").select("l_orderkey", "l_linenumber")
 
 
-TITLES = "WITH g AS (SELECT p_partkey AS q, p_type AS whole FROM part), w AS (SELECT q, string_split(whole, ' ') AS w FROM g), s AS (SELECT q, a + b AS dropped, a, array_to_string(w[a + 1:len(w) - b], ' ') AS title FROM w, range(0, 3) x(a), range(0, 3) y(b) WHERE len(w) > a + b), k AS (SELECT array_to_string(string_split(p_type, ' ')[1:2], ' ') AS title, min(p_partkey) AS paper FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)"
+WHOLE = "concat(repeat('the ', p_partkey % 3), p_name, ' ', lower(p_type), repeat(' b', p_partkey % 4))"
+TITLES = f"WITH w AS (SELECT p_partkey AS q, string_split({WHOLE}, ' ') AS w FROM part), s AS (SELECT q, a + b AS dropped, a, array_to_string(w[a + 1:len(w) - b], ' ') AS title FROM w, range(0, 3) x(a), range(0, 3) y(b) WHERE len(w) > a + b), k AS (SELECT concat(p_name, ' ', lower(p_type)) AS title, min(p_partkey) AS paper FROM part GROUP BY 1)"
 
 
 @query("J4_title_lookup", TITLES + " SELECT q, paper, dropped FROM (SELECT q, paper, dropped, row_number() OVER (PARTITION BY q ORDER BY dropped, a) AS rn FROM s JOIN k USING (title)) WHERE rn = 1")
 def _(t):
+    """Titles with up to two words before and three after them, against those of all parts; three words too many are not found."""
     from citelens.functions.text import shifted_titles
 
-    known = t("part").where("p_partkey % 3 = 0").groupBy(F.array_join(F.slice(F.split("p_type", " "), 1, 2), " ").alias("title")).agg(F.min("p_partkey").alias("paper"))
-    guesses = t("part").select(F.col("p_partkey").alias("q"), F.explode(shifted_titles(F.col("p_type"))).alias("g")).select("q", "g.*")
+    known = t("part").groupBy(F.expr("concat(p_name, ' ', lower(p_type))").alias("title")).agg(F.min("p_partkey").alias("paper"))
+    whole = F.expr("concat(repeat('the ', CAST(p_partkey % 3 AS INT)), p_name, ' ', lower(p_type), repeat(' b', CAST(p_partkey % 4 AS INT)))")
+    guesses = t("part").select(F.col("p_partkey").alias("q"), F.explode(shifted_titles(whole)).alias("g")).select("q", "g.*")
     best = J.best_candidate(guesses.join(known, "title"), ["q"], [F.col("dropped"), F.col("left")])
     return best.select("q", "paper", F.col("dropped").cast("long").alias("dropped"))
 
@@ -95,12 +98,10 @@ def _(t):
     return J.overlap_join(a, b, ["user_id"], ("lo", "hi"), ("start", "end")).where("a < b").select("a", "b")
 
 
-@query("J12_nearest_before", "SELECT l_orderkey, l_linenumber, l_suppkey FROM (SELECT a.l_orderkey, a.l_linenumber, b.l_suppkey, row_number() OVER (PARTITION BY a.l_orderkey, a.l_linenumber ORDER BY b.l_linenumber DESC) AS rn FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber < a.l_linenumber AND a.l_linenumber - b.l_linenumber <= 3) WHERE rn = 1")
+@query("J12_nearest_before", "SELECT l_orderkey, l_linenumber, arg_max(s, row(place, s)) AS l_suppkey FROM (SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS place, b.l_suppkey AS s FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber < a.l_linenumber AND a.l_linenumber - b.l_linenumber <= 3) GROUP BY 1, 2")
 def _(t):
-    a = t("lineitem").select("l_orderkey", "l_linenumber")
-    b = t("lineitem").select("l_orderkey", F.col("l_linenumber").alias("at"), "l_suppkey")
-    found = J.preceding_join(a, b, ["l_orderkey"], "l_linenumber", "at", 3)
-    return J.best_candidate(found, ["l_orderkey", "l_linenumber"], [F.desc("at")]).select("l_orderkey", "l_linenumber", "l_suppkey")
+    near = J.nearest_before(t("lineitem"), ["l_orderkey"], "l_linenumber", "l_suppkey", 3)
+    return near.where("l_suppkey_before IS NOT NULL").select("l_orderkey", "l_linenumber", F.col("l_suppkey_before").alias("l_suppkey")).distinct()
 
 
 @query("J13_not_done", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
@@ -133,24 +134,22 @@ def _(t):
 
 @query("J18_ever_adjacent", "SELECT a.l_partkey AS cited, string_agg(DISTINCT CAST(b.l_partkey AS VARCHAR), ',' ORDER BY CAST(b.l_partkey AS VARCHAR)) AS adjacent FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_linenumber - b.l_linenumber) = 1 GROUP BY a.l_partkey")
 def _(t):
-    b = cites(t).select("citing", F.col("cited").alias("other"), F.col("pos").alias("other_pos"))
-    near = cites(t).select("citing", "cited", "pos").join(b, "citing").where("abs(pos - other_pos) = 1")
-    return near.groupBy("cited").agg(F.array_join(F.array_sort(F.collect_set(F.col("other").cast("string"))), ",").alias("adjacent"))
+    """Parts next to each other in any order: one pass over the orders, by ranges of the line number."""
+    order = Window.partitionBy("citing").orderBy("pos")
+    beside = lambda at: F.collect_set("cited").over(order.rangeBetween(at, at))
+    near = cites(t).select("cited", F.concat(beside(-1), beside(1)).alias("others")).select("cited", F.explode("others").alias("other")).distinct()
+    return near.groupBy("cited").agg(F.array_join(F.array_sort(F.collect_list(F.col("other").cast("string"))), ",").alias("adjacent"))
 
 
-def aligned(events):
-    e = events.select("user_id", "event_type").distinct()
-    return e.withColumnRenamed("user_id", "a").join(e.withColumnRenamed("user_id", "b"), "event_type").where("a < b").groupBy("a", "b", "event_type").agg(F.count("*").alias("n"))
+ITEM = "concat(event_type, '-', CAST(floor(event_id / 8) AS BIGINT))"
 
 
-@query("J19_aligned_raters", "SELECT a.user_id AS a, b.user_id AS b, a.event_type, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) a JOIN (SELECT DISTINCT user_id, event_type FROM events) b ON a.event_type = b.event_type AND a.user_id < b.user_id AND a.user_id <= 20 AND b.user_id <= 20 GROUP BY 1, 2, 3")
+@query("J19_aligned_raters", f"WITH e AS (SELECT DISTINCT user_id, {ITEM} AS item FROM events) SELECT a.user_id AS a, b.user_id AS b, CAST(count(*) AS BIGINT) AS n FROM e a JOIN e b ON a.item = b.item AND a.user_id < b.user_id GROUP BY 1, 2")
 def _(t):
-    return aligned(t("events").where("user_id <= 20"))
-
-
-@query("J19_aligned_raters_all", SQL["J19_aligned_raters"].replace(" AND a.user_id <= 20 AND b.user_id <= 20", ""))
-def _(t):
-    return aligned(t("events"))
+    """Pairs of users by the items that both have judged; an item is judged by eight users at most, so pairs grow with the items."""
+    e = t("events").select("user_id", F.expr(ITEM).alias("item")).distinct()
+    both = e.withColumnRenamed("user_id", "a").join(e.withColumnRenamed("user_id", "b"), "item").where("a < b")
+    return both.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @query("J20_first_match", "SELECT p_partkey, p_name FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) ORDER BY p_partkey LIMIT 1")
@@ -159,12 +158,13 @@ def _(t):
     return t("part").join(least, "p_brand", "left_semi").orderBy("p_partkey").limit(1).select("p_partkey", "p_name")
 
 
-# aggregates ----------------------------------------------------------------------------------------------------------
+# aggregates
 
-@query("A1_contexts_by_cited", "SELECT l_partkey AS cited, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_orderkey, l_linenumber) AS citing FROM lineitem GROUP BY l_partkey")
+@query("A1_contexts_by_cited", "SELECT l_partkey AS cited, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS citing, min(l_orderkey) AS first, max(l_orderkey) AS last, CAST(sum(l_linenumber) AS BIGINT) AS words FROM lineitem GROUP BY l_partkey")
 def _(t):
-    rows = F.array_sort(F.collect_list(F.struct("citing", "pos")))
-    return cites(t).groupBy("cited").agg(F.count("*").alias("n"), rows.alias("r")).select("cited", "n", F.array_join(F.transform("r.citing", lambda c: c.cast("string")), ",").alias("citing"))
+    """A cited paper's contexts as one group: their number and bounds, as sums that are made before the shuffle; no list of them is."""
+    per = cites(t).groupBy("cited", "citing").agg(F.count("*").alias("n"), F.sum("pos").alias("words"))
+    return per.groupBy("cited").agg(F.sum("n").alias("n"), F.count("*").alias("citing"), F.min("citing").alias("first"), F.max("citing").alias("last"), F.sum("words").alias("words"))
 
 
 @query("A2_nested_groups", "SELECT l_partkey AS cited, l_orderkey AS citing, min(l_linenumber) AS first, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2")
@@ -286,11 +286,15 @@ def _(t):
     return j.groupBy(F.col("shift").cast("long").alias("shift")).agg(F.count_if(F.col("role") == "user").alias("users"), F.count_if(F.col("role") == "assistant").alias("assistants"))
 
 
-@query("A23_top_votes", "WITH v AS (SELECT l_partkey, n_regionkey, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2) SELECT l_partkey, n_regionkey, CAST(n AS BIGINT) AS n FROM (SELECT *, rank() OVER (PARTITION BY l_partkey ORDER BY n DESC) AS r FROM v) WHERE r = 1")
+@query("A23_top_votes", "WITH RECURSIVE e AS (SELECT concat('s', s_suppkey) AS child, concat('n', s_nationkey) AS parent FROM supplier UNION SELECT concat('s', s_suppkey), concat('n', (s_nationkey + 7) % 25) FROM supplier WHERE s_suppkey % 3 = 0 UNION SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation UNION SELECT concat('r', r_regionkey), concat('w', r_regionkey % 2) FROM region), up(node, ancestor) AS (SELECT child, child FROM e UNION SELECT up.node, e.parent FROM up JOIN e ON up.ancestor = e.child), v AS (SELECT l_partkey, ancestor AS root, count(*) AS n FROM lineitem JOIN up ON node = concat('s', l_suppkey) WHERE ancestor NOT IN (SELECT child FROM e) GROUP BY 1, 2) SELECT l_partkey, root, CAST(n AS BIGINT) AS n FROM (SELECT *, rank() OVER (PARTITION BY l_partkey ORDER BY n DESC) AS r FROM v) WHERE r = 1")
 def _(t):
-    j = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    v = j.groupBy("l_partkey", "n_regionkey").agg(F.count("*").alias("n"))
-    return v.withColumn("r", F.rank().over(Window.partitionBy("l_partkey").orderBy(F.desc("n")))).where("r = 1").drop("r")
+    """Suppliers as labels of parts, rolled up through nations, some suppliers having two, and regions to two roots."""
+    from citelens.catalog.models import edges
+    from citelens.operators.hierarchy import top_roots
+
+    above = t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("child"), F.concat(F.lit("w"), F.col("r_regionkey") % 2).alias("parent"))
+    labels = t("lineitem").select("l_partkey", F.concat(F.lit("s"), "l_suppkey").alias("node"))
+    return top_roots(labels, edges(t).unionByName(above), "l_partkey", "node")
 
 
 @query("A24_accuracy", "WITH a AS (SELECT l_partkey, list(DISTINCT l_returnflag) AS f, list(DISTINCT l_linestatus) AS s, list(DISTINCT CASE WHEN l_quantity > 40 THEN l_returnflag END) AS g FROM lineitem GROUP BY 1) SELECT round(avg(CASE WHEN len(list_intersect(f, list_filter(g, lambda x: x IS NOT NULL))) > 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM a")
@@ -388,7 +392,7 @@ def _(t):
     return t("documents").groupBy("lang").agg(F.sum(s.cast("long")).alias("n"))
 
 
-# windows -------------------------------------------------------------------------------------------------------------
+# windows
 
 SPLIT = "(SELECT cited, citing, CAST(n AS BIGINT) AS n, before > floor(total * 0.8) OR rn = m AS is_test FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY cited ORDER BY n DESC, citing ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY cited) AS total, row_number() OVER (PARTITION BY cited ORDER BY n DESC, citing) AS rn, count(*) OVER (PARTITION BY cited) AS m FROM (SELECT l_partkey AS cited, l_orderkey AS citing, count(*) AS n FROM lineitem GROUP BY 1, 2)) WHERE m >= 2)"
 
@@ -458,10 +462,10 @@ def _(t):
     return m.select("month", F.round(F.sum("n").over(Window.orderBy("month")) / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
 
 
-@query("W13_rank_curve", "SELECT CAST(rn AS INT) AS rn, n FROM (SELECT CAST(count(*) AS BIGINT) AS n, row_number() OVER (ORDER BY count(*) DESC, l_partkey) AS rn FROM lineitem GROUP BY l_partkey) WHERE rn > 1")
+@query("W13_rank_curve", "SELECT CAST(rn AS BIGINT) AS rn, n FROM (SELECT CAST(count(*) AS BIGINT) AS n, row_number() OVER (ORDER BY count(*) DESC, l_partkey) AS rn FROM lineitem GROUP BY l_partkey) WHERE rn > 1")
 def _(t):
-    n = t("lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
-    return n.select(F.row_number().over(Window.orderBy(F.desc("n"), "l_partkey")).alias("rn"), "n").where("rn > 1")
+    found, _ = R.numbered(t("lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")), F.desc("n"), F.asc("l_partkey"), name="i")
+    return found.select((F.col("i") + 1).alias("rn"), "n").where("rn > 1")
 
 
 @query("W14_neighbours", "SELECT l_orderkey, l_linenumber, lag(l_partkey, 3) OVER w AS before, lead(l_partkey, 3) OVER w AS after FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)")
@@ -475,7 +479,7 @@ def _(t):
     return t("lineitem").groupBy("l_orderkey").agg(F.max_by("l_suppkey", F.col("l_quantity") * 1000000 + F.col("l_suppkey")).alias("cluster"))
 
 
-# sets ----------------------------------------------------------------------------------------------------------------
+# sets
 
 @query("U1_union_contexts", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'")
 def _(t):

@@ -1,10 +1,12 @@
-"""Hierarchies with several parents: ancestors by a bounded number of joins, roots, scores by depth, distances."""
+"""Hierarchies with several parents: ancestors level by level, roots, votes of roots, scores by depth, distances."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citelens.storage import forget, written
+
 
 def parents(edges: DataFrame) -> DataFrame:
     return edges.groupBy("child").agg(F.array_sort(F.collect_set("parent")).alias("parents"))
@@ -14,22 +16,45 @@ def out_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("parent").agg(F.count("*").alias("degree"))
 
 
-def ancestors(edges: DataFrame, most: int = 5) -> DataFrame:
-    """node, ancestor, depth: the least depth at which the ancestor is met; every node is its own ancestor at depth 0."""
+def ancestors(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """node, ancestor, depth: the least depth at which the ancestor is met; every node is its own ancestor at depth 0.
+
+    Up to a depth, where that is the operator's feature; else until a level brings nothing new, each level being written to the
+    shared folder. Only pairs that are new go on, so a cycle ends too."""
     edges = edges.select("child", "parent").distinct()
-    level = edges.select("child").unionByName(edges.select(F.col("parent").alias("child"))).distinct().select(F.col("child").alias("node"), F.col("child").alias("ancestor"))
+    nodes = edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).distinct()
+    level = nodes.select("node", F.col("node").alias("ancestor"))
+    up = lambda pairs: pairs.join(edges, pairs["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor")).distinct()
     every = level.withColumn("depth", F.lit(0))
-    for depth in range(1, most + 1):
-        level = level.join(edges, level["ancestor"] == edges["child"]).select("node", F.col("parent").alias("ancestor")).distinct()
-        every = every.unionByName(level.withColumn("depth", F.lit(depth)))
-    return every.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+    if most is not None:
+        for depth in range(1, most + 1):
+            level = up(level)
+            every = every.unionByName(level.withColumn("depth", F.lit(depth)))
+        return every.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+    depth, every = 0, written(every, "ancestors")
+    level = every.select("node", "ancestor")
+    while True:
+        depth += 1
+        level = written(up(level).join(every, ["node", "ancestor"], "left_anti"), "ancestors-new")
+        if level.isEmpty():
+            return every
+        before, every = every, written(every.unionByName(level.withColumn("depth", F.lit(depth))), "ancestors")
+        forget(before)
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """node, root: the ancestors, at any depth, that have no parent."""
+    inner = edges.select(F.col("child").alias("ancestor")).distinct()
+    return ancestors(edges).join(inner, "ancestor", "left_anti").select("node", F.col("ancestor").alias("root"))
 
 
-def roots(edges: DataFrame, most: int = 5) -> DataFrame:
-    """node, root: the ancestors that have no parent."""
-    up = ancestors(edges, most)
-    inner = edges.select(F.col("child").alias("ancestor")).distinct()
-    return up.join(inner, "ancestor", "left_anti").select("node", F.col("ancestor").alias("root"))
+def top_roots(labelled: DataFrame, edges: DataFrame, key: str, node: str) -> DataFrame:
+    """key, root, n: the roots of each key's nodes, a vote of every row for each of its roots, all that share the most votes. A node without edges is its own root."""
+    up = roots(edges).withColumnRenamed("node", "__node")
+    votes = labelled.groupBy(key, node).agg(F.count("*").alias("__n")).join(up, F.col(node) == F.col("__node"), "left")
+    votes = votes.groupBy(key, F.coalesce("root", node).alias("root")).agg(F.sum("__n").alias("n"))
+    best = votes.groupBy(key).agg(F.max("n").alias("n"))
+    return votes.join(best, [key, "n"]).select(key, "root", "n")
 
 
 def match_score(pairs: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:

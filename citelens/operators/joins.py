@@ -26,6 +26,12 @@ def preceding_join(left: DataFrame, right: DataFrame, keys: list[str], at: str,
     return left.join(r, both).drop(*[f"__{k}" for k in keys])
 
 
+def nearest_before(rows: DataFrame, keys: list[str], at: str, value: str, within) -> DataFrame:
+    """rows with value_before: the value of the nearest row of equal keys that stands before by no more than within, the greatest of several at one place. One pass by a window over ranges of the place."""
+    near = Window.partitionBy(*keys).orderBy(at).rangeBetween(-within, -1)
+    return rows.withColumn(f"{value}_before", F.max(F.struct(at, value)).over(near)[value])
+
+
 def best_candidate(found: DataFrame, keys: list[str], best: list) -> DataFrame:
     """The first row of each key in an order that has no ties left."""
     return found.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where("__rn = 1").drop("__rn")

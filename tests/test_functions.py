@@ -79,6 +79,38 @@ def test_hierarchy(spark):
     assert {tuple(r) for r in hierarchy.distance(pairs, e).collect()} == {("a", "b", 1), ("m", "n", 6)}
 
 
+def test_deep_hierarchy(spark):
+    """A chain of nine levels keeps its root, and a cycle ends."""
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)] + [("x", "y"), ("y", "x"), ("x", "n8")], "child string, parent string")
+    got = {tuple(r) for r in hierarchy.roots(e).collect()}
+    assert got == {(f"n{i}", "n9") for i in range(10)} | {("x", "n9"), ("y", "n9")}
+    assert {r.node: r.depth for r in hierarchy.ancestors(e).where("ancestor = 'n9'").collect()}["n0"] == 9
+    labels = spark.createDataFrame([("k", "n0"), ("k", "alone"), ("k", "x"), ("m", "alone")], "k string, label string")
+    assert {tuple(r) for r in hierarchy.top_roots(labels, e, "k", "label").collect()} == {("k", "n9", 2), ("m", "alone", 1)}
+
+
+def test_numbered(spark):
+    rows = spark.range(1000).selectExpr("id * 7919 % 1000 AS v", "id % 3 AS w").repartition(7)
+    found, n = ranking.numbered(rows, F.col("v"))
+    assert n == 1000 and all(r.number == r.v for r in found.collect())
+    assert ranking.numbered(rows.limit(0), F.col("v"))[0].count() == 0
+
+
+def test_jdbc(spark, tmp_path):
+    """By the embedded database that Spark comes with, where it is there."""
+    import pytest
+
+    url = f"jdbc:derby:{tmp_path}/db"
+    try:
+        spark.range(100).selectExpr("id AS k", "concat('t', id) AS title").write.format("jdbc").option("url", f"{url};create=true").option("dbtable", "papers").option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    except Exception as e:
+        if "ClassNotFound" not in str(e):
+            raise
+        pytest.skip("no database driver")
+    df = files.read_jdbc(spark, url, "papers", "k", 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert df.rdd.getNumPartitions() == 4 and df.count() == 100 and df.where("k < 10").count() == 10
+
+
 def test_context_lines(spark):
     lines = ["c␞x␟y␞d␞text", "c␞␞d␞text␞f1␟f2", 'c␞␞d␞t␞␞[[1]]␞p␟q␝q', "term"]
     rows = contexts.parse_contexts(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
@@ -94,6 +126,8 @@ def test_archives():
     packed = files.archive_of(pd.DataFrame({"member": ["a.tex", "b.pdf"], "text": ["é", "%PDF-"]}))
     assert files.members("x.tar.gz", packed) == [("a.tex", "é".encode())]
     assert files.decoded("é".encode("latin-1")) == "é"
+    assert files.decoded("é→".encode("utf-16")) == "é→" and files.decoded("ab".encode("utf-16-be")) == "ab" and files.decoded(b"") == ""
+    assert files.decoded("é".encode() + b"\x81") == "é\ufffd"
 
 
 def test_resolve(spark):
