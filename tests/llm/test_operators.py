@@ -130,6 +130,45 @@ def test_entropy_spans(spark):
     assert [(s.start, s.end) for s in spans[0]] == [(7, 33)] and spans[1:] == [[], [], []]
 
 
+def test_long_candidate(spark):
+    """A candidate of a million characters, one that is all words and dashes, and a text of many matches take seconds."""
+    import time
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("AaBb01") for _ in range(1_000_000)), "a-" * 300_000 + "1", " ".join(f"{rng.getrandbits(64):016x}" for _ in range(20_000))]
+    began = time.time()
+    got = secrets.scan(documents(spark, texts)).select("doc_id", "secrets.spans").orderBy("doc_id").collect()
+    assert time.time() - began < 25 and [len(r.spans) for r in got][1:] == [0, 20_000]
+    assert [(s.start, s.kind, s.end) for s in got[0].spans] == [x for x in base_spans(texts[0])]
+
+
+def test_entropy_brute(spark):
+    """Spans of both classes against plain Python that counts every window anew."""
+    from math import log2
+
+    rng = random.Random(8)
+    alphabets = ("0123456789ABCDEF", "0123456789abcXYZ+/", "01AB", "abcdefgh", "ABCDEFGHIJKLMNOPqrstuvwxyz0123456789+/=")
+    texts = [" ".join("".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randrange(60))) + rng.choice(["", ".", "=", "_x"]) for _ in range(6)) for _ in range(150)]
+    own = "0-9A-Za-z+/_=-"
+    patterns = ((3, rf"(?<![{own}])[0-9A-F]{{20,}}(?![{own}])", 20, 3.0, "A-F"), (4, rf"(?<![{own}])[{own}]{{24,}}", 24, 3.9, "A-Za-z"))
+    allowed = (r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "example|placeholder|changeme|dummy|sample|redacted", r"0123456789|abcdefghij|(.)\1{7}", "^/?(?:[a-z]+[/_-])+[a-z]*[0-9]{0,4}$")
+    entropy = lambda w: -sum(c / len(w) * log2(c / len(w)) for c in Counter(w).values())
+    found = 0
+    for r in secrets.scan(documents(spark, texts)).select("text", "secrets.base", "secrets.spans").collect():
+        base = [(s.start, s.kind, s.end) for s in r.base]
+        want = list(base)
+        for kind, pattern, n, bits, letters in patterns:
+            for m in re.finditer(pattern, r.text):
+                x = m[0]
+                if not re.search("[0-9]", x) or not re.search(f"[{letters}]", x) or any(re.search(a, x, re.I) for a in allowed):
+                    continue
+                if max(entropy(x[i : i + n]) for i in range(len(x) - n + 1)) >= bits - 1e-9 and not any(b[0] < m.end() and m.start() < b[2] for b in base):
+                    want.append((m.start(), kind, m.end()))
+        assert [(s.start, s.kind, s.end) for s in r.spans] == sorted(want)
+        found += len(want) - len(base)
+    assert found > 30
+
+
 def test_redaction(spark):
     out = secrets.without_secrets(spark, documents(spark, ["a token=abcdefghijklmnop b", None, "clean"]), DATA).orderBy("doc_id").collect()
     assert [r.text for r in out] == ["a [secret] b", None, "clean"]
@@ -263,6 +302,21 @@ def test_decontamination_odd(spark, odd, empty):
     assert decontamination.decontaminate(odd, items.limit(0)).where("size(contamination.items) > 0").count() == 0
 
 
+def test_many_blocks(spark, docs):
+    """The plan of fifty blocks is that of two: one function; results are those of one block."""
+    import time
+
+    items = spark.createDataFrame([(i, f"w{i} " * 10 + "of the same") for i in range(50)] + [(99, "w7 w7 w7 w7 w7 w7 w7 w7 w7 w7")], "item_id long, text string")
+    d = documents(spark, ["x " + "w7 " * 12 + "y", "w3 " * 9, None, "w49 " * 10 + "of"])
+    began = time.time()
+    many = decontamination.decontaminate(d, items, most=13)
+    assert time.time() - began < 8
+    one = decontamination.decontaminate(d, items)
+    rows = [x.select("doc_id", "contamination.*").orderBy("doc_id").collect() for x in (many, one)]
+    assert rows[0] == rows[1] and [r["items"] for r in rows[0]] == [["7", "99"], [], [], ["49"]]
+    assert many._jdf.queryExecution().toString().count("scanned(") == one._jdf.queryExecution().toString().count("scanned(")
+
+
 # tokens --------------------------------------------------------------------------------------------------------------
 
 def test_token_counts(docs):
@@ -309,6 +363,20 @@ def test_warc_round_trip(spark):
     assert warc.write_archives(pages.limit(0), shared.new_folder(spark, "warc-none")).count() == 0
 
 
+def test_warc_parts(spark, monkeypatch):
+    """Archives are read by as many tasks as their bytes need, however small their index is; a payload of five million bytes is whole."""
+    rng = random.Random(6)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", rng.randbytes(2000).hex()) for i in range(60)] + [(60, "http://h/long", "é" * 2_500_000)], "page_id long, url string, html string").coalesce(1)
+    folder = shared.new_folder(spark, "warc-parts")
+    index = warc.write_archives(pages, folder)
+    monkeypatch.setattr(warc, "READ", 10_000)
+    monkeypatch.setattr(warc, "TASK_BYTES", 10_000)
+    back = warc.read_records(index, folder)
+    assert back.rdd.getNumPartitions() > 4
+    got = {r.id: r.payload_bytes for r in back.collect()}
+    assert got == {str(i): 4000 for i in range(60)} | {"60": 5_000_000}
+
+
 # mixing --------------------------------------------------------------------------------------------------------------
 
 def brute_targets(sizes):
@@ -439,6 +507,51 @@ def test_language_left_out(spark, out):
         assert sum(model.predict("".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)))[2] for _ in range(50)) >= 48
 
 
+def plain_grams(text):
+    """Counts of a text's hashed 1- to 3-grams in plain Python."""
+    letters = [c.lower() if len(c.lower()) == 1 else c for c in text if True]
+    kept, last = [" "], True
+    for c in letters:
+        if c.isalpha():
+            kept.append(c)
+            last = False
+        elif not last:
+            kept.append(" ")
+            last = True
+    # One space where letters end; the end of the text adds its own.
+    kept.append(" ")
+    word = lambda x: x & 0xFFFFFFFF
+    k = 0x9E3779B1
+    one = [word(ord(c) * k) for c in kept]
+    two = [word((one[i] ^ word(ord(kept[i + 1]) * 0x85EBCA6B)) * k) for i in range(len(kept) - 1)]
+    three = [word((two[i] ^ word(ord(kept[i + 2]) * 0xC2B2AE35)) * k) for i in range(len(kept) - 2)]
+    return Counter(h >> 17 for h in one[1:-1] + two + three)
+
+
+def test_language_brute(docs):
+    """TF-IDF, unit vectors and the nearest centroid by cosine, against plain Python over the model's own numbers."""
+    from math import log, sqrt
+
+    rows = docs.where("lang is not null").limit(80).collect()
+    model = language_id.fit([r.text for r in rows], [r.lang for r in rows], k=2)
+    assert model.idf.min() >= 1 and all(abs(sum(x * x for x in c.tolist()) - 1) < 1e-3 for c in model.centroids)
+    for r in rows[:12]:
+        text = r.text[:400]
+        v = {g: log(1 + n) * float(model.idf[g]) for g, n in plain_grams(text).items()}
+        length = sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[g]) for g, x in v.items()) / length for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda i: cosines[i])
+        lang, score, _ = model.predict(text)
+        assert abs(score - cosines[best]) < 1e-4 and lang == model.languages[model.of[best]]
+
+
+def test_language_null_ids(spark, docs):
+    """Rows without an id do not come to the driver together: three times the sample at most, about."""
+    many = docs.where("lang is not null").select(F.lit(None).cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+    many = many.crossJoin(spark.range(20)).withColumn("text", F.concat("text", F.col("id").cast("string"))).drop("id")
+    assert len(language_id.learn(many, per_language=5).languages) >= 3
+
+
 def test_language_odd(odd, empty):
     model = language_id.fit(["the cat sat", "le chat est là", None, "42"], ["en", "fr", "en", "xx"])
     rows = language_id.language_of(odd, model).select("text", "language_id.*").collect()

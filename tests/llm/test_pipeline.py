@@ -5,6 +5,9 @@ from collections import Counter
 from conftest import DATA
 from test_operators import base_spans, brute_groups
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from citelens.llm import decontamination, language_id
 
@@ -41,3 +44,26 @@ def test_stages(spark):
             total = sum(len(r.text.split()) for r in after)
             assert abs(total - 1.5 * sum(words.values())) < 0.05 * sum(words.values())
         at = spark.createDataFrame(after, out.schema)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, name, stage):
+    """Nulls in any column, empty texts, repeated rows, columns with the operators' own names, and an empty table."""
+    long = " ".join(f"word{i % 97} und" for i in range(30_000))
+    rows = [(1, None, "en", "s", 1), (2, "", None, None, None), (3, long, "en", None, 3), (4, "a token=abcdefghijklmnop here", "en", "s", 0), (4, "a token=abcdefghijklmnop here", "en", "s", 0), (None, "no id at all in this row", "de", "t", None), (5, "no id at all in this row", None, "t", 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ("secrets", "contamination", "language_id", "text_key", "gone", "maybe", "own_key", "rank", "cell", "p", "size", "copies", "row", "n_shingles", "component_id", "m_id", "__text", "__id")
+    d = d.withColumns({c: F.lit("clash") for c in clash})
+    out = stage(spark, d, DATA)
+    got = out.collect()
+    last = name == corpus_pipeline.STAGES[-1][0]
+    assert [c for c in out.columns if c != "copy"] == d.columns and ("copy" in out.columns) == last
+    assert all(r["gone"] == r["rank"] == "clash" for r in got)
+    ids = Counter(r.doc_id for r in got)
+    if name == "near duplicates":
+        assert ids == Counter([1, 2, 3, 4, 5])
+    elif name in ("decontamination", "secret scan"):
+        assert ids == Counter(r[0] for r in rows)
+    if name == "secret scan":
+        assert {r.text for r in got if r.doc_id == 4} == {"a [secret] here"} and {r.text for r in got if r.doc_id == 1} == {None}
+    assert stage(spark, d.limit(0), DATA).count() == 0
