@@ -108,6 +108,21 @@ def _(t):
     return top(Slice(t).bow())
 
 
+@query("R1b_documents", """WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2), nd AS (SELECT count(DISTINCT doc_id) AS n FROM tf), r AS (SELECT doc_id, term, tf * ln(CAST(n AS DOUBLE) / df) AS w FROM tf JOIN df USING (term), nd),
+v AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM r WHERE w > 0), s AS (SELECT a.doc_id AS q, b.doc_id AS cand, round(sum(a.w * b.w), 9) AS score FROM v a JOIN v b USING (term) WHERE a.doc_id % 100 = 0 GROUP BY 1, 2)
+SELECT q, cand, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, cand) AS rank FROM s WHERE score > 0) WHERE rank <= 10""")
+def _(t):
+    """Every document as a candidate: the ten nearest of each document whose id is divisible by 100."""
+    d = t("documents").select("doc_id", F.explode(letter_words(F.col("text"))).alias("term"))
+    tf = written(d.groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "term-counts")
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).where("df >= 2")
+    n = tf.select("doc_id").distinct().agg(F.count("*").alias("n"))
+    v = written(V.tfidf(tf.withColumnRenamed("doc_id", "cand"), "cand", df, n).where("w > 0"), "vectors")
+    found = V.nearest(v.where("cand % 100 = 0").withColumnRenamed("cand", "q"), v, 10)
+    return found.select("q", "cand", F.round("score", 6).alias("score"), "rank")
+
+
 @query("R2_bm25", BASE + ", dl AS (SELECT cand, sum(tf) AS dl FROM ctf GROUP BY 1), av AS (SELECT avg(dl) AS avgdl FROM dl), bm AS (SELECT q, cand, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM (SELECT DISTINCT q, term FROM qtf) JOIN ctf USING (term) JOIN dl USING (cand) JOIN df USING (term), av, nd GROUP BY 1, 2) " + TOP.format("bm"))
 def _(t):
     s = Slice(t)

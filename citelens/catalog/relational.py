@@ -95,7 +95,8 @@ def _(t):
 def _(t):
     a = t("events").select("user_id", F.col("event_id").alias("a"), F.expr("ts - INTERVAL 1 HOUR").alias("lo"), F.expr("ts + INTERVAL 1 HOUR").alias("hi"))
     b = t("events").select("user_id", F.col("event_id").alias("b"), F.col("ts").alias("start"), F.col("ts").alias("end"))
-    return J.overlap_join(a, b, ["user_id"], ("lo", "hi"), ("start", "end")).where("a < b").select("a", "b")
+    hour = lambda x: F.floor(F.unix_micros(x.cast("timestamp")) / 3_600_000_000)
+    return J.overlap_join(a, b, ["user_id"], ("lo", "hi"), ("start", "end"), cell=hour).where("a < b").select("a", "b")
 
 
 @query("J12_nearest_before", "SELECT l_orderkey, l_linenumber, arg_max(s, row(place, s)) AS l_suppkey FROM (SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS place, b.l_suppkey AS s FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber < a.l_linenumber AND a.l_linenumber - b.l_linenumber <= 3) GROUP BY 1, 2")

@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], window: tuple[str, str], span: tuple[str, str]) -> DataFrame:
-    """Pairs with equal keys whose span meets the window, ends included. The keys make it an equi join; the range is tested inside."""
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], window: tuple[str, str], span: tuple[str, str], cell=None) -> DataFrame:
+    """Pairs with equal keys whose span meets the window, ends included.
+
+    The keys make it an equi join, the range is tested inside. Where a key may have very many rows, cell gives the whole number of the cell that
+    a bound falls in: both sides are then dealt out to the cells that they reach into, so that only rows of one cell meet, each pair in the first cell that both have."""
     r = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    equal = [F.col(k) == F.col(f"__{k}") for k in keys]
-    meets = (F.col(span[0]) <= F.col(window[1])) & (F.col(span[1]) >= F.col(window[0]))
-    both = equal[0]
-    for e in equal[1:]:
-        both = both & e
-    return left.join(r, both & meets).drop(*[f"__{k}" for k in keys])
+    both = (F.col(span[0]) <= F.col(window[1])) & (F.col(span[1]) >= F.col(window[0]))
+    for k in keys:
+        both = both & (F.col(k) == F.col(f"__{k}"))
+    helpers = [f"__{k}" for k in keys]
+    if cell is not None:
+        cells = lambda df, ends, at, first: df.withColumn(first, cell(F.col(ends[0]))).withColumn(at, F.explode(F.sequence(F.col(first), cell(F.col(ends[1])))))
+        left, r = cells(left, window, "__lc", "__lf"), cells(r, span, "__rc", "__rf")
+        both = both & (F.col("__lc") == F.col("__rc")) & (F.col("__lc") == F.greatest("__lf", "__rf"))
+        helpers += ["__lc", "__lf", "__rc", "__rf"]
+    return left.join(r, both).drop(*helpers)
 
 
 def preceding_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, end: str, within) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -97,3 +97,68 @@ def applicable(scores: DataFrame) -> DataFrame:
     return scores.join(good, "q", "left_semi")
 
 
+#: Queries of a block, and of a block's term weights; candidates that a task scores at a time.
+BLOCK_QUERIES, BLOCK_WEIGHTS, CHUNK = 512, 400_000, 256
+
+
+def query_blocks(queries: DataFrame):
+    """Blocks of queries (q, term, w) as Python rows, in order of q: bounded by their number and by their terms."""
+    block, names, size = [], set(), 0
+    per = queries.groupBy("q").agg(F.collect_list(F.struct("term", "w")).alias("t")).orderBy("q")
+    for r in per.toLocalIterator():
+        if block and (len(names) >= BLOCK_QUERIES or size + len(r.t) > BLOCK_WEIGHTS):
+            yield block
+            block, names, size = [], set(), 0
+        names.add(r.q)
+        size += len(r.t)
+        block.append((r.q, [(x.term, x.w) for x in r.t]))
+    if block:
+        yield block
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
+    """q, cand, score, rank: the most candidates (cand, term, w) by the product with each query (q, term, w), a stated set; exact, without products of 0.
+
+    Queries go in blocks of bounded size against all candidates. A block is broadcast; its vocabulary bounds a task's matrix. Tasks multiply their
+    candidates, some at a time, with the block and pass on the best of each query only, so neither products nor pairs are shuffled."""
+    import numpy as np
+    import pandas as pd
+
+    spark = candidates.sparkSession
+    schema = f"q {queries.schema['q'].dataType.simpleString()}, cand {candidates.schema['cand'].dataType.simpleString()}, score double"
+    out = None
+    for block in query_blocks(queries):
+        terms = {t: i for i, t in enumerate(sorted({t for _, own in block for t, _ in own}))}
+        weights = np.zeros((len(terms), len(block)))
+        for j, (_, own) in enumerate(block):
+            for t, w in own:
+                weights[terms[t], j] += w
+        held = spark.sparkContext.broadcast(([q for q, _ in block], terms, weights))
+
+        def scored(batches, held=held):
+            names, terms, weights = held.value
+            for batch in batches:
+                for at in range(0, len(batch), CHUNK):
+                    part = batch.iloc[at : at + CHUNK]
+                    m = np.zeros((len(part), len(terms)))
+                    for i, (own, w) in enumerate(zip(part["terms"], part["weights"])):
+                        for t, x in zip(own, w):
+                            if (k := terms.get(t)) is not None:
+                                m[i, k] = x
+                    product = np.round(m @ weights, 9)
+                    ids = part["cand"].to_numpy()
+                    rows = []
+                    for j in range(len(names)):
+                        own = np.flatnonzero(product[:, j] > 0)
+                        best = sorted(own.tolist(), key=lambda i: (-product[i, j], ids[i]))[:most]
+                        rows += [(names[j], ids[i], product[i, j]) for i in best]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["q", "cand", "score"])
+
+        per = candidates.groupBy("cand").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights"))
+        now = per.mapInPandas(scored, schema)
+        out = now if out is None else out.unionByName(now)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    best = out.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cand")))
+    return best.where(F.col("rank") <= most)
