@@ -12,8 +12,8 @@ where pivots cannot tell them apart, so the space is first cut where nothing lin
    the radius: d(x, q) <= d(x, own pivot) + 2 r, and d(x, q) <= r + the radius of q's region. Documents at distance 1 from
    every pivot are one region more, which documents at 1 - r or more from their own pivot are copied to. Regions are cut
    again by pivots of their own until they are small, in Spark while they are larger than a task, then inside the task.
-3. A region that does not shrink is a ball around its pivot: its documents within the radius are linked already, so only
-   the others are held against all, in blocks.
+3. Documents that link with a pivot, and with pivots that such links connect, are known to be of one component. Where they are
+   half of a region, and in regions that do not shrink, only the others are held against all, in blocks.
 4. Leaves test pairs exactly, on words, leaving out pairs that are in one component already. Links give components.
 """
 
@@ -22,11 +22,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citelens.llm.shared import bounded, components, forget, table, unused, written
+from citelens.llm.shared import bounded, components, filter_of, forget, table, unused, written
 
 WORDS = 5
 RADIUS = 0.2
@@ -38,14 +39,14 @@ HOT_SHARE, HOT_LEAST, HOT_MOST = 2000, 32, 1 << 18
 COUNTED = 1 << 22
 #: A task forgets which sets it has met after so many, and then deals out the cells of one of them again.
 SEEN = 1 << 18
-#: Shingles that one task joins; documents whose texts are fetched by a broadcast filter, above which they are joined.
+#: Shingles that one task joins; documents whose texts are fetched by a broadcast join, above which a filter comes before the join.
 BLOCK, BROADCAST = 2_000_000, 500_000
 #: Members of a cell of which the sketches are held against each other; a larger one is connected without.
 WHOLE_CELL = 4096
 #: Pivots of a region in Spark and in a task, and documents that are tested without pivots.
 PIVOTS, TASK_PIVOTS, LEAF = 16, 8, 64
-#: A region that keeps more than this share of the one it was cut from is a ball.
-SHRINKS, DEEPEST = 0.8, 12
+#: A region that keeps more than this share of the one it was cut from does not shrink; one of which this share is of one component by its pivots is a ball.
+SHRINKS, BALL, DEEPEST = 0.8, 0.5, 12
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -499,10 +500,12 @@ def region_links(batches):
 
 def with_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     """members (with digest, rep) and the text of a document of that id; of several with one id the reader picks by digest."""
-    ids = members.withColumnRenamed("rep", "__rep")
+    ids, docs = members.withColumnRenamed("rep", "__rep"), docs.select("doc_id", "text")
     if members.count() <= BROADCAST:
         ids = F.broadcast(ids)
-    return docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__rep"))).where("text is not null").drop("doc_id", "__rep")
+    else:
+        docs = docs.where(filter_of(ids.select(F.xxhash64("__rep")))(F.xxhash64("doc_id")))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__rep"))).where("text is not null").drop("doc_id", "__rep")
 
 
 def leaf_links(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -511,6 +514,17 @@ def leaf_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     return texts.repartition("region").sortWithinPartitions("region").mapInArrow(region_links, "a binary, b binary")
 
 
+def main_component(masks: list[tuple[int, int]]) -> int:
+    """Of (pivots that a document links with, as bits; shingles): the pivots of the heaviest component that such documents connect."""
+    parts: list[int] = []
+    for mask in {m for m, _ in masks if m}:
+        for part in [p for p in parts if p & mask]:
+            parts.remove(part)
+            mask |= part
+        parts.append(mask)
+    return max(parts, key=lambda p: (sum(n for m, n in masks if m & p), -p), default=0)
+
+
 def measured(batches):
     """Of sorted (region, salt, kind, digest, text, n), pivots being of kind 0: each document's distances to the region's pivots, and which of them it links with."""
     at, pivots = None, {}
@@ -536,14 +550,16 @@ def measured(batches):
             for r, s in zip(members, sets[len(order) :]):
                 both = np.array([len(np.intersect1d(s, p, assume_unique=True)) for p in sets[: len(order)]])
                 size = np.array([len(p) for p in sets[: len(order)]])
-                out.append((r["region"], r["digest"], r["rep"], len(s), (1 - both / (size + len(s) - both)).tolist(), [order[k] for k in np.flatnonzero(linked(both, size, len(s)))]))
-            names = ["region", "digest", "rep", "n", "far", "links"]
-            kinds = [pa.int64(), pa.binary(), batch.schema.field("rep").type, pa.int64(), pa.list_(pa.float64()), pa.list_(pa.binary())]
+                own = np.flatnonzero(linked(both, size, len(s))).tolist()
+                out.append((r["region"], r["digest"], r["rep"], len(s), (1 - both / (size + len(s) - both)).tolist(), [order[k] for k in own], sum(1 << k for k in own)))
+            names = ["region", "digest", "rep", "n", "far", "links", "mask"]
+            kinds = [pa.int64(), pa.binary(), batch.schema.field("rep").type, pa.int64(), pa.list_(pa.float64()), pa.list_(pa.binary()), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
 def cut_by_pivots(docs: DataFrame, members: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """One round for large regions (region, digest, rep, n, size): links with pivots, and the regions that come of it with core and their size before."""
+    """One round for large regions (region, digest, rep, n, size): links with pivots, and the regions that come of it, with core (known to be of one
+    component there) and the size of the region before. A ball comes out as it is, with its core."""
     kind = members.schema["rep"].dataType.simpleString()
     salts = F.ceil(F.col("size") / BLOCK).cast("int")
     first = Window.partitionBy("region").orderBy(F.xxhash64("digest", F.lit(depth)), "digest")
@@ -552,9 +568,21 @@ def cut_by_pivots(docs: DataFrame, members: DataFrame, depth: int) -> tuple[Data
     every = members.select("region", F.pmod(F.xxhash64("digest"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "digest", "rep")
     texts = with_texts(docs, pivots.unionByName(every).withColumn("id", F.col("rep")))
     routed = texts.select("region", "salt", "kind", "digest", F.col("id").alias("rep"), "text").repartition("region", "salt").sortWithinPartitions("region", "salt", "kind")
-    far = written(routed.mapInArrow(measured, f"region long, digest binary, rep {kind}, n long, far array<double>, links array<binary>"), "join-distances")
+    far = written(routed.mapInArrow(measured, f"region long, digest binary, rep {kind}, n long, far array<double>, links array<binary>, mask long"), "join-distances")
+
+    @F.pandas_udf("long")
+    def main(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: main_component([(e["mask"], e["n"]) for e in x]))
+
+    weights = far.groupBy("region", "mask").agg(F.sum("n").alias("n")).groupBy("region").agg(F.collect_list(F.struct("mask", "n")).alias("masks"), F.sum("n").alias("before"))
+    weights = weights.select("region", "before", "masks", main("masks").alias("main"))
+    held_by = F.aggregate(F.filter("masks", lambda x: x["mask"].bitwiseAND(F.col("main")) != 0), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    regions = written(weights.select("region", "before", "main", (held_by >= BALL * F.col("before")).alias("ball")), "join-balls")
     near = F.array_min("far")
     placed = far.withColumn("near", near).withColumn("home", F.when(near < 1, F.array_position("far", near).cast("int") - 1).otherwise(-1))
+    placed = placed.join(regions, "region")
+    balls = placed.where("ball").select(F.xxhash64("region", F.lit("ball"), F.lit(depth)).alias("region"), "digest", "rep", "n", (F.col("mask").bitwiseAND(F.col("main")) != 0).alias("core"), "before")
+    placed = placed.where("not ball")
     radii = placed.groupBy("region", "home").agg(F.max("near").alias("r")).groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("home", "r"))).alias("radii"))
     held = placed.join(radii, "region")
 
@@ -567,9 +595,8 @@ def cut_by_pivots(docs: DataFrame, members: DataFrame, depth: int) -> tuple[Data
     outer = F.try_element_at("radii", F.lit(-1)).isNotNull() & ((F.col("home") == -1) | (F.col("near") >= 1 - RADIUS - 1e-9))
     cells = F.concat(inner, F.when(outer, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")))
     core = F.coalesce(F.when(F.col("q") >= 0, F.element_at("far", F.greatest(F.col("q"), F.lit(0)) + 1) <= RADIUS - 1e-9), F.lit(False))
-    new = held.select("region", "digest", "rep", "n", "far", F.explode(cells).alias("q")).select(F.xxhash64("region", "q", F.lit(depth)).alias("region"), F.col("region").alias("from"), "digest", "rep", "n", core.alias("core"))
-    before = members.groupBy(F.col("region").alias("from")).agg(F.sum("n").alias("before"))
-    new = written(new.join(before, "from").drop("from"), "join-regions")
+    new = held.select("region", "digest", "rep", "n", "far", "before", F.explode(cells).alias("q")).select(F.xxhash64("region", "q", F.lit(depth)).alias("region"), "digest", "rep", "n", core.alias("core"), "before")
+    new = written(new.unionByName(balls), "join-regions")
     links = written(far.select(F.col("digest").alias("a"), F.explode("links").alias("b")).where("a <> b"), "join-pivot-links")
     forget(far)
     return links, new
@@ -644,16 +671,19 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Stage: of each group the document with the least id stays, once; documents without shingles stay.
 
     Rows with equal id and text are one document, of which one row stays; a group whose ids are all null keeps one row of
-    each text. Only the rows that go, and those that occur twice, are looked up; nulls, empty texts and empty tables pass."""
+    each text. Only rows that a filter of those that go, and of those that occur twice, lets through are dealt out and
+    looked up; all others stay where they are. Nulls, empty texts and empty tables pass."""
     found = jaccard_groups(docs).where("n_shingles > 0")
     keys = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("times"), F.first("component_id").alias("component_id"))
     gone = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    i, k, g, h = unused(docs, "gone_id", "gone_key", "gone", "own_key")
+    i, k, g, h, m = unused(docs, "gone_id", "gone_key", "gone", "own_key", "maybe")
     marked = written(keys.where(gone | (F.col("times") > 1)).select(F.col("doc_id").alias(i), F.col("text_key").alias(k), gone.alias(g)), "join-gone")
+    name = lambda a, b: F.xxhash64(a, b)
+    among = filter_of(marked.select(name(i, k)))
     each = docs.withColumn(h, F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(k))
-    kept = each.join(marked, same, "left_anti")
-    twice = marked.where(~F.col(g))
-    if not twice.isEmpty():
-        kept = kept.unionByName(each.join(twice, same, "left_semi").dropDuplicates(["doc_id", h]))
-    return kept.select(*docs.columns)
+    each = each.withColumn(m, among(name("doc_id", h)))
+    both = each.where(m).join(marked, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(k)), "left")
+    kept = each.where(~F.col(m)).select(*docs.columns).unionByName(both.where(F.col(g).isNull()).select(*docs.columns))
+    if not marked.where(~F.col(g)).isEmpty():
+        kept = kept.unionByName(both.where(~F.col(g)).dropDuplicates(["doc_id", h]).select(*docs.columns))
+    return kept

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,37 @@ def bounded(batches, rows: int = 500):
             yield batch.slice(at, rows)
 
 
+#: Bits of a filter for each key, and at most: beyond, more rows pass it than need to.
+BITS, MOST_BITS = 12, 1 << 28
+
+
+def filter_of(hashes: DataFrame):
+    """A test for a column of 64-bit hashes: false where it is certainly not among hashes (one column), true where it may be.
+
+    A Bloom filter with three bits a key, built in the cluster; the driver gets and broadcasts its bits, 32 MB at most."""
+    spark = hashes.sparkSession
+    size = 1 << 16
+    count = hashes.count()
+    while size < min(MOST_BITS, BITS * count):
+        size *= 2
+    spots = lambda h: [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(size)) for i in range(3)]
+    place = hashes.select(F.explode(F.array(*spots(F.col(hashes.columns[0])))).alias("at")).select((F.col("at") + 1).alias("at"))
+    maps = place.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    filled = np.zeros(size // 8, dtype=np.uint8)
+    for row in maps.toLocalIterator():
+        own = np.frombuffer(row.bits, dtype=np.uint8)
+        at = (row.bucket - 1) * len(own)
+        filled[at : at + len(own)] |= own[: len(filled) - at]
+    held = spark.sparkContext.broadcast(filled)
+
+    @F.pandas_udf("boolean")
+    def met(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        hit = [(held.value[x.to_numpy() >> 3] >> (x.to_numpy() & 7).astype(np.uint8)) & 1 for x in (a, b, c)]
+        return pd.Series((hit[0] & hit[1] & hit[2]).astype(bool))
+
+    return lambda h: met(*spots(h))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components", most: int = 60) -> DataFrame:
     """Columns node, root of every node that has an edge; root is the least node of its component.
 
