@@ -10,7 +10,7 @@ from citelens.llm.shared import table, written
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_COPIES = 1.5, 2.0
 #: Ranks are cut at the target in two steps: a sum for each of so many cells of a source, then the order within the one cell where the target falls.
-CELLS = 1 << 14
+CELLS, STEP = 1 << 14, 1 << 7
 #: Rows up to which a table of sources and size classes is broadcast.
 SOURCES = 200_000
 OWN = ("text_key", "size", "source_size", "target", "copies", "taken", "certain", "p", "rank", "cell", "size_class", "cut_cell", "before", "rest", "extra", "upto", "g_source", "g_class", "c_source")
@@ -78,10 +78,12 @@ def drawn(rows: DataFrame) -> DataFrame:
     return ranked.withColumn("cell", F.floor(F.col("rank") / (1 + F.col("rank")) * CELLS))
 
 
-def small(df: DataFrame, name: str) -> DataFrame:
-    """A table of a row for each source or source and class, written, and broadcast where it has no more than SOURCES rows."""
-    df = written(df, name)
-    return F.broadcast(df) if df.count() <= SOURCES else df
+def first_reaching(ranges: DataFrame, at: str, start: Column) -> DataFrame:
+    """source, cut, before, rest: of each source's ranges (source, at, words, rest) in order the first whose words, added to start and to those before, reach the rest."""
+    up = Window.partitionBy("source").orderBy(at)
+    ranges = ranges.withColumn("upto", start + F.sum("words").over(up))
+    found = ranges.where(F.col("upto") >= F.col("rest")).groupBy("source").agg(F.min(F.struct(F.col(at).alias("cut"), (F.col("upto") - F.col("words")).alias("before"), "rest")).alias("x"))
+    return found.select("source", "x.*")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, sized: bool = False) -> DataFrame:
@@ -103,22 +105,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         d, names = first, ["doc_id", "source"]
     classes = first.groupBy("source", class_of(F.col("size")).alias("size_class")).agg(F.sum("size").alias("words"))
     classes = written(classes, "mix-classes")
+    # Tables of a row for each source, or source and class, have no more rows than this one.
+    few = F.broadcast if classes.count() <= SOURCES else lambda df: df
     goals = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     same = lambda a, b: a["source"].eqNullSafe(b["g_source"])
-    goals = written(goals.withColumnRenamed("source", "g_source"), "mix-targets")
+    goals = goals.withColumnRenamed("source", "g_source")
     due = odds_of(classes.join(goals, same(classes, goals)).select("source", "size_class", "words", "target"), most)
     due = due.withColumn("certain", F.floor(F.col("due") + F.lit(1e-9)).cast("long")).withColumn("p", F.greatest(F.col("due") - F.col("certain"), F.lit(0.0)))
     due = due.withColumn("p", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p")))
     due = due.join(goals, same(due, goals)).select(F.col("source").alias("g_source"), F.col("size_class").alias("g_class"), "source_size", "target", "certain", "p")
-    due = small(due, "mix-odds")
+    due = few(due)
     known = lambda rows: drawn(rows.join(due, rows["source"].eqNullSafe(due["g_source"]) & (class_of(rows["size"]) == due["g_class"]), "left").drop("g_source", "g_class"))
-    cells = known(first).groupBy("source", "cell").agg(F.sum("size").alias("cell_size"), F.sum(F.col("certain") * F.col("size")).alias("sure"), F.first("target").alias("target"))
-    sure = F.sum("sure").over(Window.partitionBy("source"))
-    up = Window.partitionBy("source").orderBy("cell")
-    cells = written(cells.withColumn("rest", F.greatest(F.col("target") - sure, F.lit(0.0))).where("cell is not null").withColumn("before", F.sum("cell_size").over(up) - F.col("cell_size")), "mix-cells")
-    # One row a source: the first range that reaches the rest; where none does, all are taken.
-    cut = cells.where(F.col("before") + F.col("cell_size") >= F.col("rest")).groupBy("source").agg(F.min(F.struct("cell", "before", "rest")).alias("cut"))
-    cut = small(cut.select(F.col("source").alias("c_source"), "cut.*").withColumnRenamed("cell", "cut_cell"), "mix-cuts")
+    cells = written(known(first).groupBy("source", "cell").agg(F.sum("size").alias("words"), F.sum(F.col("certain") * F.col("size")).alias("sure"), F.first("target").alias("target")), "mix-cells")
+    rests = cells.groupBy("source").agg(F.greatest(F.max("target") - F.sum("sure"), F.lit(0.0)).alias("rest"))
+    # One row a source: the first range that reaches the rest, found among STEP coarse ranges and then among the STEP fine ones in it, so that no
+    # window has more rows. Where none does, all are taken.
+    fine = cells.where("cell is not null").withColumn("coarse", F.floor(F.col("cell") / STEP))
+    coarse = fine.groupBy("source", "coarse").agg(F.sum("words").alias("words"))
+    coarse = first_reaching(coarse.join(rests.withColumnRenamed("source", "r_source"), F.col("source").eqNullSafe(F.col("r_source"))).drop("r_source"), "coarse", F.lit(0))
+    inner = fine.join(few(coarse.withColumnRenamed("source", "c_source")), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("coarse") == F.col("cut"))).select("source", "cell", "words", "rest", "before")
+    cut = few(first_reaching(inner, "cell", F.col("before")).withColumnRenamed("source", "c_source").withColumnRenamed("cut", "cut_cell"))
     ranked = known(d).join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left")
     at = F.coalesce(F.col("cell") == F.col("cut_cell"), F.lit(False))
     inside = Window.partitionBy("source", "cell").orderBy("rank", "size", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
