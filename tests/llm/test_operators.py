@@ -616,6 +616,34 @@ def test_ngram_join(spark, seed, monkeypatch):
     assert Counter(map(tuple, got)) == brute_groups(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("seed, ball", [(3, 0.5), (4, 2.0), (5, 0.5)])
+def test_ngram_join_large_regions(spark, seed, ball, monkeypatch):
+    """Neighbourhoods of many tasks: cut by pivots in Spark, as balls, and with BALL above 1 by Voronoi regions only."""
+    rng = random.Random(seed)
+    calls = Counter()
+    for name in ("cut_by_pivots", "block_members"):
+        own = getattr(ngram_join, name)
+        monkeypatch.setattr(ngram_join, name, lambda *a, own=own, name=name: (calls.update([name]), own(*a))[1])
+    for name, value in (("HOT_LEAST", 8), ("BLOCK", 1500), ("PIVOTS", 5), ("BALL", ball), ("BROADCAST", 5), ("LEAF", 6)):
+        monkeypatch.setattr(ngram_join, name, value)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randrange(900))
+    # A chain: each text differs a little from the one before, so that it spans many radii; around it a dense ball.
+    at, texts = [word() for _ in range(60)], []
+    for _ in range(70):
+        at = list(at)
+        at[rng.randrange(len(at))] = word()
+        texts.append(" ".join(at))
+    texts += near_copies(rng)
+    got = ngram_join.jaccard_groups(documents(spark, texts)).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == brute_groups(list(enumerate(texts)))
+    assert calls["cut_by_pivots"] > 0 and calls["block_members"] > 0
+
+
+def test_main_component():
+    assert ngram_join.main_component([(0b0011, 5), (0b0100, 9), (0b0110, 1), (0b1000, 14), (0, 99)]) == 0b0111
+    assert ngram_join.main_component([(0, 3)]) == 0 and ngram_join.main_component([]) == 0
+
+
 def test_join_region_without_dense_rows():
     """A region whose matrix would be too large is joined by posting lists, with the same result."""
     import numpy as np
