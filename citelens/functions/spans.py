@@ -44,6 +44,18 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def sentence_window(text: str, at: int, count: int) -> tuple[int, int]:
+    """Characters to pass backwards and forwards from a place to take in the sentence that it is in and (count - 1) / 2 on either side; all there are where
+    there are fewer. A place between sentences counts for the next one, one behind the last for the last."""
+    spans, each = sentences(text), (count - 1) // 2
+    if not spans:
+        return at, len(text) - at
+    own = next((i for i, (_, end) in enumerate(spans) if at < end), len(spans) - 1)
+    before = at - spans[own - each][0] if own >= each else at
+    after = spans[own + each][1] - at if own + each < len(spans) else len(text) - at
+    return max(before, 0), max(after, 0)
+
+
 def word_window(text: Column, words: int, backwards: bool) -> Column:
     @F.pandas_udf("long")
     def length(texts: pd.Series) -> pd.Series:
@@ -58,3 +70,13 @@ def sentence_spans(text: Column) -> Column:
         return pd.Series([None if t is None else [{"start": a, "end": b} for a, b in sentences(t)] for t in texts])
 
     return found(text)
+
+
+def sentence_distance(text: Column, at: Column, count: int) -> Column:
+    """Struct of before and after: the characters of a window of so many sentences around a place."""
+    @F.pandas_udf("before long, after long")
+    def found(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        rows = [(None, None) if t is None or pd.isna(p) else sentence_window(t, int(p), count) for t, p in zip(texts, places)]
+        return pd.DataFrame(rows, columns=["before", "after"]).astype("Int64")
+
+    return found(text, at)

@@ -49,6 +49,16 @@ def test_sentences():
     assert [text[a:b] for a, b in spans.sentences(text)] == ["As in fig. 3 we see, cf. Smith et al. this.", "Next one!", "Last"]
 
 
+def test_sentence_window():
+    text = "One is here. Two is cf. this. Three! Four ends"
+    at = text.index("this")
+    assert spans.sentence_window(text, at, 1) == (at - 13, 5)
+    assert spans.sentence_window(text, at, 3) == (at, text.index(" Four") - at)
+    assert spans.sentence_window(text, at, 5) == (at, len(text) - at)
+    assert spans.sentence_window(text, 0, 1) == (0, 12) and spans.sentence_window("", 0, 3) == (0, 0)
+    assert spans.sentence_window(text, len(text), 1) == (9, 0)
+
+
 def test_metric_example(spark):
     """Truth a, also b to e, list - b - - a - - - c - d e: found at places 2, 5 and 9 of the first ten."""
     listed = [(1, c, i) for i, c in enumerate("-b--a---c-de", 1) if c != "-"]
