@@ -687,3 +687,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if not marked.where(~F.col(g)).isEmpty():
         kept = kept.unionByName(both.where(~F.col(g)).dropDuplicates(["doc_id", h]).select(*docs.columns))
     return kept
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM w),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+e AS (SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.s = b.s AND a.r < b.r JOIN n x ON x.r = a.r JOIN n y ON y.r = b.r GROUP BY a.r, b.r, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+ab AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM ab UNION SELECT reach.a, ab.b FROM reach JOIN ab ON reach.b = ab.a),
+low AS (SELECT a AS r, min(doc_id) AS component_id FROM (SELECT a, b FROM reach UNION SELECT r, r FROM w) JOIN w ON w.r = b GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM w LEFT JOIN n USING (r) JOIN low USING (r)
+"""

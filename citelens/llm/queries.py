@@ -16,4 +16,10 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
-ORACLES = {"op4_decontamination": decontamination.ORACLE_SQL}
+ORACLES = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op2_secrets": secrets.ORACLE_SQL,
+    "op4_decontamination": decontamination.ORACLE_SQL,
+    "op6_warc": warc.ORACLE_SQL,
+    "op10_ngram_join": ngram_join.ORACLE_SQL,
+}

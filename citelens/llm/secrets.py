@@ -177,3 +177,29 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Stage: secrets are masked in the texts, and n_chars follows; every document stays."""
     found = docs.withColumn("text", redacted(F.col("text"), secret_spans(F.coalesce(F.col("text"), F.lit("")))["spans"]))
     return found.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))).select(*docs.columns)
+
+
+def oracle() -> str:
+    """The query as SQL. What its patterns lack there is tested afterwards: a run of an alphabet is taken whole, and a repeated character is listed out."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    own = "([0-9A-Za-z+/_=-]{%d,})"
+    forms = [(k, pattern) for k, (_, pattern, _) in enumerate(BASE)] + [(len(BASE) + k, own % c.window) for k, c in enumerate(CLASSES)]
+    found = " UNION ALL ".join(f"SELECT r, {k} AS kind, regexp_extract_all(t, {quoted(x)}) AS w, regexp_extract_all(t, {quoted(x)}, 1) AS p, regexp_split_to_array(t, {quoted(x)}) AS g FROM d" for k, x in forms)
+    repeated = "|".join(("[" + c + "]" if c != "-" else "-") + "{8}" for c in sorted(set(BASE64.lower())))
+    allowed = " AND ".join(f"NOT regexp_matches(w, {quoted(x.replace('(.)' + chr(92) + '1{7}', repeated).replace('++', '+').replace('*+', '*'))})" for x in ALLOWED)
+    letters, fits = ("[A-F]", "[A-Za-z]"), ("regexp_full_match(w, '[0-9A-F]+')", "true")
+    kept = " OR ".join(f"(kind = {len(BASE) + k} AND {fits[k]} AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '{letters[k]}') AND list_max(list_transform(range(1, length(w) - {c.window - 2}), lambda i: list_aggregate(string_split(substr(w, i, {c.window}), ''), 'entropy'))) >= {c.bits} - 1e-9)" for k, c in enumerate(CLASSES))
+    names = ", ".join(quoted(n) for n in (*(n for n, _, _ in BASE), *(c.name for c in CLASSES)))
+    counts = ", ".join(f"CAST(count(*) FILTER (WHERE kind = {k}) AS BIGINT) AS n_{n}" for k, (n, _, _) in enumerate(BASE))
+    listing = f"string_agg(concat([{names}][kind + 1], ':', start, ':', stop), ',' ORDER BY start, kind, stop)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), m AS ({found}),
+x AS (SELECT r, kind, unnest(w) AS w, unnest(p) AS p, unnest(g[1:len(w)]) AS g, unnest(range(1, len(w) + 1)) AS i FROM m WHERE len(w) > 0),
+y AS (SELECT r, kind, w, p, CAST(sum(length(g) + length(w)) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS stop FROM x),
+b AS (SELECT r, kind, stop - length(w) AS start, stop FROM y WHERE kind < {len(BASE)} AND length(p) >= [{', '.join(str(n) for _, _, n in BASE)}][kind + 1]),
+c AS (SELECT r, kind, stop - length(w) AS start, stop FROM y WHERE kind >= {len(BASE)} AND {allowed} AND ({kept})),
+s AS (SELECT * FROM b UNION ALL SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = c.r AND b.start < c.stop AND c.start < b.stop)),
+n AS (SELECT r, {counts}, {listing} FILTER (WHERE kind < {len(BASE)}) AS base, {listing} AS spans FROM s GROUP BY r)
+SELECT doc_id, {', '.join(f'coalesce(n_{n}, 0) AS n_{n}' for n, _, _ in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN n USING (r)"""
+
+
+ORACLE_SQL = oracle()
