@@ -13,7 +13,7 @@ SHARE, MOST_COPIES = 1.5, 2.0
 CELLS, STEP = 1 << 14, 1 << 7
 #: Rows up to which a table of sources and size classes is broadcast.
 SOURCES = 200_000
-OWN = ("text_key", "size", "source_size", "target", "copies", "taken", "certain", "p", "rank", "cell", "size_class", "cut_cell", "before", "rest", "extra", "upto", "g_source", "g_class", "c_source")
+OWN = ("draw", "size", "source_size", "target", "copies", "taken", "certain", "p", "rank", "cell", "size_class", "cut_cell", "before", "rest", "extra", "upto", "g_source", "g_class", "c_source")
 _WORDS = r"[^\x20\x09-\x0D]++"
 
 
@@ -66,13 +66,18 @@ def class_of(size: Column) -> Column:
     return F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")
 
 
+def draw_of(doc_id: Column, text: Column) -> Column:
+    """52 bits that a document's id and text give, the same each time and in any engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("pareto"), doc_id.cast("string"), text)), 1, 13), 16, 10).cast("long")
+
+
 def uniform() -> Column:
-    """A number between 0 and 1 that a document's id and text give, the same each time."""
-    return (F.pmod(F.xxhash64(F.lit("pareto"), "doc_id", "text_key"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    """A number between 0 and 1 from the draw."""
+    return (F.col("draw") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def drawn(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, text_key, p) with their Pareto rank, a uniform number's odds over the odds of p, and the range (cell) that it falls in."""
+    """rows (draw, p) with their Pareto rank, a uniform number's odds over the odds of p, and the range (cell) that it falls in."""
     u = uniform()
     ranked = rows.withColumn("rank", F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
     return ranked.withColumn("cell", F.floor(F.col("rank") / (1 + F.col("rank")) * CELLS))
@@ -87,11 +92,11 @@ def first_reaching(ranges: DataFrame, at: str, start: Column) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, sized: bool = False) -> DataFrame:
-    """Every row of docs (doc_id, text, source and any others) with text_key, size, source_size, target, copies and taken, in place of any columns of these names.
+    """Every row of docs (doc_id, text, source and any others) with draw, size, source_size, target, copies and taken, in place of any columns of these names.
 
     A document is due some copies by its source's target and its size (odds_of): the whole part is certain, the rest is its
     inclusion probability p, which differs between documents of a source. They are ranked by the odds of a uniform number,
-    which is a hash of id and text, over the odds of p (Pareto order sampling), and are taken in that order until the source's
+    which the MD5 of id and text gives, over the odds of p (Pareto order sampling), and are taken in that order until the source's
     words come as near its target as the last document allows. Ranks are cut in two steps: sums for each of CELLS ranges of
     the rank, then the order inside the one range where the target falls; no source is sorted as a whole, and texts stay
     where they are but for those of that range.
@@ -99,8 +104,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     Null texts have size 0 and are taken for nothing; a null source is a source of its own, ordered last; rows with equal id
     and text tie in rank and are interchangeable; an empty table gives an empty result. Two runs give equal results."""
     names = [c for c in docs.columns if c not in OWN]
-    d = docs.select(*names, F.xxhash64("text").alias("text_key"), word_count(F.col("text")).alias("size"))
-    first = written(d.select("doc_id", "source", "text_key", "size"), "mix-sizes")
+    d = docs.select(*names, draw_of(F.col("doc_id"), F.col("text")).alias("draw"), word_count(F.col("text")).alias("size"))
+    first = written(d.select("doc_id", "source", "draw", "size"), "mix-sizes")
     if sized:
         d, names = first, ["doc_id", "source"]
     classes = first.groupBy("source", class_of(F.col("size")).alias("size_class")).agg(F.sum("size").alias("words"))
@@ -127,13 +132,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     cut = few(first_reaching(inner, "cell", F.col("before")).withColumnRenamed("source", "c_source").withColumnRenamed("cut", "cut_cell"))
     ranked = known(d).join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left")
     at = F.coalesce(F.col("cell") == F.col("cut_cell"), F.lit(False))
-    inside = Window.partitionBy("source", "cell").orderBy("rank", "size", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "cell").orderBy("rank", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = ranked.where(at).withColumn("upto", F.col("before") + F.sum("size").over(inside))
     ahead = F.col("upto") - F.col("size")
     edge = edge.withColumn("extra", (F.abs(F.col("upto") - F.col("rest")) <= F.abs(ahead - F.col("rest"))) & (ahead <= F.col("rest"))).drop("upto")
     others = ranked.where(~at).withColumn("extra", F.coalesce(F.col("cell").isNotNull() & (F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell"))), F.lit(False)))
     copies = F.col("certain") + F.col("extra").cast("long")
-    return others.unionByName(edge).select(*names, "text_key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return others.unionByName(edge).select(*names, "draw", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,3 +154,19 @@ def mixed_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     plain = docs.select("doc_id", "text", "source", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     out = mix(plain).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != "copy"], "copy")
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size, (CAST(concat('0x', substr(md5(concat_ws(':', 'pareto', doc_id, text)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / {float(1 << 52)} AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS n, [{', '.join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS w FROM d GROUP BY source),
+f AS (SELECT *, ({SHARE} * sum(n) OVER () - coalesce(sum({MOST_COPIES} * n) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS t, row_number() OVER (ORDER BY n / w, encode(source) NULLS LAST) AS place FROM s WINDOW b AS (ORDER BY n / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT source, n, least({MOST_COPIES} * n, w * coalesce((SELECT arg_min(t, place) FROM f WHERE {MOST_COPIES} * n >= w * t), 1e300)) AS target FROM f),
+c AS (SELECT d.source, CAST(floor(log2(greatest(size, 1)) + 1e-9) AS INT) AS k, CAST(sum(size) AS DOUBLE) AS words, any_value(target) AS target FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source GROUP BY 1, 2),
+h AS (SELECT *, pow(2, k / 2.0) AS m, (target - {MOST_COPIES} * coalesce(sum(words) OVER b, 0)) / nullif(sum(words * pow(2, k / 2.0)) OVER (PARTITION BY source) - coalesce(sum(words * pow(2, k / 2.0)) OVER b, 0), 0) AS t FROM c WINDOW b AS (PARTITION BY source ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT source, k, target, CASE WHEN target > 0 THEN least({MOST_COPIES}, coalesce(m * arg_max(t, k) FILTER (WHERE t * m <= {MOST_COPIES} + 1e-9) OVER (PARTITION BY source), {MOST_COPIES})) ELSE 0 END AS due FROM h),
+e AS (SELECT d.*, o.target, floor(due + 1e-9) AS certain, CASE WHEN due - floor(due + 1e-9) > 1e-9 THEN due - floor(due + 1e-9) ELSE 0 END AS p FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source AND CAST(floor(log2(greatest(size, 1)) + 1e-9) AS INT) = o.k),
+q AS (SELECT *, target - sum(certain * size) OVER (PARTITION BY source) AS rest, CASE WHEN p > 0 THEN u / (1 - u) * (1 - p) / p END AS rank FROM e),
+v AS (SELECT r, rest, size, sum(size) OVER (PARTITION BY source ORDER BY rank, size, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM q WHERE p > 0),
+x AS (SELECT r, upto - size <= rest AND abs(upto - rest) <= abs(upto - size - rest) AS extra FROM v)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, q.target, CAST((certain + CASE WHEN extra THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM q JOIN g ON q.source IS NOT DISTINCT FROM g.source LEFT JOIN x USING (r)
+"""

@@ -21,5 +21,6 @@ ORACLES = {
     "op2_secrets": secrets.ORACLE_SQL,
     "op4_decontamination": decontamination.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
+    "op7_mixing": mixing.ORACLE_SQL,
     "op10_ngram_join": ngram_join.ORACLE_SQL,
 }

@@ -111,12 +111,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Marks end a sentence before white space, wide marks anywhere; a sentence goes on over the white space behind it.
 ORACLE_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(regexp_replace(text, '([。！？｡]+[”’」』）]*\s*|[.!?…؟۔।॥]+\s+|\n\s*)', '\1␞', 'g'), '␞') AS p FROM documents),
+WITH a AS (SELECT dense_rank() OVER (ORDER BY doc_id, text) AS r, doc_id, text FROM documents),
+d AS (SELECT DISTINCT r, doc_id, string_split(regexp_replace(text, '([。！？｡]+[”’」』）]*\s*|[.!?…؟۔।॥]+\s+|\n\s*)', '\1␞', 'g'), '␞') AS p FROM a),
 s AS (SELECT r, doc_id, p[i] AS s, i FROM (SELECT r, doc_id, list_filter(p, lambda x: x <> '') AS p, unnest(range(1, len(list_filter(p, lambda x: x <> '')) + 1)) AS i FROM d)),
 k AS (SELECT r, doc_id, i, lower(trim(regexp_replace(s, '\s+', ' ', 'g'))) AS k FROM s),
 v AS (SELECT r, doc_id, i, trim(concat(k, ' ', lead(k) OVER (PARTITION BY r ORDER BY i))) AS k, lead(i) OVER (PARTITION BY r ORDER BY i) AS more FROM k),
 o AS (SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, r, i) > 1 AS again FROM v WHERE more IS NOT NULL),
 gone AS (SELECT DISTINCT r, unnest([i, i + 1]) AS i FROM o WHERE again),
 t AS (SELECT s.r, count(*) AS n, count(gone.i) AS n_removed, coalesce(sum(length(s.s)) FILTER (WHERE gone.i IS NOT NULL), 0) AS chars, string_agg(s.s, '' ORDER BY s.i) FILTER (WHERE gone.i IS NULL) AS kept FROM s LEFT JOIN gone ON gone.r = s.r AND gone.i = s.i GROUP BY s.r)
-SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(chars, 0) AS BIGINT) AS n_chars_removed FROM d LEFT JOIN t USING (r)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(chars, 0) AS BIGINT) AS n_chars_removed FROM a LEFT JOIN t USING (r)
 """

@@ -11,7 +11,7 @@ from compare import database, difference
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from citelens.llm import decontamination, html_extraction, language_id, media, mixing, ngram_join, secrets, shared, substring_dedup, token_counts, warc
+from citelens.llm import decontamination, html_extraction, language_id, media, mixing, ngram_join, queries, secrets, shared, substring_dedup, token_counts, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -282,8 +282,27 @@ def test_html_odd(spark):
 
 # decontamination -----------------------------------------------------------------------------------------------------
 
-def test_decontamination_sql(spark):
-    assert difference(decontamination.op4_decontamination(spark, DATA), database(DATA), decontamination.ORACLE_SQL) == ""
+@pytest.mark.parametrize("key", sorted(queries.ORACLES))
+def test_sql(spark, key):
+    assert difference(queries.QUERIES[key](spark, DATA), database(DATA), queries.ORACLES[key]) == ""
+
+
+@pytest.mark.parametrize("key", sorted(queries.ORACLES))
+def test_sql_on_odd_rows(spark, tmp_path, key):
+    """The SQL agrees where rows are null, empty, repeated or tied as well."""
+    rng = random.Random(2)
+    words = lambda n: " ".join(rng.choice("ab c. d e! f\n g token=abcdefghij1234 deadbeefdeadbeef01 é".split(" ")) for _ in range(n))
+    texts = [words(rng.randrange(1, 60)) for _ in range(25)]
+    texts += texts[:6] + [None, "", "  \n", "\n\nx. y. z.", "one", "a. b. a. b.", "key aG9x7Kp2Qv8Zt4Lm1Nw6Rb3Yc5 and ABCDEF0123456789ABCDEF01 ok"]
+    rows = [(i, t, "en", f"s{i % 4}" if i % 9 else None, None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows + rows[:2], DOCS).coalesce(1).write.parquet(f"{tmp_path}/w/documents")
+    spark.createDataFrame([(1, " ".join(texts[0].split()[:12])), (2, None), (3, "one")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/w/benchmark")
+    long = "<p>" + "x" * 1000
+    spark.createDataFrame([(1, "u", long), (2, None, long), (3, "u", None), (None, "v", long), (4, "u", ""), (4, "u", "")], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/w/pages")
+    (tmp_path / "t").mkdir()
+    for name in ("documents", "benchmark", "pages"):
+        next((tmp_path / "w" / name).glob("*.parquet")).rename(tmp_path / "t" / f"{name}.parquet")
+    assert difference(queries.QUERIES[key](spark, str(tmp_path / "t")), database(str(tmp_path / "t")), queries.ORACLES[key]) == ""
 
 
 def test_decontamination_blocks_agree(spark, docs):
@@ -411,7 +430,7 @@ def test_mixing(spark, docs):
 
 
 def brute_copies(rows, target):
-    """Copies of each of a source's (doc_id, text_key, size, u): t is found by halving, then the Pareto order is walked through."""
+    """Copies of each of a source's (doc_id, draw, size, u): t is found by halving, then the Pareto order is walked through."""
     measure = lambda n: 2.0 ** ((max(n, 1).bit_length() - 1) / 2)
     total = lambda t: sum(n * min(2.0, t * measure(n)) for _, _, n, _ in rows)
     low, high = 0.0, 4.0
@@ -433,14 +452,14 @@ def brute_copies(rows, target):
 
 def test_mixing_ranks(spark, docs):
     """Odds differ inside a source, and decide together with the uniform numbers; against plain Python."""
-    rows = mixing.mix(docs).select("doc_id", "text_key", "source", "size", "target", "copies", mixing.uniform().alias("u")).collect()
+    rows = mixing.mix(docs).select("doc_id", "draw", "source", "size", "target", "copies", mixing.uniform().alias("u")).collect()
     by = defaultdict(list)
     for r in rows:
         by[r.source].append(r)
     swapped = 0
     for own in by.values():
         own.sort(key=lambda r: r.doc_id)
-        assert [r.copies for r in own] == brute_copies([(r.doc_id, r.text_key, r.size, r.u) for r in own], own[0].target)
+        assert [r.copies for r in own] == brute_copies([(r.doc_id, r.draw, r.size, r.u) for r in own], own[0].target)
         swapped += sum(a.u < b.u and a.copies < b.copies for a in own for b in own)
     assert swapped > 0  # a plain order of the uniform numbers would take others
 
