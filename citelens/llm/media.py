@@ -34,41 +34,47 @@ def table_of(numbers, form: str = ">u4") -> bytes:
     return struct.pack(">I", len(a)) + a.tobytes()
 
 
+FTYP = box(b"ftyp", b"isom", struct.pack(">I", 512), b"isommp41")
+UNITY = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
+
+
+def head_boxes(frames: int) -> dict[str, bytes]:
+    """The boxes whose length is the same for any number of frames."""
+    entry = box(b"raw ", bytes(6), struct.pack(">H", 1), bytes(16), struct.pack(">HHIII", 8, 8, 0x480000, 0x480000, 0), struct.pack(">H", 1), bytes(32), struct.pack(">Hh", 8, -1))
+    return {
+        "mvhd": full_box(b"mvhd", struct.pack(">IIIIIH", 0, 0, TIMESCALE, frames, 0x10000, 0x100), bytes(10), UNITY, bytes(24), struct.pack(">I", 2)),
+        "tkhd": full_box(b"tkhd", struct.pack(">IIIII", 0, 0, 1, 0, frames), bytes(8), struct.pack(">hhhH", 0, 0, 0, 0), UNITY, struct.pack(">II", 8 << 16, 8 << 16), flags=3),
+        "mdhd": full_box(b"mdhd", struct.pack(">IIIIHH", 0, 0, TIMESCALE, frames, 0x55C4, 0)),
+        "hdlr": full_box(b"hdlr", bytes(4), b"vide", bytes(12), b"\0"),
+        "vmhd": full_box(b"vmhd", bytes(8), flags=1),
+        "dinf": box(b"dinf", full_box(b"dref", struct.pack(">I", 1), full_box(b"url ", flags=1))),
+        "stsd": full_box(b"stsd", struct.pack(">I", 1), entry),
+        "stts": full_box(b"stts", struct.pack(">III", 1, frames, 1)),
+        "stsz": full_box(b"stsz", struct.pack(">II", UNIT, frames)),
+    }
+
+
 def container(payload: bytes) -> bytes:
     """Payload bytes as the frames of one raw 8 x 8 grey track. The length has to be a positive multiple of 64."""
     frames = len(payload) // UNIT
     if not frames or frames * UNIT != len(payload):
         raise ValueError("the payload is no positive multiple of 64 bytes")
+    if len(payload) + 8 >= 1 << 32:
+        raise ValueError("a payload of 4 GiB or more needs another layout")
     chunks = -(-frames // CHUNK_FRAMES)
     last = frames - (chunks - 1) * CHUNK_FRAMES
     per_chunk = [(1, CHUNK_FRAMES, 1)] if chunks > 1 else []
     if last != CHUNK_FRAMES or chunks == 1:
         per_chunk.append((chunks, last, 1))
-    entry = box(b"raw ", bytes(6), struct.pack(">H", 1), bytes(16), struct.pack(">HHIII", 8, 8, 0x480000, 0x480000, 0), struct.pack(">H", 1), bytes(32), struct.pack(">Hh", 8, -1))
-    ftyp = box(b"ftyp", b"isom", struct.pack(">I", 512), b"isommp41")
-    start = len(ftyp) + 8
+    start = len(FTYP) + 8
     where = start + np.arange(chunks, dtype=np.int64) * CHUNK_FRAMES * UNIT
     runs = struct.pack(">I", len(per_chunk)) + b"".join(struct.pack(">III", *r) for r in per_chunk)
-    stbl = box(
-        b"stbl",
-        full_box(b"stsd", struct.pack(">I", 1), entry),
-        full_box(b"stts", struct.pack(">III", 1, frames, 1)),
-        full_box(b"stss", table_of(1 + np.arange(chunks) * CHUNK_FRAMES)),
-        full_box(b"stsc", runs),
-        full_box(b"stsz", struct.pack(">II", UNIT, frames)),
-        full_box(b"co64", table_of(where, ">u8")) if start + len(payload) >= 1 << 32 else full_box(b"stco", table_of(where)),
-    )
-    unity = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
-    mdhd = full_box(b"mdhd", struct.pack(">IIIIHH", 0, 0, TIMESCALE, frames, 0x55C4, 0))
-    hdlr = full_box(b"hdlr", bytes(4), b"vide", bytes(12), b"\0")
-    dinf = box(b"dinf", full_box(b"dref", struct.pack(">I", 1), full_box(b"url ", flags=1)))
-    minf = box(b"minf", full_box(b"vmhd", bytes(8), flags=1), dinf, stbl)
-    tkhd = full_box(b"tkhd", struct.pack(">IIIII", 0, 0, 1, 0, frames), bytes(8), struct.pack(">hhhH", 0, 0, 0, 0), unity, struct.pack(">II", 8 << 16, 8 << 16), flags=3)
-    mvhd = full_box(b"mvhd", struct.pack(">IIIIIH", 0, 0, TIMESCALE, frames, 0x10000, 0x100), bytes(10), unity, bytes(24), struct.pack(">I", 2))
-    moov = box(b"moov", mvhd, box(b"trak", tkhd, box(b"mdia", mdhd, hdlr, minf)))
-    if len(payload) + 8 >= 1 << 32:
-        raise ValueError("a payload of 4 GiB or more needs another layout")
-    return ftyp + box(b"mdat", payload) + moov
+    h = head_boxes(frames)
+    places = full_box(b"co64", table_of(where, ">u8")) if start + len(payload) >= 1 << 32 else full_box(b"stco", table_of(where))
+    stbl = box(b"stbl", h["stsd"], h["stts"], full_box(b"stss", table_of(1 + np.arange(chunks) * CHUNK_FRAMES)), full_box(b"stsc", runs), h["stsz"], places)
+    minf = box(b"minf", h["vmhd"], h["dinf"], stbl)
+    moov = box(b"moov", h["mvhd"], box(b"trak", h["tkhd"], box(b"mdia", h["mdhd"], h["hdlr"], minf)))
+    return FTYP + box(b"mdat", payload) + moov
 
 
 def boxes(data, at: int, end: int):
@@ -206,3 +212,34 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = written(docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), media_of_text(F.col("text")).alias("media")), "media")
     return stored.select("doc_id", "n_bytes", read_back(F.col("media")).alias("back")).select("doc_id", "n_bytes", "back.*")
+
+
+def oracle() -> str:
+    """The query as SQL: containers put together as hexadecimal digits, a nest a step, from boxes of fixed length with a number of frames that is replaced."""
+    sign = 0x1ABCDEF1
+    fixed = {k: f"replace('{b.hex()}', '{sign:08x}', printf('%08x', frames))" for k, b in head_boxes(sign).items()}
+    word = lambda x: f"printf('%08x', {x})"
+    boxed = lambda kind, body: f"concat({word(f'8 + length({body}) // 2')}, '{kind.encode().hex()}', {body})"
+    each = lambda x: f"array_to_string(list_transform(range(0, chunks), lambda i: {x}), '')"
+    chunk, start = CHUNK_FRAMES * UNIT, len(FTYP) + 8
+    many = lambda kind, x: f"concat({word('16 + 4 * chunks')}, '{kind.encode().hex()}', '00000000', {word('chunks')}, {each(word(x))})"
+    one, rest = f"concat({word(1)}, {word(CHUNK_FRAMES)}, {word(1)})", f"concat({word('chunks')}, {word('frames - (chunks - 1) * ' + str(CHUNK_FRAMES))}, {word(1)})"
+    runs = f"concat(CASE WHEN chunks > 1 THEN {one} ELSE '' END, CASE WHEN chunks = 1 OR frames % {CHUNK_FRAMES} > 0 THEN {rest} ELSE '' END)"
+    steps = f"flatten(list_transform(range(1, {UNIT} + 1), lambda i: [CAST(concat('0x', substr(pay, length(pay) - {2 * UNIT} + 2 * i - 1, 2)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    keys = "array_to_string(list_transform(range(0, chunks), lambda i: concat(" + f"{start} + i * {chunk}, '-', {start + UNIT} + i * {chunk})), ',')"
+    return f"""WITH t AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+p AS (SELECT doc_id, n, concat(h, repeat('00', greatest({UNIT}, (n + {UNIT - 1}) // {UNIT} * {UNIT}) - n)) AS pay FROM t),
+f AS (SELECT *, length(pay) // {2 * UNIT} AS frames, (length(pay) // {2 * UNIT} + {CHUNK_FRAMES - 1}) // {CHUNK_FRAMES} AS chunks FROM p),
+a AS (SELECT *, {runs} AS runs FROM f),
+b AS (SELECT *, concat({fixed['stsd']}, {fixed['stts']}, {many('stss', f'1 + i * {CHUNK_FRAMES}')}, {word('16 + length(runs) // 2')}, '{b'stsc'.hex()}', '00000000', {word('length(runs) // 24')}, runs, {fixed['stsz']}, {many('stco', f'{start} + i * {chunk}')}) AS body FROM a),
+c AS (SELECT * REPLACE (concat({fixed['vmhd']}, {fixed['dinf']}, {boxed('stbl', 'body')}) AS body) FROM b),
+d AS (SELECT * REPLACE (concat({fixed['mdhd']}, {fixed['hdlr']}, {boxed('minf', 'body')}) AS body) FROM c),
+e AS (SELECT * REPLACE (concat({fixed['tkhd']}, {boxed('mdia', 'body')}) AS body) FROM d),
+g AS (SELECT * REPLACE (concat({fixed['mvhd']}, {boxed('trak', 'body')}) AS body) FROM e),
+m AS (SELECT *, concat('{FTYP.hex()}', {boxed('mdat', 'pay')}, {boxed('moov', 'body')}) AS media FROM g)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(length(pay) // 2 AS BIGINT) AS payload_bytes, sha256(unhex(pay)) AS payload_sha256, xor({crc}, 4294967295) AS tail_crc32, CAST(length(media) // 2 AS BIGINT) AS media_bytes, sha256(unhex(media)) AS media_sha256,
+concat('codec=raw;duration=', printf('%.2f', frames / {float(TIMESCALE)}), ';samples=', frames, ';keyframes=', {keys}) AS feature, 'raw ' AS codec, CAST(frames AS DOUBLE) / {TIMESCALE} AS duration, CAST(chunks AS BIGINT) AS n_keyframes FROM m"""
+
+
+ORACLE_SQL = oracle()

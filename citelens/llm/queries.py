@@ -22,5 +22,6 @@ ORACLES = {
     "op4_decontamination": decontamination.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
+    "op8_media": media.ORACLE_SQL,
     "op10_ngram_join": ngram_join.ORACLE_SQL,
 }
