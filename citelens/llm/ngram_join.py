@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citelens.llm.shared import bounded, components, filter_of, forget, table, unused, written
+from citelens.llm.shared import bounded, components, filter_of, forget, small_batches, table, unused, written
 
 WORDS = 5
 RADIUS = 0.2
@@ -36,7 +36,8 @@ PER_PART = 8
 #: Shingles of more than a 1/HOT_SHARE of the documents, and more than HOT_LEAST of them, come last in the order. The list of them
 #: is a hint that makes cells small; links are found under any order, so its bound loses none.
 HOT_SHARE, HOT_LEAST, HOT_MOST = 2000, 32, 1 << 18
-COUNTED = 1 << 22
+#: Shingles that a task counts at a time.
+COUNTED = 1 << 21
 #: A task forgets which sets it has met after so many, and then deals out the cells of one of them again.
 SEEN = 1 << 18
 #: Shingles that one task joins; documents whose texts are fetched by a broadcast join, above which a filter comes before the join.
@@ -149,7 +150,9 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
     least = max(HOT_LEAST, docs.count() // HOT_SHARE) // 2
     sums = docs.select("text").mapInArrow(counted, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    return np.sort(np.array([r.s for r in sums.orderBy(F.desc("c"), "s").limit(HOT_MOST).collect()], dtype=np.int64))
+    with small_batches(docs.sparkSession):
+        common = sums.orderBy(F.desc("c"), "s").limit(HOT_MOST).collect()
+    return np.sort(np.array([r.s for r in common], dtype=np.int64))
 
 
 def sketched(docs: DataFrame, hot) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -25,10 +26,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch that goes to a Python worker in an operator's own actions.
+BATCH, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Batches of BATCH bytes at most for the actions inside; the caller's setting is back afterwards."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it again."""
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.written_to = path
     return back

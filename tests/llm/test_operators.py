@@ -710,3 +710,13 @@ def test_one_of_each_group_odd(spark, odd, empty):
     assert out.columns == d.columns
     assert Counter(r.doc_id for r in out.collect()) == Counter([1, 2, 3, 4, 5, 7])
     assert ngram_join.one_of_each_group(spark, empty, DATA).count() == 0
+
+
+def test_settings_stay(spark):
+    """An operator's own actions use small batches; the session's setting is as before, also after an error."""
+    before = spark.conf.get(shared.BATCH_SETTING)
+    assert shared.written(spark.range(3), "settings").count() == 3 and spark.conf.get(shared.BATCH_SETTING) == before
+    with pytest.raises(ValueError), shared.small_batches(spark):
+        assert int(spark.conf.get(shared.BATCH_SETTING).rstrip("b")) == shared.BATCH
+        raise ValueError
+    assert spark.conf.get(shared.BATCH_SETTING) == before

@@ -3,13 +3,14 @@
 from collections import Counter
 
 from conftest import DATA
-from test_operators import base_spans, brute_groups
+from test_operators import base_spans, brute_groups, brute_targets
+from test_queries import plain_hits, plain_windows
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from citelens.llm import decontamination, language_id
+from citelens.llm import language_id
 
 
 def test_stages(spark):
@@ -30,8 +31,8 @@ def test_stages(spark):
             kept = {d for d, n, c in brute_groups([(r.doc_id, r.text) for r in before]) if n == 0 or d == c}
             assert Counter(r.doc_id for r in after) == Counter(kept)
         elif name == "decontamination":
-            windows = decontamination.Windows([(str(r.item_id), decontamination.words_of(r.text)) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()])
-            assert {r.doc_id for r in after} == {r.doc_id for r in before if not windows.scan(decontamination.words_of(r.text))[0]}
+            windows = plain_windows((r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect())
+            assert {r.doc_id for r in after} == {r.doc_id for r in before if not plain_hits(r.text, windows)[0]}
         elif name == "secret scan":
             assert len(after) == len(before) and not any(base_spans(r.text) for r in after)
             assert all(r.n_chars == len(r.text) for r in after)
@@ -41,6 +42,11 @@ def test_stages(spark):
                 words[r.source] += len(r.text.split())
             assert set(out.columns) == set(docs.columns) | {"copy"}
             assert max(Counter(r.doc_id for r in after).values()) <= 2
+            # Each source's words come as near its target as its longest document allows.
+            want, got = brute_targets(words), Counter()
+            for r in after:
+                got[r.source] += len(r.text.split())
+            assert all(abs(got[s] - want[s]) <= max(len(r.text.split()) for r in before if r.source == s) / 2 + 1 for s in words)
             total = sum(len(r.text.split()) for r in after)
             assert abs(total - 1.5 * sum(words.values())) < 0.05 * sum(words.values())
         at = spark.createDataFrame(after, out.schema)

@@ -80,22 +80,36 @@ def test_pages(spark, results):
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", first if again else None)
 
 
-def test_decontamination(spark, results, texts):
-    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+def plain_words(text):
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def plain_windows(items):
+    """Windows of ten words of items (id, text), and the items that have them."""
     windows = defaultdict(set)
-    for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect():
-        w = words(r.text)
+    for item, text in items:
+        w = plain_words(text)
         for i in range(max(1, len(w) - 9) if w else 0):
-            windows[tuple(w[i : i + 10])].add(str(r.item_id))
-    sizes = sorted({len(w) for w in windows})
+            windows[tuple(w[i : i + 10])].add(str(item))
+    return windows
+
+
+def plain_hits(text, windows):
+    """Words under windows, and the windows' items."""
+    w, hit, items = plain_words(text), set(), set()
+    for n in {len(x) for x in windows}:
+        for i in range(len(w) - n + 1):
+            if found := windows.get(tuple(w[i : i + n])):
+                hit |= set(range(i, i + n))
+                items |= found
+    return hit, items
+
+
+def test_decontamination(spark, results, texts):
+    windows = plain_windows((r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect())
     for r in results["op4_decontamination"][1]:
-        w, hit, items = words(texts[r.doc_id]), set(), set()
-        for n in sizes:
-            for i in range(len(w) - n + 1):
-                if found := windows.get(tuple(w[i : i + n])):
-                    hit |= set(range(i, i + n))
-                    items |= found
-        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(items), bool(hit))
+        hit, items = plain_hits(texts[r.doc_id], windows)
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(plain_words(texts[r.doc_id])), len(hit), len(items), bool(hit))
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
