@@ -19,7 +19,9 @@ def shared_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/citelens-shared"
-    return root.rstrip("/")
+    # With its scheme, so that Spark and the tasks that open files themselves mean one place.
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
