@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from citelens.catalog.registry import SQL, query
 from citelens.functions import spans as S
 from citelens.functions import text as X
+from citelens.storage import written
 
 W = r"[^\p{L}\p{M}\p{N}_]"
 ACC, PLAIN = X.ACCENTED, X.PLAIN
@@ -316,7 +317,7 @@ def known_phrases(docs, counts):
     """doc_id, chunk: phrases of up to three words that so many documents have (a condition on count), and are in no longer one of their document."""
     from citelens.operators.contexts import grams, maximal_phrases
 
-    g = grams(docs, "doc_id", "text", 3)
+    g = written(grams(docs, "doc_id", "text", 3), "phrases")
     known = g.groupBy("chunk").count().where(counts).select("chunk")
     return maximal_phrases(g.join(known, "chunk", "left_semi"), "doc_id", "chunk")
 
