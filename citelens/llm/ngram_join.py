@@ -11,7 +11,8 @@ where pivots cannot tell them apart, so the space is first cut where nothing lin
    document goes to the region of its nearest pivot, and to those of other pivots q where a document y of q may be within
    the radius: d(x, q) <= d(x, own pivot) + 2 r, and d(x, q) <= r + the radius of q's region. Documents at distance 1 from
    every pivot are one region more, which documents at 1 - r or more from their own pivot are copied to. Regions are cut
-   again by pivots of their own until they are small, in Spark while they are larger than a task, then inside the task.
+   again by pivots of their own until they are small, in Spark while they are larger than a task, then inside the task where
+   that leaves half of the pairs at most.
 3. Documents that link with a pivot, and with pivots that such links connect, are known to be of one component. Where they are
    half of a region, and in regions that do not shrink, only the others are held against all, in blocks.
 4. Leaves test pairs exactly, on words, leaving out pairs that are in one component already. Links give components.
@@ -46,7 +47,10 @@ BLOCK, BROADCAST = 2_000_000, 500_000
 WHOLE_CELL = 4096
 #: Pivots of a region in Spark and in a task, and documents that are tested without pivots.
 PIVOTS, TASK_PIVOTS, LEAF = 16, 8, 64
-#: A region that keeps more than this share of the one it was cut from does not shrink; one of which this share is of one component by its pivots is a ball.
+#: In a task, shingles of at least a 1/DENSE of a region's documents are columns of a matrix: of BLOCK shingles it has DENSE * BLOCK numbers at most.
+#: Documents tested at a time, and numbers that such a test holds at once.
+DENSE, TESTED, AT_ONCE = 12, 256, 2_000_000
+#: A region that in Spark keeps more than this share of the one it was cut from does not shrink; one of which this share is of one component by its pivots is a ball.
 SHRINKS, BALL, DEEPEST = 0.8, 0.5, 12
 
 _U = np.uint64
@@ -406,71 +410,79 @@ class Region:
         _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(m), self.n)
         keep = times[column] > 1
-        columns, self.column = np.unique(column[keep], return_inverse=True)
-        owner, width = owner[keep], len(columns)
+        columns, column = np.unique(column[keep], return_inverse=True)
+        owner, times = owner[keep], times[times > 1]
+        # Columns of many members are multiplied, which is one product for all; those of few are looked up.
+        many = times * DENSE >= m
+        self.dense = np.zeros((m, int(many.sum())), dtype=np.float32)
+        wide = many[column]
+        self.dense[owner[wide], (np.cumsum(many) - 1)[column[wide]]] = 1
+        owner, self.column = owner[~wide], column[~wide]
         self.row_at = np.searchsorted(owner, np.arange(m + 1))
-        self.dense = None
-        if m * width <= 25_000_000:
-            self.dense = np.zeros((m, width), dtype=np.float32)
-            self.dense[owner, self.column] = 1
         by_column = np.argsort(self.column, kind="stable")
-        self.col_at, self.posting = np.searchsorted(self.column[by_column], np.arange(width + 1)), owner[by_column]
+        self.col_at, self.posting = np.searchsorted(self.column[by_column], np.arange(len(columns) + 1)), owner[by_column]
+        self.looked_up = np.append(0, np.cumsum(times[self.column]))[self.row_at]
 
     def common(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
-        if self.dense is not None:
-            return (self.dense[rows] @ self.dense[others].T).astype(np.int64)
-        out = np.zeros((len(rows), len(others)), dtype=np.int64)
-        for k, r in enumerate(rows.tolist()):
-            own = self.column[self.row_at[r] : self.row_at[r + 1]]
-            met = np.concatenate([self.posting[self.col_at[c] : self.col_at[c + 1]] for c in own.tolist()]) if len(own) else np.zeros(0, np.int64)
-            out[k] = np.bincount(met, minlength=len(self.n))[others]
+        out = (self.dense[rows] @ self.dense[others].T).astype(np.int64)
+        cost = self.looked_up[rows + 1] - self.looked_up[rows] + len(self.n)
+        for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(cost) // AT_ONCE)) + 1):
+            own = [self.column[self.row_at[r] : self.row_at[r + 1]] for r in rows[part].tolist()]
+            met = np.concatenate(own)
+            if not len(met):
+                continue
+            lengths = self.col_at[met + 1] - self.col_at[met]
+            at = np.arange(lengths.sum()) + np.repeat(self.col_at[met] - np.cumsum(lengths) + lengths, lengths)
+            place = np.repeat(np.repeat(np.arange(len(part)), [len(c) for c in own]), lengths) * len(self.n) + self.posting[at]
+            out[part] += np.bincount(place, minlength=len(part) * len(self.n)).reshape(len(part), -1)[:, others]
         return out
 
-    def unite(self, with_: int, others: np.ndarray) -> None:
-        labels = np.unique(self.label[np.append(others, with_)])
-        if len(labels) > 1:
-            self.label[np.isin(self.label, labels)] = labels[0]
+    def unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Each member of a and that of b at its place are of one component."""
+        a, b = self.label[a], self.label[b]
+        into = np.arange(len(self.n))
+        while (differ := into[a] != into[b]).any():
+            a, b = into[a[differ]], into[b[differ]]
+            np.minimum.at(into, np.maximum(a, b), np.minimum(a, b))
+            while (into[into] != into).any():
+                into = into[into]
+        self.label = into[self.label]
 
     def join(self, members: np.ndarray, depth: int = 0) -> None:
-        """Cut by pivots, and again each region that has shrunk; the others are tested."""
+        """Cut by pivots, and again each region, where that leaves half of the pairs at most; windows that overlap more make more pairs at each depth."""
         if len(np.unique(self.label[members])) < 2:
             return
         if len(members) <= LEAF or depth > DEEPEST:
-            return self.grow(members)
+            return self.test(members)
         pivots = members[np.linspace(0, len(members) - 1, TASK_PIVOTS).astype(int)]
         both = self.common(pivots, members)
         far = (1 - both / (self.n[pivots][:, None] + self.n[members][None, :] - both)).T
-        close = linked(both, self.n[pivots][:, None], self.n[members][None, :])
-        for p, row in zip(pivots.tolist(), close):
-            self.unite(p, members[row])
-        for cell in cells_of(far):
-            if len(cell) <= SHRINKS * len(members):
-                self.join(members[cell], depth + 1)
-            else:
-                self.grow(members[cell])
-
-    def grow(self, free: np.ndarray) -> None:
-        """A component grows from a pivot: what links with one of its newest members joins it. Pairs are left out whose distances to
-        the pivot differ by more than the radius, and those that are in the component already."""
-        while len(free) > 1:
-            pivot = free[0]
-            both = self.common(np.array([pivot]), free)[0]
-            far = 1 - both / (self.n[pivot] + self.n[free] - both)
-            joins = linked(both, self.n[pivot], self.n[free]) | (self.label[free] == self.label[pivot])
-            while True:
-                self.unite(pivot, free[joins])
-                # What shares a label now came along with a member that joined.
-                joins |= self.label[free] == self.label[pivot]
-                newest, reach, free, far = free[joins], far[joins], free[~joins], far[~joins]
-                if not len(newest) or not len(free):
-                    break
-                joins = np.zeros(len(free), dtype=bool)
-                step = max(1, 4_000_000 // len(free))
-                for a in range(0, len(newest), step):
-                    rows, away = newest[a : a + step], reach[a : a + step]
-                    open_ = np.flatnonzero(~joins & (far <= away.max() + RADIUS + 1e-9) & (far >= away.min() - RADIUS - 1e-9))
-                    if len(open_):
-                        joins[open_] |= linked(self.common(rows, free[open_]), self.n[rows][:, None], self.n[free[open_]][None, :]).any(axis=0)
+        i, j = np.nonzero(linked(both, self.n[pivots][:, None], self.n[members][None, :]))
+        self.unite(pivots[i], members[j])
+        cells = cells_of(far)
+        if 2 * sum(len(cell) ** 2 for cell in cells) > len(members) ** 2:
+            return self.test(members)
+        for cell in cells:
+            self.join(members[cell], depth + 1)
+
+    def test(self, members: np.ndarray) -> None:
+        """All pairs but those whose sizes rule a link out and those that are in one component already: by size, some members at a time
+        against those of at least their size. The largest component comes apart from the rest, with which alone it is tested."""
+        labels, at, sizes = np.unique(self.label[members], return_inverse=True, return_counts=True)
+        main = at == sizes.argmax()
+        rest, main = (part[np.argsort(self.n[part], kind="stable")] for part in (members[~main], members[main]))
+        for first, second in ((rest, rest), (rest, main)):
+            step = max(1, min(TESTED, AT_ONCE // max(1, len(second))))
+            for k in range(0, len(first), step):
+                rows = first[k : k + step]
+                low = self.n[rows[0]] if first is second else -(-4 * self.n[rows[0]] // 5)
+                a, b = np.searchsorted(self.n[second], [low, 5 * self.n[rows[-1]] // 4 + 1])
+                others = second[a:b]
+                if (self.label[rows] == self.label[rows[0]]).all():
+                    others = others[self.label[others] != self.label[rows[0]]]
+                if len(others):
+                    i, j = np.nonzero(linked(self.common(rows, others), self.n[rows][:, None], self.n[others][None, :]))
+                    self.unite(rows[i], others[j])
 
 
 def join_region(sets: list[np.ndarray], core: np.ndarray | None = None) -> np.ndarray:

@@ -681,6 +681,38 @@ def test_join_region_without_dense_rows():
     assert label.tolist() == root
 
 
+def test_join_region_large(monkeypatch):
+    """A large region of copies, near ones and ones too far to link: no more than two tests for each pair of sets, and a matrix of bounded size."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base, sets = rng.choice(10**9, 150, replace=False), []
+    for i in range(1500):
+        own, gone = base.copy(), rng.integers(0, 75)
+        own[rng.choice(150, gone, replace=False)] = rng.integers(0, 10**9, gone)
+        sets.append(np.unique(own if i % 10 else np.concatenate((own, sets[-1][:20] if sets else own))))
+    sets += [np.unique(np.concatenate((s[:-6], rng.integers(0, 10**9, 6)))) for s in sets[::5]]
+    tests, own_common = [], ngram_join.Region.common
+
+    def common(self, rows, others):
+        tests.append(len(rows) * len(others))
+        assert self.dense is not None and self.dense.size <= 12 * self.n.sum()
+        return own_common(self, rows, others)
+
+    monkeypatch.setattr(ngram_join.Region, "common", common)
+    owners, root = defaultdict(list), np.arange(len(sets))
+    for i, s in enumerate(sets):
+        for j, k in Counter(j for g in s.tolist() for j in owners[g]).items():
+            if 100 * k >= 80 * (len(s) + len(sets[j]) - k):
+                root[np.isin(root, (root[i], root[j]))] = min(root[i], root[j])
+        for g in s.tolist():
+            owners[g].append(i)
+    for core in (None, np.isin(root, np.bincount(root).argmax()) & (np.arange(len(sets)) % 2 > 0)):
+        tests.clear()
+        assert (ngram_join.join_region(sets, core) == root).all()
+        assert sum(tests) <= len(sets) ** 2
+
+
 def test_ngram_join_odd(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = ngram_join.jaccard_groups(odd).select("doc_id", "n_shingles", "component_id").collect()
