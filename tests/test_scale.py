@@ -47,3 +47,15 @@ def test_sums_by_blocks(spark, monkeypatch):
     assert {(r.q, r.cand): (r.total, r.square) for r in V.sums(queries, t, 2.0).collect()} == want
     shared = {(r.q, r.cand): r.n for r in V.shared_terms(queries, t.where(F.col("cand").isNotNull())).collect()}
     assert shared == {(q, c): sum(1 for term, cand, _ in table if cand == c and texts[q][term]) for q, c in want}
+
+
+def test_references_do_not_meet_all_papers(spark):
+    """60,000 references and papers of one title: two names, the most cited of each, the least id on ties. As pairs they would be 3.6 billion."""
+    from citelens.plans import matching as M
+
+    rows = spark.range(60_000)
+    papers = rows.selectExpr("id AS paper", "'Same old Title' AS title", "id % 1000 AS citations")
+    authors = rows.selectExpr("id AS paper", "if(id % 2 = 0, 'Ada Lo', 'Bob') AS author")
+    refs = rows.selectExpr("concat('u', id) AS uuid", "if(id % 3 = 0, 'The same old title', 'same old title') AS title", "if(id % 5 = 0, 'by ADA', if(id % 5 = 1, 'by bob', 'nobody')) AS reference")
+    got = M.resolve(refs, papers, authors).groupBy("paper").count().collect()
+    assert sorted(map(tuple, got)) == [(998, 12_000), (999, 12_000)]
