@@ -59,3 +59,38 @@ def test_references_do_not_meet_all_papers(spark):
     refs = rows.selectExpr("concat('u', id) AS uuid", "if(id % 3 = 0, 'The same old title', 'same old title') AS title", "if(id % 5 = 0, 'by ADA', if(id % 5 = 1, 'by bob', 'nobody')) AS reference")
     got = M.resolve(refs, papers, authors).groupBy("paper").count().collect()
     assert sorted(map(tuple, got)) == [(998, 12_000), (999, 12_000)]
+
+
+def test_nearest_sets(spark, monkeypatch):
+    """The nearest sets against all pairs, in blocks of three queries and matrices of a few cells; sizes from 0, equal sets, labels that are null."""
+    import random
+
+    from citelens.plans import vectors as V
+
+    r = random.Random(3)
+    q = {i: {r.randrange(12) for _ in range(r.randrange(1, 6))} | ({None} if i % 7 == 0 else set()) for i in range(40)}
+    c = {i: {r.randrange(12) for _ in range(r.randrange(1, 9))} | ({None} if i % 6 == 0 else set()) for i in range(300)} | {301: {None}}
+    rows = lambda sets, name: spark.createDataFrame([(i, x) for i, own in sets.items() for x in own], f"{name} long, label int")
+
+    def check():
+        for f, score in ((V.containment, lambda m, a, b: m / b), (V.jaccard, lambda m, a, b: m / (a + b - m))):
+            want = []
+            for i, a in q.items():
+                met = [(round(score(m, len(a), len(b)), 9), j) for j, b in c.items() if (m := len((a & b) - {None}))]
+                want += [(i, j, s) for s, j in sorted(met, key=lambda x: (-x[0], x[1]))[:5]]
+            assert sorted(map(tuple, f(rows(q, "q"), rows(c, "cand"), 5).collect())) == sorted(want)
+
+    check()
+    monkeypatch.setattr(V, "SETS", 3)
+    monkeypatch.setattr(V, "CELLS", 100)
+    check()
+
+
+def test_nearest_sets_leave_pairs_out(spark):
+    """20,000 queries against 200,000 candidates, of which the smallest decide: 4 billion pairs are not made."""
+    from citelens.plans import vectors as V
+
+    q = spark.range(20_000).selectExpr("id AS q", "explode(array(id % 25, id * 7 % 25, id * 11 % 25)) AS label")
+    c = spark.range(200_000).selectExpr("id AS cand", "explode(transform(sequence(id % 25, id % 25 + if(id % 50 < 25, 0, 17)), x -> x % 25)) AS label")
+    got = V.containment(q, c, 5)
+    assert got.agg(F.count("*"), F.min("score"), F.max("score")).first() == (100_000, 1.0, 1.0)
