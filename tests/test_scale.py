@@ -49,6 +49,20 @@ def test_sums_by_blocks(spark, monkeypatch):
     assert shared == {(q, c): sum(1 for term, cand, _ in table if cand == c and texts[q][term]) for q, c in want}
 
 
+def test_pairs_of_equal_keys(spark, monkeypatch):
+    """Blocks of three rows give each pair once; ids that occur twice give their pairs twice, nulls none."""
+    from citelens.operators import joins as J
+
+    rows = [(("x", "y", None)[i % 3], i // 2 if i % 5 else i) for i in range(60)] + [("x", None), ("x", 7), ("x", 7)]
+    want = sorted((a, b) for k, a in rows for m, b in rows if k and k == m and a is not None and b is not None and a < b)
+    df = spark.createDataFrame(rows, "k string, id long")
+    monkeypatch.setattr(J, "PAIR_BLOCK", 3)
+    monkeypatch.setattr(J, "PAIRS", 50)
+    assert sorted(map(tuple, J.equal_pairs(df, "k").collect())) == want
+    plan = J.equal_pairs(df, "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange RoundRobin") < plan.index("SortMergeJoin" if "SortMergeJoin" in plan else "Join")
+
+
 def test_references_do_not_meet_all_papers(spark):
     """60,000 references and papers of one title: two names, the most cited of each, the least id on ties. As pairs they would be 3.6 billion."""
     from citelens.plans import matching as M
