@@ -276,10 +276,7 @@ MIDDLE = SQL["P24b_sentence_spans"].replace("SELECT doc_id, CAST(before", ", sp
 @query("P23b_sentence_distance", MIDDLE + "SELECT nr.doc_id, CAST(start + 1 - coalesce(s1, 0) AS BIGINT) AS before, CAST(coalesce(e1, length(text)) - start - 1 AS BIGINT) AS after FROM nr JOIN documents d ON d.doc_id = nr.doc_id WHERE i = (n + 1) // 2 AND \"end\" > start + 1")
 def _(t):
     """Three sentences around a place in each text's middle sentence, right behind its first character."""
-    spans = S.sentence_spans(F.col("text"))
-    own = t("documents").select("doc_id", "text", spans.alias("s")).where("size(s) > 0")
-    own = own.withColumn("m", F.element_at("s", F.floor((F.size("s") + 1) / 2).cast("int"))).where("m.end > m.start + 1")
-    return own.select("doc_id", S.sentence_distance(F.col("text"), F.col("m.start") + 1, 3).alias("w")).select("doc_id", "w.*")
+    return S.middle_distance(t("documents"), 3)
 
 
 @query("P25_adjacent", "WITH g AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey - lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 1500 AND o_orderstatus <> 'P' THEN 0 ELSE 1 END AS cut FROM orders), r AS (SELECT *, sum(cut) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS run FROM g) SELECT a.o_custkey, a.o_orderkey, string_agg(CAST(b.o_orderkey AS VARCHAR), ',' ORDER BY b.o_orderkey) AS adjacent FROM r a JOIN r b ON a.o_custkey = b.o_custkey AND a.run = b.run AND a.o_orderkey <> b.o_orderkey GROUP BY 1, 2")

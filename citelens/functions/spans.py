@@ -6,7 +6,7 @@ import re
 import string
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citelens.functions.text import MARKER
@@ -80,3 +80,24 @@ def sentence_distance(text: Column, at: Column, count: int) -> Column:
         return pd.DataFrame(rows, columns=["before", "after"]).astype("Int64")
 
     return found(text, at)
+
+
+def middle_distance(rows: DataFrame, count: int) -> DataFrame:
+    """doc_id, before, after of texts (doc_id, text): the characters of a window of so many sentences around the place right behind the first character of the middle
+    sentence, where it has a second one. Texts are read one at a time from a batch, and only numbers leave: a worker never holds a batch's sentences."""
+    def found(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            kept, places = [], []
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py()
+                own = sentences(text) if text else []
+                start, end = own[(len(own) - 1) // 2] if own else (0, 0)
+                if end > start + 1:
+                    kept.append(i)
+                    places.append(sentence_window(text, start + 1, count))
+            numbers = [pa.array([p[k] for p in places], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), *numbers], ["doc_id", "before", "after"])
+
+    return rows.select("doc_id", "text").mapInArrow(found, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, before long, after long")

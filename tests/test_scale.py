@@ -108,3 +108,29 @@ def test_nearest_sets_leave_pairs_out(spark):
     c = spark.range(200_000).selectExpr("id AS cand", "explode(transform(sequence(id % 25, id % 25 + if(id % 50 < 25, 0, 17)), x -> x % 25)) AS label")
     got = V.containment(q, c, 5)
     assert got.agg(F.count("*"), F.min("score"), F.max("score")).first() == (100_000, 1.0, 1.0)
+
+
+def test_workers_hold_one_row(spark, monkeypatch):
+    """Made rows leave a worker in parts of a few bytes, none lost, with the rows that Spark hands over as one batch."""
+    from citelens.sources import files as S
+
+    def made(batch, i):
+        for k in range(batch.column(0)[i].as_py() % 4):
+            yield batch.column(0)[i].as_py(), "x" * (k * 50)
+
+    rows = spark.range(40).repartition(1)
+    want = sorted((i, "x" * (k * 50)) for i in range(40) for k in range(i % 4))
+    monkeypatch.setattr(S, "GATHERED", 100)
+    assert sorted(map(tuple, S.one_at_a_time(rows, made, "id long, x string").collect())) == want
+    monkeypatch.undo()
+    assert sorted(map(tuple, S.one_at_a_time(rows, made, "id long, x string").collect())) == want
+
+
+def test_middle_distance(spark):
+    """The window around the middle sentence without lists of sentences in the plan; empty, null and one-letter texts have none."""
+    from citelens.functions import spans as S
+
+    texts = {1: "One is. Two is. Three is here. Four.", 2: None, 3: "", 4: "a", 5: "Only one", 6: " \n", 7: "A. B. C."}
+    got = S.middle_distance(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3).collect()
+    want = {i: S.sentence_window(x, own[(len(own) - 1) // 2][0] + 1, 3) for i, x in texts.items() if x and (own := S.sentences(x)) and own[(len(own) - 1) // 2][1] > own[(len(own) - 1) // 2][0] + 1}
+    assert {r.doc_id: (r.before, r.after) for r in got} == want and set(want) == {1, 5, 7}
