@@ -51,20 +51,17 @@ def _(t):
 @query("S3_decoded", "SELECT doc_id, CASE WHEN doc_id % 5 = 4 AND length(text) > 0 THEN concat(text, 'é', chr(65533), 'x') ELSE concat('é', text) END AS text FROM documents")
 def _(t):
     """UTF-8, UTF-16 with and without a mark, an 8-bit encoding, and bytes that fit none, which are replaced."""
-    @F.pandas_udf("string")
-    def read(content: pd.Series) -> pd.Series:
-        return content.map(S.decoded)
-
-    @F.pandas_udf("binary")
-    def stored(text: pd.Series, i: pd.Series) -> pd.Series:
-        out = []
-        for x, k in zip(text, i):
-            s = "é" + x
-            eight = k == 3 and not s.encode("cp1252", "ignore").decode("cp1252") != s
-            out.append(x.encode() + "é".encode() + b"\x81x" if k == 4 and x else s.encode("utf-16") if k == 1 else s.encode("utf-16-le") if k == 2 and s.isascii() else s.encode("cp1252") if eight else s.encode())
-        return pd.Series(out, dtype=object)
-
-    return t("documents").select("doc_id", read(stored(F.coalesce("text", F.lit("")), (F.col("doc_id") % 5).cast("int"))).alias("text"))
+    def stored(x, k):
+        s = "é" + x
+        eight = k == 3 and not s.encode("cp1252", "ignore").decode("cp1252") != s
+        return x.encode() + "é".encode() + b"\x81x" if k == 4 and x else s.encode("utf-16") if k == 1 else s.encode("utf-16-le") if k == 2 and s.isascii() else s.encode("cp1252") if eight else s.encode()
+
+    def read(batch, i):
+        doc, text, k = (batch.column(c)[i].as_py() for c in range(3))
+        yield doc, S.decoded(stored(text, k))
+
+    docs = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 5).cast("int").alias("k"))
+    return S.one_at_a_time(docs, read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 @query("S4_text_files", "SELECT replace(r_name, ' ', '_') AS doc_id, concat('text of ', r_name, chr(10), 'line') AS text FROM region")

@@ -96,13 +96,45 @@ def archive_members(archives: DataFrame, done: DataFrame | None = None) -> DataF
     if done is not None:
         archives = archives.join(done.select("path").distinct(), "path", "left_anti")
 
-    def opened(batches):
-        for batch in batches:
-            for p, c in zip(batch["path"], batch["content"]):
-                rows = [(p, i, n, decoded(b)) for i, (n, b) in enumerate(members(p.rsplit("/", 1)[-1], c))]
-                yield pd.DataFrame(rows, columns=["path", "at", "member", "text"])
+    def opened(batch, i):
+        path, content = (batch.column(k)[i].as_py() for k in (0, 1))
+        for at, (name, data) in enumerate(members(path.rsplit("/", 1)[-1], content)):
+            yield path, at, name, decoded(data)
+
+    return one_at_a_time(archives.select("path", "content"), opened, "path string, at long, member string, text string")
+
+
+#: Bytes of texts, about, that a worker gathers before it passes them on.
+GATHERED = 2 << 20
+
 
-    return archives.select("path", "content").mapInPandas(opened, "path string, at long, member string, text string")
+def one_at_a_time(rows: DataFrame, made, schema: str) -> DataFrame:
+    """The rows that made(batch, i) yields for each row i of an Arrow batch. What is made is passed on whenever GATHERED bytes of it are there, so a worker holds
+    a batch as it came and one row's results, not a batch's."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+
+    def every(batches):
+        import pyarrow as pa
+
+        def passed(held):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], kind.type) for k, kind in enumerate(kinds)], kinds.names)
+
+        for batch in batches:
+            held, size = [], 0
+            for i in range(batch.num_rows):
+                for row in made(batch, i):
+                    held.append(row)
+                    size += sum(len(x) if isinstance(x, (str, bytes)) else 8 for x in row)
+                    if size >= GATHERED:
+                        yield passed(held)
+                        held, size = [], 0
+            if held:
+                yield passed(held)
+
+    return rows.mapInArrow(every, schema)
 
 
 def resumed(archives: DataFrame, done: str, out: str) -> DataFrame:
