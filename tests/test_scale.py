@@ -134,3 +134,17 @@ def test_middle_distance(spark):
     got = S.middle_distance(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3).collect()
     want = {i: S.sentence_window(x, own[(len(own) - 1) // 2][0] + 1, 3) for i, x in texts.items() if x and (own := S.sentences(x)) and own[(len(own) - 1) // 2][1] > own[(len(own) - 1) // 2][0] + 1}
     assert {r.doc_id: (r.before, r.after) for r in got} == want and set(want) == {1, 5, 7}
+
+
+def test_nearest_by_rare_terms(spark, monkeypatch):
+    """Terms of few queries, which no matrix holds, give what a matrix of all terms gives."""
+    from citelens.plans import vectors as V
+
+    rows = [(i, f"t{k}", float((i * k) % 7 + 1)) for i in range(60) for k in range(1 + i % 5)]
+    c = spark.createDataFrame(rows, "cand long, term string, w double")
+    q = c.where("cand % 10 = 4 OR cand % 10 = 1").withColumnRenamed("cand", "q")
+    got = []
+    for dense in (1_000, 2, 0):
+        monkeypatch.setattr(V, "DENSE", dense)
+        got.append([tuple(r) for r in V.nearest(q, c, 4).orderBy("q", "rank").collect()])
+    assert got[0] == got[1] == got[2] and len(got[0]) == 48
